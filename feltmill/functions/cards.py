@@ -19,11 +19,13 @@ SUITS = "shdc"
 DECK = [r + s for r in RANKS for s in SUITS]
 # Other spellings of a suit, plain first, then text read with the wrong encoding.
 SUIT_SPELLINGS = {
-    "s": ("s", "spade", "spades", "♠", "â™ "),
-    "h": ("h", "heart", "hearts", "♥", "â™¥"),
-    "d": ("d", "diamond", "diamonds", "♦", "â™¦"),
-    "c": ("c", "club", "clubs", "♣", "â™£"),
+    "s": ("s", "spade", "spades", "\u2660", "\u00e2\u2122\u00a0"),
+    "h": ("h", "heart", "hearts", "\u2665", "\u00e2\u2122\u00a5"),
+    "d": ("d", "diamond", "diamonds", "\u2666", "\u00e2\u2122\u00a6"),
+    "c": ("c", "club", "clubs", "\u2663", "\u00e2\u2122\u00a3"),
 }
+# Suit symbols of the text histories.
+SUIT_SYMBOLS = {"\u2665": "h", "\u2661": "h", "\u2660": "s", "\u2664": "s", "\u2666": "d", "\u2662": "d", "\u2663": "c", "\u2667": "c"}
 # Hand categories, weakest first.
 CATEGORIES = (
     "HIGH_CARD", "PAIR", "TWO_PAIR", "THREE_OF_A_KIND", "STRAIGHT",
@@ -100,6 +102,14 @@ def strict_card(text: Column) -> Column:
     return F.when(ok, F.concat(F.upper(F.substring(value, 1, 1)), F.lower(F.substring(value, 2, 1))))
 
 
+def history_card(text: Column) -> Column:
+    """A card of a text history ('[10h', 'K\u2665') to 'Th'; null when it is no card."""
+    bare = F.replace(F.translate(strip(text), "[]", ""), F.lit("10"), F.lit("T"))
+    bare = F.translate(bare, "".join(SUIT_SYMBOLS), "".join(SUIT_SYMBOLS.values()))
+    ok = bare.rlike("^(?i)[2-9TJQKA][hdcs]$")
+    return F.when(ok, F.concat(F.upper(F.substring(bare, 1, 1)), F.lower(F.substring(bare, 2, 1))))
+
+
 def known_cards(text: Column) -> Column:
     """Spaced cards; a text with unknown cards passes unchanged."""
     return F.when(text.contains("?"), text).otherwise(F.array_join(split_cards(text, keep_tail=True), " "))

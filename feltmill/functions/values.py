@@ -128,3 +128,12 @@ def iso_utc(c: Column) -> Column:
 
 def epoch_seconds(c: Column) -> Column:
     return F.unix_seconds(c)
+
+
+def short_number(c: Column) -> Column:
+    """Six significant digits without trailing zeros, as in '%g'."""
+    size = F.abs(c)
+    plain = F.when(size < 10, F.bround(c, 5)).when(size < 100, F.bround(c, 4)).when(size < 1000, F.bround(c, 3))
+    plain = plain.when(size < 10000, F.bround(c, 2)).when(size < 100000, F.bround(c, 1)).otherwise(F.bround(c, 0))
+    text = F.regexp_replace(plain.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
+    return F.when(size >= 999999.5, F.regexp_replace(F.format_string("%.5e", c), r"\.?0+e", "e")).otherwise(text)
