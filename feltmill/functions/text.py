@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -49,9 +50,8 @@ def unescape_entities(c: Column) -> Column:
     closed, bare = _entity_tables()
     bare_alt = "|".join(bare)
     pattern = f"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{bare_alt}))"
-    names = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in closed]), F.array(*[F.lit(v) for v in closed.values()])
-    )
+    # One JSON literal; the optimizer folds it into one map constant.
+    names = F.from_json(F.lit(json.dumps(closed)), "map<string,string>")
 
     def decode(ref: Column) -> Column:
         name = F.regexp_replace(ref, r"^&|;$", "")
