@@ -139,13 +139,3 @@ def padded_profiles(profiles: Column, count: Column) -> Column:
         ),
     )
     return F.concat(have, extra)
-
-
-def decision_rule(equity: Column, required: Column, to_call: Column) -> Column:
-    """Threshold rule: bet a strong hand for free, raise well above the price, call at the price, else fold."""
-    return (
-        F.when(to_call <= 0, F.when(equity >= 0.62, F.lit("RAISE")).otherwise(F.lit("CHECK")))
-        .when(equity >= required + 0.24, F.lit("RAISE"))
-        .when(equity >= required, F.lit("CALL"))
-        .otherwise(F.lit("FOLD"))
-    )
