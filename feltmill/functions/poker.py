@@ -88,39 +88,49 @@ def has_button(buttons: Column, states: tuple[str, ...]) -> Column:
 
 # Looseness and aggression by the last action of an opponent.
 DEFAULT_PROFILE = (0.55, 0.35)
-ACTION_PROFILES = (
-    (("paid", "call", "paie"), (0.36, 0.68)),
-    (("raise", "relance", "mise", "all-in"), (0.24, 0.92)),
-    (("check", "play"), (0.58, 0.32)),
-)
+ACTION_PROFILES = {
+    "paid": (0.36, 0.68), "call": (0.36, 0.68), "paie": (0.36, 0.68),
+    "raise": (0.24, 0.92), "relance": (0.24, 0.92), "mise": (0.24, 0.92), "all-in": (0.24, 0.92),
+    "check": (0.58, 0.32), "play": (0.58, 0.32),
+}
 
 
 def opponent_profiles(players: Column) -> Column:
-    """Profile structs of the players still in: action class, recent change and invested share move them."""
-
-    def profile(player: Column, index: Column) -> Column:
-        action = F.lower(F.coalesce(F.nullif(player["state"], F.lit("")), F.lit("play")))
-        loose, aggressive = F.lit(DEFAULT_PROFILE[0]), F.lit(DEFAULT_PROFILE[1])
-        for words, (l, a) in ACTION_PROFILES:
-            loose = F.when(action.isin(*words), F.lit(l)).otherwise(loose)
-            aggressive = F.when(action.isin(*words), F.lit(a)).otherwise(aggressive)
-        aggressive = aggressive + F.when(F.coalesce(player["changed_this_round"], F.lit(False)), 0.08).otherwise(0.0)
-        start, now = player["stack_start"], player["stack"]
-        invested = F.when((start != 0) & (now < start), clamp(F.try_divide(start - now, start), 0.0, 1.0))
-        invested = F.coalesce(invested, F.lit(0.0))
-        return F.struct(
-            F.coalesce(F.nullif(player["name"], F.lit("")), F.concat(F.lit("J"), (index + 1).cast("string"))).alias("name"),
-            clamp(loose - invested * 0.10, 0.0, 1.0).alias("looseness"),
-            clamp(aggressive + invested * 0.18, 0.0, 1.0).alias("aggression"),
-            action.alias("action"),
-            F.coalesce(player["confidence"], F.lit(0.0)).alias("confidence"),
-            (~F.coalesce(player["active"] == False, F.lit(False))).alias("_in"),  # noqa: E712
-        )
-
-    kept = F.filter(F.transform(F.coalesce(players, F.array()), profile), lambda p: p["_in"])
+    """Profile structs of the players still in: action class, recent change and invested share move them.
+
+    The first pass reads every player once into plain fields, the second computes from those.
+    """
+    entries = ", ".join(f"'{k}', named_struct('l', {l}D, 'a', {a}D)" for k, (l, a) in ACTION_PROFILES.items())
+    by_action = F.expr(f"map({entries})")
+    default = F.expr(f"named_struct('l', {DEFAULT_PROFILE[0]}D, 'a', {DEFAULT_PROFILE[1]}D)")
+
+    def invested(start: Column, now: Column) -> Column:
+        return F.when((start != 0) & (now < start), F.try_divide(start - now, start)).otherwise(0.0)
+
+    named = F.transform(
+        F.coalesce(players, F.array()),
+        lambda p, i: F.struct(
+            F.coalesce(F.nullif(p["name"], F.lit("")), F.concat(F.lit("J"), (i + 1).cast("string"))).alias("name"),
+            F.lower(F.coalesce(F.nullif(p["state"], F.lit("")), F.lit("play"))).alias("action"),
+            invested(p["stack_start"], p["stack"]).alias("invested"),
+            F.when(p["changed_this_round"], 0.08).otherwise(0.0).alias("changed"),
+            F.coalesce(p["confidence"], F.lit(0.0)).alias("confidence"),
+            F.coalesce(p["active"], F.lit(True)).alias("still_in"),
+        ),
+    )
+    based = F.transform(
+        F.filter(named, lambda p: p["still_in"]),
+        lambda p: F.struct(p.alias("p"), F.coalesce(F.try_element_at(by_action, p["action"]), default).alias("base"), clamp(p["invested"], 0.0, 1.0).alias("share")),
+    )
     return F.transform(
-        kept,
-        lambda p: F.struct(*[p[f].alias(f) for f in ("name", "looseness", "aggression", "action", "confidence")]),
+        based,
+        lambda b: F.struct(
+            b["p"]["name"].alias("name"),
+            clamp(b["base"]["l"] - b["share"] * 0.10, 0.0, 1.0).alias("looseness"),
+            clamp(b["base"]["a"] + b["p"]["changed"] + b["share"] * 0.18, 0.0, 1.0).alias("aggression"),
+            b["p"]["action"].alias("action"),
+            b["p"]["confidence"].alias("confidence"),
+        ),
     )
 
 

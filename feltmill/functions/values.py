@@ -82,7 +82,8 @@ def half_even(c: Column, digits: int) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """The value cut to low .. high; null stays null."""
+    return F.when(c < low, F.lit(low)).when(c > high, F.lit(high)).otherwise(c)
 
 
 def cap(c: Column, limit: float = 500.0) -> Column:

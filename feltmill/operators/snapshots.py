@@ -316,6 +316,21 @@ def run_candidates(df: DataFrame) -> DataFrame:
     )
 
 
+# Seats that act in and out of position.
+IN_POSITION = ("IP", "BTN", "CO", "HJ", "LJ")
+OUT_OF_POSITION = ("OOP", "SB", "BB", "UTG", "MP")
+
+
+def solver_context(position: Column, to_call: Column, has_call: Column, attempt: Column) -> Column:
+    """struct(position, context) of a run: facing a bet when there is a price, else check or bet out of position."""
+    seat = F.upper(F.coalesce(F.nullif(position, F.lit("")), F.lit("UNKNOWN")))
+    facing = F.coalesce((to_call > 0) | (has_call > 0), F.lit(False))
+    side = F.when(seat.isin(*IN_POSITION), "IP").when(seat.isin(*OUT_OF_POSITION), "OOP").when(attempt % 2 != 0, "IP").otherwise("OOP")
+    return F.struct(
+        F.when(facing, side).otherwise("OOP").alias("position"), F.when(facing, "hero_facing_bet").otherwise("hero_check_or_bet").alias("context")
+    )
+
+
 # ---- the aligned export ----------------------------------------------------------------------
 
 BUTTON_TYPE = "array<struct<index:int,enabled:boolean,state:string,value:double,text:string,confidence:double>>"
@@ -460,7 +475,9 @@ def feature_views(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFra
 
     null_hero = hero.isNull() | F.lower(F.trim(hero.cast("string"))).isin("", "null", "none", "[]")
     derived = {
-        "features.active_opponents": F.greatest(F.lit(0.0), number("features.player_active") - 1.0),
+        "features.active_opponents": F.when(
+            number("features.player_active").isNotNull(), F.greatest(F.lit(0.0), number("features.player_active") - 1.0)
+        ),
         "features.hero_cards_known": F.when(null_hero, 0.0).otherwise(1.0),
         "features.equity_gap": P.equity_gap(equity, number("features.equity_required")),
         "features.stack_to_pot_ratio": ratio(stack, number("features.pot")),
