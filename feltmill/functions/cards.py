@@ -11,7 +11,7 @@ from itertools import combinations, permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .values import clamp, strip
+from .values import clamp, let, strip
 
 # Rank and suit letters, low to high, and the suit order used for sorting.
 RANKS = "23456789TJQKA"
@@ -245,31 +245,41 @@ def pair_masks() -> Column:
 # ---- hole cards and ranges ------------------------------------------------------------------
 
 
+def _hole(first: Column, second: Column) -> Column:
+    a, b = rank_value(first), rank_value(second)
+    return F.struct(F.greatest(a, b).alias("high"), F.least(a, b).alias("low"), (suit_value(first) == suit_value(second)).alias("suited"))
+
+
 def hand_class(first: Column, second: Column) -> Column:
     """'AA', 'AKs' or 'AKo' of two cards."""
-    a, b = rank_value(first), rank_value(second)
-    high, low = F.greatest(a, b), F.least(a, b)
-    letters = F.concat(_letter(RANKS, high - 1), _letter(RANKS, low - 1))
-    suited = suit_value(first) == suit_value(second)
-    return F.when(a == b, letters).otherwise(F.concat(letters, F.when(suited, F.lit("s")).otherwise(F.lit("o"))))
+
+    def spelled(h: Column) -> Column:
+        letters = F.concat(_letter(RANKS, h["high"] - 1), _letter(RANKS, h["low"] - 1))
+        mark = F.when(h["high"] == h["low"], "").when(h["suited"], "s").otherwise("o")
+        return F.concat(letters, mark)
+
+    return let(_hole(first, second), spelled)
 
 
 def hand_strength(first: Column, second: Column) -> Column:
     """Two-card strength in 0 .. 1 from ranks, gap, suit, broadway and ace bonuses."""
-    a, b = rank_value(first), rank_value(second)
-    high, low = F.greatest(a, b), F.least(a, b)
-    gap = F.greatest(F.lit(0), high - low - 1)
-    pair = F.lit(0.44) + ((high - 2) / F.lit(12.0)) * 0.52
-    other = (
-        F.lit(0.05)
-        + ((high - 2) / F.lit(12.0)) * 0.34
-        + ((low - 2) / F.lit(12.0)) * 0.18
-        + F.greatest(F.lit(0.0), F.lit(0.13) - F.lit(0.026) * gap)
-        + F.when(suit_value(first) == suit_value(second), 0.08).otherwise(0.0)
-        + F.when(low >= 10, 0.12).otherwise(0.0)
-        + F.when(high == 14, 0.06).otherwise(0.0)
-    )
-    return clamp(F.when(a == b, pair).otherwise(other), 0.0, 1.0)
+
+    def strength(h: Column) -> Column:
+        high, low = h["high"], h["low"]
+        gap = F.greatest(F.lit(0), high - low - 1)
+        pair = F.lit(0.44) + ((high - 2) / F.lit(12.0)) * 0.52
+        other = (
+            F.lit(0.05)
+            + ((high - 2) / F.lit(12.0)) * 0.34
+            + ((low - 2) / F.lit(12.0)) * 0.18
+            + F.greatest(F.lit(0.0), F.lit(0.13) - F.lit(0.026) * gap)
+            + F.when(h["suited"], 0.08).otherwise(0.0)
+            + F.when(low >= 10, 0.12).otherwise(0.0)
+            + F.when(high == 14, 0.06).otherwise(0.0)
+        )
+        return F.when(high == low, pair).otherwise(other)
+
+    return clamp(let(_hole(first, second), strength), 0.0, 1.0)
 
 
 def combo_weight(klass: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,7 +85,12 @@ def half_even(c: Column, digits: int) -> Column:
 
 def clamp(c: Column, low: float, high: float) -> Column:
     """The value cut to low .. high; null stays null."""
-    return F.when(c < low, F.lit(low)).when(c > high, F.lit(high)).otherwise(c)
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, for formulas that use a costly value many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def cap(c: Column, limit: float = 500.0) -> Column:

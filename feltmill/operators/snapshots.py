@@ -12,7 +12,7 @@ from ..functions import cards as C
 from ..functions import poker as P
 from ..functions.rules import all_reasons, is_false, is_true
 from ..functions.text import button_amount, live_label
-from ..functions.values import cap, clamp, flag_to_double, half_even, ratio, short_number, to_double, to_flag, to_int
+from ..functions.values import cap, clamp, flag_to_double, half_even, let, ratio, short_number, to_double, to_flag, to_int
 
 # Trainable actions and the buttons that allow them.
 ACTIONS = ("CHECK", "FOLD", "CALL", "RAISE")
@@ -34,7 +34,7 @@ def rebuilt_features(df: DataFrame, features: str = "features") -> DataFrame:
     f = F.col(features)
     pot, price, equity = f["pot"], f["to_call"], f["equity_table"]
     hole = F.filter(F.transform(F.coalesce(f["hero_cards"], F.array().cast("array<string>")), C.parse_card), lambda c: c.isNotNull())
-    two = F.size(hole) == 2
+    strength = let(hole, lambda h: F.when(F.size(h) == 2, C.hand_strength(F.get(h, F.lit(0)), F.get(h, F.lit(1)))))
     return df.withColumn(
         "rebuilt",
         F.struct(
@@ -45,7 +45,7 @@ def rebuilt_features(df: DataFrame, features: str = "features") -> DataFrame:
             P.has_button(f["buttons"], P.CALL_STATES).alias("has_call"),
             P.has_button(f["buttons"], P.RAISE_STATES).alias("has_raise"),
             P.opponent_profiles(f["players"]).alias("opponent_profiles"),
-            F.when(two, C.hand_strength(F.get(hole, F.lit(0)), F.get(hole, F.lit(1)))).alias("starting_hand_strength"),
+            strength.alias("starting_hand_strength"),
             equity.alias("equity_table"),
             P.expected_value(equity, pot, price, None).alias("ev"),
             P.call_max(equity, pot, "inf", None).alias("call_max"),

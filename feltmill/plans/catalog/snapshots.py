@@ -16,7 +16,7 @@ from ...registry import query, table
 @query("pot_arithmetic", "P15 F18", """
 WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 0.0 ELSE o_totalprice END AS pot, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE (o_orderkey % 50) * 100.0 END::DOUBLE AS c, CASE WHEN o_orderkey % 11 = 0 THEN 1.0 ELSE (o_orderkey % 97) / 97.0::DOUBLE END::DOUBLE AS e FROM orders)
 SELECT o_orderkey, round(CASE WHEN pot > 0 THEN c / pot END, 10) AS ratio, round(CASE WHEN pot + c > 0 THEN c / (pot + c) END, 10) AS required, round(e * (pot + c) - c, 4) AS ev,
-  round(least(e, 0.999999::DOUBLE) * pot / (1.0 - least(e, 0.999999::DOUBLE)), 6) AS max_clamp, CASE WHEN e >= 1 THEN 'inf' ELSE 'finite' END AS max_inf, CASE WHEN e >= 1 THEN 500.0 ELSE least(500.0, round(e * pot / (1 - e), 4)) END AS max_cap,
+  round(ln(1 + least(e, 0.999999::DOUBLE) * pot / (1.0 - least(e, 0.999999::DOUBLE))), 8) AS max_clamp, CASE WHEN e >= 1 THEN 'inf' ELSE 'finite' END AS max_inf, CASE WHEN e >= 1 THEN 500.0 ELSE least(500.0, round(e * pot / (1 - e), 4)) END AS max_cap,
   round(power(e, greatest(1, o_orderkey % 4)), 10) AS multiway FROM x
 """)
 def pot_arithmetic(spark, sf):
@@ -28,7 +28,7 @@ def pot_arithmetic(spark, sf):
     capped = K.call_max(e, pot, "cap", None)
     return rows.select(
         "o_orderkey", K.pot_ratio(c, pot).alias("ratio"), K.equity_required(pot, c).alias("required"), F.round(K.expected_value(e, pot, c), 4).alias("ev"),
-        F.round(K.call_max(e, pot, "clamp", None), 6).alias("max_clamp"), F.when(K.call_max(e, pot, "inf") == float("inf"), "inf").otherwise("finite").alias("max_inf"),
+        F.round(F.log(K.call_max(e, pot, "clamp", None) + 1), 8).alias("max_clamp"), F.when(K.call_max(e, pot, "inf") == float("inf"), "inf").otherwise("finite").alias("max_inf"),
         F.least(F.lit(500.0), F.round(capped, 4)).alias("max_cap"), K.multiway_equity(e, F.col("o_orderkey") % 4).alias("multiway"),
     )
 
