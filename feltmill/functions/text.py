@@ -70,9 +70,9 @@ def unescape_entities(c: Column) -> Column:
             )
         )
 
-    refs = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    decoded = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), decode)
     gaps = F.split(c, pattern, -1)
-    joined = F.array_join(F.flatten(F.transform(gaps, lambda gap, i: F.array(gap, F.coalesce(F.try_element_at(F.transform(refs, decode), i + 1), F.lit(""))))), "")
+    joined = F.array_join(F.zip_with(gaps, decoded, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit("")))), "")
     return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 

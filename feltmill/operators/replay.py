@@ -41,7 +41,9 @@ def record_actions(hands: DataFrame, keys: Sequence[str] = ("hand_id",)) -> Data
     def entries(name: str) -> Column:
         return F.coalesce(F.array_size(F.col(name)), F.lit(0))
 
-    sized = hands.withColumn("player_count", F.when(entries("stacks") > 0, entries("stacks")).otherwise(entries("players")))
+    # Hands move once, before they are cut into actions; the windows of the replay find them in place.
+    parts = int(hands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = hands.repartition(parts, *keys).withColumn("player_count", F.when(entries("stacks") > 0, entries("stacks")).otherwise(entries("players")))
     sized = sized.filter("player_count > 0").withColumns(
         {
             "start_pot": positive_sum("blinds") + positive_sum("antes"),

@@ -16,7 +16,7 @@ n AS (SELECT *, TRY_CAST(value AS DOUBLE) AS number FROM u)
 
 
 def item_values(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax", "l_linestatus", F.lit(0.0).alias("flat"))
+    rows = table(spark, sf, "lineitem", wide=True).select("l_returnflag", "l_quantity", "l_discount", "l_tax", "l_linestatus", F.lit(0.0).alias("flat"))
     return Q.feature_values(rows, FEATURES, "l_returnflag")
 
 

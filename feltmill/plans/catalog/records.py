@@ -35,7 +35,7 @@ def job_texts(spark, sf):
         F.lit("solver_smoke").alias("label_intent"), profile.alias("generation_profile"), F.when(k % 4 == 2, "hero_facing_bet").alias("decision_context_type"),
         (k % 2).alias("root_player"),
     )
-    return table(spark, sf, "orders").select("o_orderkey", F.to_json(job).alias("raw"))
+    return table(spark, sf, "orders", wide=True).select("o_orderkey", F.to_json(job).alias("raw"))
 
 
 JOB_CTE = """
@@ -122,7 +122,7 @@ def item_runs(spark, sf):
             (F.col("l_linestatus") == "O").alias("root_matches_hero"),
         ),
     )
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem", wide=True).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", strategy.alias("strategy"),
         F.when(F.col("l_returnflag") == "R", "failed").otherwise("ok").alias("solver_status"), (F.col("l_quantity") * 2).cast("bigint").alias("iterations"),
     )
@@ -170,7 +170,7 @@ def item_sensitivity(spark, sf):
     context = F.when(F.col("l_orderkey") % 3 == 0, "hero_oop_check_or_bet").when(F.col("l_orderkey") % 3 == 1, "hero_ip_facing_bet").otherwise("elsewhere")
     flags = F.array_compact(F.array(F.when(F.col("l_tax") > 0.07, F.lit("timeout")), F.when(F.col("l_tax") > 0.06, F.lit("frequency_too_low")), F.when(F.col("l_tax") > 0.05, F.lit("harmless"))))
     none = F.lit(None).cast("string")
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem", wide=True).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         F.concat_ws("_", F.lit("job"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("solver_job_id"), context.alias("context"),
         F.col("l_orderkey").cast("string").alias("scenario"), F.lit("RIVER").alias("street"), F.array(F.lit("Ah"), F.lit("Kd")).alias("hero_cards"), F.array(F.lit("2c"), F.lit("2d")).alias("villain_hand"),

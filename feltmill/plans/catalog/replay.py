@@ -17,8 +17,8 @@ from .sqlcards import DECK_CTE, deal_cte
 
 def record_hands(spark, sf):
     """Orders as two-player hand records; the digest of the key decides the actions."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    digest = orders.withColumn("dg", seeded_digest(17, F.col("o_orderkey")))
+    orders = E.spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("hand_id"), "o_totalprice"), ["hand_id"])
+    digest = orders.withColumn("dg", seeded_digest(17, F.col("hand_id")))
 
     def act(i):
         d = (F.instr(F.lit("0123456789abcdef"), F.substr("dg", i + 1, F.lit(1))) - 1)
@@ -34,7 +34,7 @@ def record_hands(spark, sf):
         )
 
     return digest.select(
-        F.col("o_orderkey").alias("hand_id"),
+        "hand_id",
         F.concat(F.array(F.lit("d dh p1 AhKd"), F.lit("d dh p2 ????")), F.transform(F.sequence(F.lit(0), F.lit(13)), act)).alias("actions"),
         F.array(F.lit(1.0), F.lit(2.0)).alias("blinds"),
         F.array(F.lit(0.5), F.lit(0.5)).alias("antes"),

@@ -74,7 +74,7 @@ def order_snapshots(spark, sf):
         F.lit(None).cast("double").alias("solver_iterations"), F.lit(None).cast("double").alias("solver_timeout_s"), (k % 14 != 0).alias("decision_context_known"), F.lit(None).cast("boolean").alias("has_check"),
         F.lit(None).cast("boolean").alias("has_call"), F.lit(None).cast("boolean").alias("has_raise"), F.lit(None).cast("double").alias("to_call_pot_ratio"), buttons.alias("buttons"), active.alias("buttons_active"), players.alias("players"), F.when(k % 2 == 0, "bb").alias("units"),
     )
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", wide=True).select(
         "o_orderkey", F.concat(F.lit("s"), k.cast("string")).alias("snapshot_id"), F.lit("ml_dataset_v1").alias("schema_version"), F.when(k % 29 == 0, "note").otherwise("ml_decision_snapshot").alias("type"), F.lit("2026-01-01").alias("recorded_at"),
         F.struct(street.alias("street"), F.lit("legacy").alias("label_source"), F.lit(None).cast("string").alias("source_type"), none.alias("units")).alias("metadata"), features.alias("features"),
         F.struct(action.alias("legacy_action"), F.when(k % 31 == 0, "RES").otherwise(action).alias("final_action"), (k % 37 != 0).alias("label_valid"), F.lit(False).alias("known_bug_risk")).alias("labels"),
@@ -207,7 +207,7 @@ def generated_run_candidates(spark, sf):
 
 def flat_candidates(spark, sf):
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", wide=True).select(
         F.when(k % 6 != 0, F.concat(F.lit("c"), k.cast("string"))).alias("source_id"), k.alias("row_index"), F.when(k % 4 == 0, "flop").otherwise("river").alias("street"), F.when(k % 7 == 0, "").otherwise('["Ah","Kd"]').alias("hero_cards"),
         F.lit('["2c","3c","4c"]').alias("board_cards"), F.when(k % 9 == 0, "x").otherwise((k % 300).cast("string")).alias("pot"), F.when(k % 3 == 0, "0").otherwise((k % 40 + 1).cast("string")).alias("to_call"), F.lit("1000").alias("stack"),
         F.when(k % 5 == 0, "True").otherwise("false").alias("excluded"), F.when(k % 5 == 0, "").otherwise("RAISE").alias("bootstrap_label"), F.when(k % 5 == 0, "action_unstable").alias("exclusion_reason"), F.when(k % 2 == 0, "BET_33").otherwise("CHECK").alias("raw_action"),

@@ -18,7 +18,7 @@ c AS (SELECT page_id, trim(regexp_replace(translate(regexp_replace(x, '<[^>]+>',
 SELECT page_id, length(x) AS n_chars, md5(x) AS digest FROM c
 """)
 def page_text_cleaning(spark, sf):
-    cleaned = table(spark, sf, "pages").select("page_id", X.clean_action(F.col("html")).alias("x"))
+    cleaned = table(spark, sf, "pages", wide=True).select("page_id", X.clean_action(F.col("html")).alias("x"))
     return cleaned.select("page_id", F.length("x").cast("bigint").alias("n_chars"), F.md5("x").alias("digest"))
 
 
@@ -46,7 +46,7 @@ SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\bthe\b')) AS INT) AS w
 """)
 def document_action_words(spark, sf):
     low, up = F.lower("text"), F.upper("text")
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", wide=True).select(
         "doc_id", F.regexp_count(low, F.lit(r"\bthe\b")).alias("whole_words"),
         ((F.length(up) - F.length(F.replace(up, F.lit("TH"), F.lit("")))) / 2).cast("int").alias("parts"),
     )
@@ -142,7 +142,7 @@ def prompt_records(spark, sf):
     answer = F.when(o % 5 == 0, "<action>Check</action>").when(o % 5 == 1, "call").when(o % 5 == 2, F.concat(F.lit("raise to "), (o % 70).cast("string"))).when(o % 5 == 3, "Fold").otherwise("hmm")
     null = F.lit(None).cast("string")
     metadata = F.when(o % 3 == 0, F.create_map(F.lit("street"), F.lit("turn"), F.lit("board"), F.lit("AhKd7c2s"), F.lit("to_act"), F.lit("BB"), F.lit("hero_hand"), F.lit("QsQd")))
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", wide=True).select(
         o.alias("_source_row_idx"), F.when(o % 10 == 0, "test").otherwise("").alias("_source_split"), prompt.alias("prompt"), null.alias("instruction"),
         answer.alias("response"), null.alias("output"), null.alias("chosen"), null.alias("rejected"), null.alias("action"), F.col("o_custkey").cast("string").alias("hand_id"),
         null.alias("street"), null.alias("position"), F.lit("9h9c").alias("hole_cards"), F.when(o % 4 == 1, "2c3c4c").alias("board"),
@@ -237,7 +237,7 @@ def scenario_source(spark, sf):
     k = F.col("o_orderkey")
     decision = F.when(k % 6 == 0, "check").when(k % 6 == 1, "fold").when(k % 6 == 2, "call").when(k % 6 == 3, "10.0bb").when(k % 6 == 4, "Raise 29").otherwise("muck it")
     pre = k % 2 == 0
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", wide=True).select(
         k.cast("string").alias("row_index"), F.when(pre, "preflop_a.csv").otherwise("postflop_b.csv").alias("source_file"), decision.alias("correct_decision"),
         F.when(k % 3 == 0, "['check', 'bet 10']").otherwise("fold, call, raise 3").alias("available_moves"),
         F.when(pre, F.concat(F.lit("UTG/"), (k % 9).cast("string"), F.lit(".0bb/BTN/call/CHECK"))).alias("prev_line"),

@@ -31,5 +31,12 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[QueryFn],
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A table of the data folder.
+
+    `wide` is for work that is heavy per row: a table stored in fewer pieces than there are cores is
+    spread over them first. A large table has more pieces than that and is read as it lies.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if wide and df.rdd.getNumPartitions() < cores else df
