@@ -467,7 +467,9 @@ def feature_views(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFra
     hero = raw("features.hero_cards") if "features.hero_cards" in have else raw("hero_cards")
     equity = F.coalesce(number("features.equity_table"), number("features.equity_1v1"))
     stack = F.coalesce(number("features.effective_stack"), number("features.hero_stack"), number("stack"))
-    profiles = F.from_json(F.coalesce(raw("features.opponent_profiles"), raw("opponent_profiles")).cast("string"), PROFILE_TYPE)
+    named = [n for n in ("features.opponent_profiles", "opponent_profiles") if n in have]
+    typed = [F.col(f"`{n}`") if df.schema[n].dataType.typeName() == "array" else F.from_json(F.col(f"`{n}`"), PROFILE_TYPE) for n in named]
+    profiles = F.coalesce(*typed, F.lit(None).cast(PROFILE_TYPE))
 
     def mean(metric: str) -> Column:
         listed = F.filter(F.transform(profiles, lambda p: p[metric]), lambda x: x.isNotNull())

@@ -129,33 +129,39 @@ def scenario_csv(spark: SparkSession, paths: Sequence[str], max_rows: int | None
     return renamed.drop("_order")
 
 
-def _either(names: Sequence[str], have: set[str]) -> Column:
-    return F.coalesce(*[F.nullif(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names if n in have], F.lit(None).cast("string"))
+# Scenario columns, each with the older names it is read from.
+SCENARIO_ALIASES = {
+    "correct_decision": ("correct_decision", "label", "answer", "output", "correct_action"),
+    "available_moves": ("available_moves", "legal_actions", "actions"),
+    "pot_size": ("pot_size", "pot"),
+    "hero_pos": ("hero_pos", "hero_position"),
+    "prev_line": ("prev_line", "action_history", "history"),
+    "postflop_action": ("postflop_action", "action_history"),
+    "evaluation_at": ("evaluation_at", "street"),
+    **{c: (c,) for c in ("row_index", "hero_holding", "holding", "preflop_action", "board_flop", "board_turn", "board_river", "num_players", "num_bets", "hero_position")},
+}
 
 
 def scenario_json(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """JSON documents (a list, or the first non-empty of data / rows / examples) with the older column names filled in."""
-    doc = spark.read.option("multiLine", True).json(list(paths)).withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    lists = [n for n in ("data", "rows", "examples") if n in doc.columns]
-    if lists:
-        filled = F.coalesce(*[F.when(F.size(n) > 0, F.col(n)) for n in lists])
-        doc = doc.select("_file", F.posexplode(filled).alias("_position", "_row")).select("_file", "_position", "_row.*")
-    else:
-        doc = doc.withColumn("_position", F.monotonically_increasing_id())
-    have = set(doc.columns)
-    early = F.when(F.col("_file").startswith("preflop"), "PREFLOP").otherwise("UNKNOWN")
-    filled = {
-        "row_index": F.coalesce(_either(["row_index"], have), F.col("_position").cast("string")),
-        "correct_decision": _either(["correct_decision", "label", "answer", "output", "correct_action"], have),
-        "available_moves": _either(["available_moves", "legal_actions", "actions"], have),
-        "pot_size": F.coalesce(_either(["pot_size", "pot"], have), F.lit("0")),
-        "hero_pos": _either(["hero_pos", "hero_position"], have),
-        "prev_line": F.coalesce(_either(["prev_line", "action_history", "history"], have), F.lit("")),
-        "postflop_action": F.coalesce(_either(["postflop_action", "action_history"], have), F.lit("")),
-        "evaluation_at": F.coalesce(_either(["evaluation_at", "street"], have), early),
-        "source_file": F.col("_file"),
-    }
-    return doc.withColumns(filled).drop("_file", "_position")
+    doc = spark.read.option("wholetext", True).text(list(paths)).select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"), F.try_parse_json("value").alias("_doc")
+    )
+    lists = [F.try_variant_get("_doc", path, "array<variant>") for path in ("$", "$.data", "$.rows", "$.examples")]
+    items = F.coalesce(*[F.when(F.size(items) > 0, items) for items in lists])
+    rows = doc.select("source_file", F.posexplode(items).alias("_position", "_item")).filter(variant_kind(F.col("_item")) == "object")
+
+    def field(names: Sequence[str]) -> Column:
+        return F.coalesce(*[F.nullif(F.try_variant_get("_item", f"$.{n}", "string"), F.lit("")) for n in names], F.lit(None).cast("string"))
+
+    filled = {name: field(names) for name, names in SCENARIO_ALIASES.items()}
+    filled["row_index"] = F.coalesce(filled["row_index"], F.col("_position").cast("string"))
+    filled["pot_size"] = F.coalesce(filled["pot_size"], F.lit("0"))
+    for name in ("prev_line", "postflop_action"):
+        filled[name] = F.coalesce(filled[name], F.lit(""))
+    early = F.when(F.col("source_file").startswith("preflop"), "PREFLOP").otherwise("UNKNOWN")
+    filled["evaluation_at"] = F.coalesce(filled["evaluation_at"], early)
+    return rows.select("source_file", *[c.alias(n) for n, c in filled.items()])
 
 
 # Scenario file names in the order they are looked for.
