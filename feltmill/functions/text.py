@@ -8,7 +8,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import strip, to_double
+from .values import let, strip, to_double
 
 # Action classes and what they mean as an intent.
 FOUR_CLASSES = ("CHECK", "FOLD", "CALL", "RAISE")
@@ -70,41 +70,46 @@ def unescape_entities(c: Column) -> Column:
             )
         )
 
-    decoded = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), decode)
-    gaps = F.split(c, pattern, -1)
-    joined = F.array_join(F.zip_with(gaps, decoded, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit("")))), "")
-    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+    def joined(text: Column) -> Column:
+        decoded = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), decode)
+        gaps = F.split(text, pattern, -1)
+        whole = F.array_join(F.zip_with(gaps, decoded, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit("")))), "")
+        return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+    return let(c, joined)
 
 
 def clean_action(c: Column, entities: bool = True) -> Column:
     """Readable action text: entities decoded, the <action> body if there is one, tags and joins removed."""
     text = F.coalesce(c.cast("string"), F.lit(""))
-    text = strip(unescape_entities(text) if entities else text)
     tagged = r"(?is)<\s*action\s*>(.*?)<\s*/\s*action\s*>"
-    text = F.when(text.rlike(tagged), F.regexp_extract(text, tagged, 1)).otherwise(text)
-    text = F.regexp_replace(text, "<[^>]+>", " ")
-    text = F.translate(text, "_-", "  ")
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+
+    def cleaned(t: Column) -> Column:
+        body = F.when(t.rlike(tagged), F.regexp_extract(t, tagged, 1)).otherwise(t)
+        plain = F.translate(F.regexp_replace(body, "<[^>]+>", " "), "_-", "  ")
+        return strip(F.regexp_replace(plain, r"(?U)\s+", " "))
+
+    return let(strip(unescape_entities(text) if entities else text), cleaned)
 
 
 def action_class(cleaned: Column) -> Column:
     """CHECK / FOLD / CALL / RAISE of a cleaned action text, null when nothing fits."""
-    low = F.lower(cleaned)
-    return (
-        F.when(low == "", F.lit(None).cast("string"))
-        .when(low.rlike(CHECK_WORDS) | low.isin("k", "x"), F.lit("CHECK"))
-        .when(low.rlike(FOLD_WORDS) | (low == "f"), F.lit("FOLD"))
-        .when(low.rlike(CALL_WORDS) | (low == "c"), F.lit("CALL"))
-        .when(low.rlike(RAISE_WORDS) | low.rlike(SHORT_RAISE) | low.rlike(BARE_SIZE), F.lit("RAISE"))
-    )
+
+    def classed(low: Column) -> Column:
+        return (
+            F.when(low == "", F.lit(None).cast("string"))
+            .when(low.rlike(CHECK_WORDS) | low.isin("k", "x"), F.lit("CHECK"))
+            .when(low.rlike(FOLD_WORDS) | (low == "f"), F.lit("FOLD"))
+            .when(low.rlike(CALL_WORDS) | (low == "c"), F.lit("CALL"))
+            .when(low.rlike(RAISE_WORDS) | low.rlike(SHORT_RAISE) | low.rlike(BARE_SIZE), F.lit("RAISE"))
+        )
+
+    return let(F.lower(cleaned), classed)
 
 
 def intent_of(action: Column) -> Column:
     """Intent of one of the four classes, null outside them."""
-    return (
-        F.when(action.isin("CHECK", "FOLD"), F.lit("NO_INVEST"))
-        .when(action.isin("CALL", "RAISE"), action)
-    )
+    return let(action, lambda a: F.when(a.isin("CHECK", "FOLD"), F.lit("NO_INVEST")).when(a.isin("CALL", "RAISE"), a))
 
 
 def action_of_intent(intent: Column, can_check: Column) -> Column:
@@ -117,10 +122,12 @@ def action_of_intent(intent: Column, can_check: Column) -> Column:
 
 
 def bet_size(cleaned: Column) -> Column:
-    low = F.lower(cleaned)
-    sized = F.nullif(F.regexp_extract(low, BET_SIZE, 1), F.lit(""))
-    bare = F.nullif(F.regexp_extract(low, r"^([0-9]+(?:\.[0-9]+)?)$", 1), F.lit(""))
-    return F.coalesce(sized, bare).try_cast("double")
+    def sized(low: Column) -> Column:
+        worded = F.nullif(F.regexp_extract(low, BET_SIZE, 1), F.lit(""))
+        bare = F.nullif(F.regexp_extract(low, r"^([0-9]+(?:\.[0-9]+)?)$", 1), F.lit(""))
+        return F.coalesce(worded, bare).try_cast("double")
+
+    return let(F.lower(cleaned), sized)
 
 
 def hand_record_amount(action: Column) -> Column:

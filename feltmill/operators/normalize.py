@@ -117,10 +117,20 @@ def feature_frame(df: DataFrame, with_history: bool = True) -> DataFrame:
     exists: no price, no history counts, and ratios stay null without a pot.
     """
     amount = to_double_or_zero if with_history else to_double
-    pot, stack = amount(F.col("pot_size"), "number"), amount(F.col("effective_stack"), "number")
-    price = X.price_from_legal(F.col("legal_actions")) if with_history else F.lit(0.0)
-    legal = F.lower(F.coalesce(F.col("legal_actions"), F.lit("")))
-    counts = X.history_word_counts(F.col("action_history")) if with_history else {k: F.lit(0) for k in X.HISTORY_WORDS}
+    # What several features share is computed in its own projection first.
+    staged = df.withColumns(
+        {
+            "_pot": amount(F.col("pot_size"), "number"),
+            "_stack": amount(F.col("effective_stack"), "number"),
+            "_price": X.price_from_legal(F.col("legal_actions")) if with_history else F.lit(0.0),
+            "_legal": F.lower(F.coalesce(F.col("legal_actions"), F.lit(""))),
+            "_history": F.lower(F.coalesce(F.col("action_history"), F.lit(""))),
+        }
+    )
+    words = X.history_word_counts(F.col("_history")) if with_history else {k: F.lit(0) for k in X.HISTORY_WORDS}
+    staged = staged.withColumns({f"_n_{k}": v for k, v in words.items()})
+    pot, stack, price, legal = (F.col(c) for c in ("_pot", "_stack", "_price", "_legal"))
+    counts = {k: F.col(f"_n_{k}") for k in words}
     total = counts["check"] + counts["call"] + counts["fold"] + counts["bet_raise"]
 
     def flag(condition: Column) -> Column:
@@ -151,7 +161,7 @@ def feature_frame(df: DataFrame, with_history: bool = True) -> DataFrame:
         "metadata.street": F.upper(F.coalesce(F.nullif("street", F.lit("")), F.lit("UNKNOWN"))),
         "features.hero_position": F.upper(F.coalesce(F.nullif("hero_position", F.lit("")), F.lit("UNKNOWN"))),
     }
-    return df.select(*[values[c].alias(c) for c in MODEL_COLUMNS], "label_3intent", "source_dataset", "source_row_id")
+    return staged.select(*[values[c].alias(c) for c in MODEL_COLUMNS], "label_3intent", "source_dataset", "source_row_id")
 
 
 def scenario_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
