@@ -116,9 +116,12 @@ def per_file_limit(df: DataFrame, file: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(inside)).filter(F.col("_r") <= n).drop("_r")
 
 
-def scenario_csv(spark: SparkSession, paths: Sequence[str], max_rows: int | None = None) -> DataFrame:
-    """Scenario CSV files as text with `source_file`; an unnamed first column becomes `row_index`."""
-    df = spark.read.option("header", True).option("multiLine", True).csv(list(paths))
+def scenario_csv(spark: SparkSession, paths: Sequence[str], max_rows: int | None = None, line_breaks_in_cells: bool = False) -> DataFrame:
+    """Scenario CSV files as text with `source_file`; an unnamed first column becomes `row_index`.
+
+    Files are read in pieces unless cells hold line breaks, which ties a file to one task.
+    """
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks_in_cells).csv(list(paths))
     renamed = df.select(
         *[F.col(f"`{c}`").alias("row_index" if c in ("_c0", "", BOM) else c.lstrip(BOM)) for c in df.columns],
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"),
@@ -300,7 +303,8 @@ def merge_sources(spark: SparkSession, paths: dict[str, str], order: str, sample
             warnings.append(f"missing_source:{key}:{path}")
             continue
         df = spark.read.option("header", True).csv(path)
-        frames[key] = df.orderBy(order).limit(sample_size) if sample_size is not None else df
+        first = [F.col(f"`{order}`").try_cast("bigint"), F.col(f"`{order}`")]
+        frames[key] = df.orderBy(*first).limit(sample_size) if sample_size is not None else df
     if not frames:
         raise FileNotFoundError("no_merge_sources_available")
     return frames, warnings
