@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import seeded_digest, unit_interval
-from ..session import scratch_path
+from ..session import stored
 
 
 @dataclass(frozen=True)
@@ -47,13 +47,6 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.where(total > 0, rows / np.where(total > 0, total, 1.0), 1.0 / rows.shape[1])
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: every round reads it, and a lost executor costs one re-read."""
-    path = scratch_path(df.sparkSession, "histograms")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def assign(df: DataFrame, values: str, centroids: np.ndarray) -> DataFrame:
     """Add `cluster` and `distance` of the nearest centroid."""
     out = df.withColumn("_n", _nearest(centroids)(F.col(values)))
@@ -90,7 +83,7 @@ def kmeans_emd(
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    df = _stored(df.select(key, values))
+    df = stored(df.select(key, values), "histograms")
     centroids = _seed_centroids(df, key, values, k, seed)
     bins = centroids.shape[1]
     previous: np.ndarray | None = None
@@ -129,7 +122,7 @@ def kmeans_emd(
 
 def bucket_table(df: DataFrame, board_key: str, hand_key: str, values: str, k: int, seed: int = 42, max_rounds: int = 50) -> DataFrame:
     """One row per (board, hand) with its bucket: the stored form of a clustered street."""
-    keyed = _stored(df.withColumn("_key", F.concat_ws("|", board_key, hand_key)))
+    keyed = stored(df.withColumn("_key", F.concat_ws("|", board_key, hand_key)), "histograms")
     found = kmeans_emd(keyed, "_key", values, k, seed, max_rounds)
     return assign(keyed, values, found.centroids).select(board_key, hand_key, F.col("cluster").alias("bucket"))
 

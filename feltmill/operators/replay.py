@@ -11,6 +11,7 @@ from ..functions import cards as C
 from ..functions.rules import first_reason
 from ..functions.text import hand_record_amount, intent_of
 from ..functions.values import short_number, strip
+from ..session import stored
 from .ranks import running
 
 STREETS = ("PREFLOP", "FLOP", "TURN", "RIVER")
@@ -91,7 +92,10 @@ def replay_bets(actions: DataFrame, keys: Sequence[str], order: Sequence[str], s
 
     def scan(df: DataFrame, by: Sequence[str], name: str, kind: str, column: Column, inclusive: bool = False) -> DataFrame:
         if slice_of is not None:
-            return running(df, by, order, slice_of, {name: (kind, column)}, inclusive)
+            # A sliced scan reads its input twice (slice totals, then rows). The input of every scan
+            # after the first is therefore stored, or four scans would read the source sixteen times.
+            source = df if df is actions else stored(df, "replay")
+            return running(source, by, order, slice_of, {name: (kind, column)}, inclusive)
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         value = F.sum(column).over(frame) if kind == "sum" else F.max(column).over(frame)
         return df.withColumn(name, F.coalesce(value, F.lit(0)) if kind == "sum" else value)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import half_even
 from ..schemas import check_matrix
-from ..session import scratch_path
+from ..session import stored
 from .reports import best_model, confusion_counts, majority_baseline, overall_metrics
 from .splits import stratified_fraction, stratified_two_way
 
@@ -152,13 +152,6 @@ def _small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
-    """Rows that are scanned many times, as a table in the shared folder."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def two_way(df: DataFrame, matrix: Matrix, seed: int) -> tuple[DataFrame, DataFrame]:
     """Stratified train and test rows, split once and stored by split."""
     split = stored(stratified_two_way(prepared(df, matrix), "_label", "_key", seed).drop("split_warning"), "split", "split")

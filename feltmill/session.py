@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, never reused path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and a lost executor costs one re-read."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.parquet(path)
