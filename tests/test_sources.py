@@ -153,3 +153,13 @@ def test_matrix_refuses_leakage():
     with pytest.raises(ValueError, match="missing_normalized_column:source_dataset"):
         H.check_normalized([])
     assert not [c for c in H.MODEL_COLUMNS if H.is_leakage(c)]
+
+
+def test_split_fan_out(spark, tmp_path):
+    df = spark.createDataFrame([("s1", "train", 1.0, "CALL", "x"), ("s2", "test", 2.0, "FOLD", "y")], "snapshot_id string, split string, `features.pot_bb` double, bootstrap_label string, `audit.note` string")
+    paths = K.write_splits(df, str(tmp_path / "d"), ["features.pot_bb"], audit=["audit.note"])
+    x = spark.read.option("header", True).csv(paths["X"])
+    assert set(x.columns) == {"features.pot_bb", "split"} and x.filter("split = 'test'").first()["features.pot_bb"] == "2.0"
+    assert spark.read.option("header", True).csv(paths["y"]).count() == 2 and spark.read.json(paths["dataset_jsonl"]).count() == 2
+    with pytest.raises(ValueError, match="leakage_column_in_features"):
+        K.write_splits(df, str(tmp_path / "e"), ["audit.note"])
