@@ -91,7 +91,8 @@ def learn(labelled: DataFrame, sample_docs: int = 8000, bits: int = 20, least_sh
     drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        pieces = (batch.slice(low, 500) for batch in batches for low in range(0, batch.num_rows, 500))
+        for batch in pieces:
             for lang in set(names := batch.column(1).to_pylist()):
                 found = [grams_of(t.as_py()) for t, own in zip(batch.column(0), names, strict=True) if own == lang]
                 each, docs = np.unique(np.concatenate([np.unique(g) for g in found]), return_counts=True)

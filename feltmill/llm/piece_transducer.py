@@ -34,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
 UNIGRAM, BPE = 1, 2  # model types of the format
 UNKNOWN_PENALTY = 10.0
-SHORT, HELD = 48, 500_000
+SHORT, HELD = 48, 300_000
 
 
 class PieceTransducer:

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feltmill.llm import language_filters, line_dedup, piece_transducer, simhash_tiles, spaced_seeds
+from feltmill.llm import (
+    attention_quality,
+    language_filters,
+    line_dedup,
+    mincut_extraction,
+    multiset_fingerprint,
+    piece_transducer,
+    simhash_tiles,
+    spaced_seeds,
+    warc,
+)
 from feltmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +137,59 @@ def op10_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, how many are byte pieces, and whether decoding gives the text again."""
     model = piece_transducer.compile_model(PIECE_MODEL)
     return piece_transducer.encode_texts(table(spark, sf_dir, "documents"), model, "doc_id").withColumn("n_ids", F.size("ids").cast("long"))
+
+
+@query("op1_attention_quality")
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(3) == 1)
+    labels = table(spark, sf_dir, "labels").filter(fold(3) != 1)
+    model = attention_quality.learn(docs, labels)
+    found = attention_quality.scores(docs, model, "doc_id", "held_out")
+    return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_passages")
+
+
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), m AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS largest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
+FROM m
+"""
+
+
+@query("op6_warc", WARC_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    found = warc.read_archives(spark, manifest, with_payload=False).filter("trouble IS NULL")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*)>$", 1).try_cast("long")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+@query("op7_multiset_fingerprint")
+def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("digests", multiset_fingerprint.piece_digests(F.col("text"))).select("doc_id", "text", multiset_fingerprint.fingerprint(F.col("digests")).alias("words"))
+    both = multiset_fingerprint.with_successor(own, F.struct("text", "words"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("__next.text", F.lit(1), half))
+    both = both.select("doc_id", "words", F.length("text").cast("long").alias("n_chars"), F.col("__next.words").alias("next_words"), edited.alias("edited"))
+    both = both.withColumn("digests", multiset_fingerprint.piece_digests(F.col("edited"))).withColumn("edited_words", multiset_fingerprint.fingerprint(F.col("digests")))
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        multiset_fingerprint.digits(F.col("words")).alias("fingerprint"),
+        multiset_fingerprint.digits(F.col("edited_words")).alias("edited_fingerprint"),
+        multiset_fingerprint.likeness(F.col("words"), F.col("edited_words")).alias("near_edited"),
+        multiset_fingerprint.likeness(F.col("words"), F.col("next_words")).alias("near_next"),
+    )
+
+
+@query("op8_mincut_extraction")
+def op8_mincut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mincut_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
