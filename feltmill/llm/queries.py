@@ -16,6 +16,7 @@ from feltmill.llm import (
     piece_transducer,
     simhash_tiles,
     spaced_seeds,
+    suffix_groups,
     warc,
 )
 from feltmill.llm.common import table
@@ -193,3 +194,15 @@ def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mincut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mincut_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_suffix_groups")
+def op9_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_groups.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
