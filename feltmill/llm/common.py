@@ -26,20 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def identity(df: DataFrame) -> list[Column]:
+def identity(row: str | None = None) -> list[Column]:
     """Columns that name a row: its id (missing: after all others) and a digest of its whole text.
 
-    Rows that agree in both are repeats of each other and share every decision.
+    Rows that agree in both are repeats of each other and share every decision. `row`: a struct to take them from.
     """
-    return [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__doc"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__text_key"),
-    ]
+    doc, text = (F.col(f"{row}.{c}" if row else c) for c in ("doc_id", "text"))
+    return [F.coalesce(doc.cast("long"), F.lit(LAST_ID)).alias("__doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__text_key")]
 
 
-def with_identity(df: DataFrame) -> DataFrame:
-    doc, key = identity(df)
-    return df.withColumns({"__doc": doc, "__text_key": key})
+def wrapped(df: DataFrame) -> DataFrame:
+    """(__row, __doc, __text_key): all columns in one struct, where no name can clash with those added beside it."""
+    return df.select(F.struct("*").alias("__row")).select("__row", *identity("__row"))
 
 
 def small_side(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:

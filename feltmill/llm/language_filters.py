@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feltmill.llm.common import shared
@@ -127,20 +127,25 @@ def learn(labelled: DataFrame, sample_docs: int = 8000, bits: int = 20, least_sh
     return LanguageFilters(languages, masks, bits)
 
 
-def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
-    """The rows with __lang and __score; the filters (2**bits masks) are broadcast."""
-    held = shared(docs.sparkSession, (model, model.false_rates()))
+def decision(spark: SparkSession, model: LanguageFilters, text: Column) -> Column:
+    """struct(lang, score) of a text; the filters (2**bits masks) are broadcast."""
+    held = shared(spark, (model, model.false_rates()))
 
     @F.pandas_udf("lang string, score double")
     def decide(texts: pd.Series) -> pd.DataFrame:
         filters, rates = held()
         return pd.DataFrame([filters.decide(t, rates) for t in texts], columns=["lang", "score"])
 
-    decide = decide.asNondeterministic()  # else both fields would be computed apart
-    return docs.withColumn("__found", decide(F.col("text"))).withColumns({"__lang": F.col("__found.lang"), "__score": F.col("__found.score")}).drop("__found")
+    return decide.asNondeterministic()(text)  # so that its fields are not computed apart
+
+
+def predict(docs: DataFrame, model: LanguageFilters, *keep: str) -> DataFrame:
+    """(keep..., lang_pred, score) of every row."""
+    found = docs.select(*keep, decision(docs.sparkSession, model, F.col("text")).alias("__found"))
+    return found.select(*keep, F.col("__found.lang").alias("lang_pred"), "__found.score")
 
 
 def keep_known(docs: DataFrame, model: LanguageFilters, least_score: float = 0.05) -> DataFrame:
     """The rows whose language could be told: not `und`, and n-grams of the language found in the text."""
-    found = predict(docs, model)
-    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).drop("__lang", "__score")
+    rows = docs.select(F.struct("*").alias("__row")).withColumn("__found", decision(docs.sparkSession, model, F.col("__row.text")))
+    return rows.filter((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= least_score)).select("__row.*")

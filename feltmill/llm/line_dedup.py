@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feltmill.llm.common import BLANKS, with_identity
+from feltmill.llm.common import BLANKS, identity, wrapped
 from feltmill.session import stored
 
 MIN_KEY = 10
@@ -129,7 +129,7 @@ def _kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
 
 def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """(__doc, __text_key, n_dropped, bitmap) of the documents that lose lines."""
-    rows = with_identity(docs).select("__doc", "__text_key", "text").mapInArrow(line_rows(min_key), ROW)
+    rows = docs.select(*identity(), "text").mapInArrow(line_rows(min_key), ROW)
     order = [*KEY, "__doc", "__text_key", "__pos"]
     told = stored(
         rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(first_occurrences, f"{ROW}, __state int"),
@@ -142,12 +142,16 @@ def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     return places.select("__doc", "__text_key", F.size("__gone").cast("long").alias("n_dropped"), _bitmap("__gone").alias("bitmap"))
 
 
+def marked(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
+    """(__row, n_lines, n_dropped): every row with the kept lines as its text, and its lines before and the loss."""
+    whole = wrapped(docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    text = F.col("__row.text")
+    joined = whole.join(keep_bitmaps(docs, min_key), ["__doc", "__text_key"], "left")
+    kept = F.when(F.col("bitmap").isNull(), text).otherwise(_kept(text, F.col("bitmap")))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + F.lit(1).cast("long")
+    return joined.select(F.col("__row").withField("text", kept).alias("__row"), lines.alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"))
+
+
 def drop_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
-    """The rows of `docs` with the kept lines as text, and __n_lines and __n_dropped beside them."""
-    marks = keep_bitmaps(docs, min_key).withColumnsRenamed({"n_dropped": "__n_dropped", "bitmap": "__bitmap"})
-    whole = with_identity(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    counted = whole.withColumn("__n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + F.lit(1).cast("long"))
-    joined = counted.join(marks, ["__doc", "__text_key"], "left")
-    return joined.withColumn("text", F.when(F.col("__bitmap").isNull(), F.col("text")).otherwise(_kept("text", "__bitmap"))).withColumn(
-        "__n_dropped", F.coalesce("__n_dropped", F.lit(0).cast("long"))
-    ).drop("__doc", "__text_key", "__bitmap")
+    """The rows of `docs` with the kept lines as text."""
+    return marked(docs, min_key).select("__row.*")

@@ -109,7 +109,8 @@ def _block(order: Column, edges: list[int]) -> Column:
 
 
 def with_successor(docs: DataFrame, value: Column, blocks: int | None = None) -> DataFrame:
-    """The rows with `__next`: `value` of the row that follows in descending doc_id, of the first after the last.
+    """(__row, __next): every row as a struct, and `value` of the row that follows in descending doc_id, of the first
+    row after the last.
 
     Rows are dealt into blocks of neighbouring ids; a window looks only inside a block, and the first row of each block
     also goes, as a guest, to the end of the block before it. Only ids and block borders are gathered beforehand.
@@ -126,12 +127,10 @@ def with_successor(docs: DataFrame, value: Column, blocks: int | None = None) ->
     first = sorted((r["__block"], r["h"][0], r["h"][1]) for r in heads.collect())  # a row for each block
     before = [b for b, _, _ in first[1:]] + [b for b, _, _ in first[:1]]
     guests = spark.createDataFrame([(b, o, k, to) for (b, o, k), to in zip(first, before, strict=True)], "__block int, __order long, __text_key long, __to int")
-    marked = docs.withColumns({"__order": order, "__text_key": F.xxhash64(F.coalesce("text", F.lit(""))), "__value": value})
-    marked = marked.withColumn("__block", _block(F.col("__order"), edges))
-    marked = marked.join(F.broadcast(guests), ["__block", "__order", "__text_key"], "left")
+    whole = docs.select(F.struct("*").alias("__row"), value.alias("__value"), order.alias("__order"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text_key"))
+    placed = whole.withColumn("__block", _block(F.col("__order"), edges)).join(F.broadcast(guests), ["__block", "__order", "__text_key"], "left")
     own = F.struct(F.col("__block").alias("block"), F.lit(0).alias("guest"))
     guest = F.when(F.col("__to").isNotNull(), F.struct(F.col("__to").alias("block"), F.lit(1).alias("guest")))
-    placed = marked.withColumn("__place", F.explode(F.array_compact(F.array(own, guest))))
+    placed = placed.withColumn("__place", F.explode(F.array_compact(F.array(own, guest))))
     line = Window.partitionBy("__place.block").orderBy("__place.guest", F.desc("__order"), F.desc("__text_key"))
-    followed = placed.withColumn("__next", F.lead("__value").over(line)).filter("__place.guest = 0")
-    return followed.drop("__place", "__block", "__order", "__text_key", "__to", "__value")
+    return placed.withColumn("__next", F.lead("__value").over(line)).filter("__place.guest = 0").select("__row", "__next")

@@ -65,10 +65,8 @@ FROM judged GROUP BY doc_id
 
 @query("op2_line_dedup", LINE_DEDUP_SQL)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256")
-    )
+    kept = line_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("__row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("__row.text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 TOKENS_SQL = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
@@ -130,7 +128,7 @@ def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(4) == 2)
     model = language_filters.learn(docs.filter(~F.col("held_out")))
-    return language_filters.predict(docs, model).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return language_filters.predict(docs, model, "doc_id", "held_out")
 
 
 @query("op10_piece_transducer")
@@ -175,9 +173,12 @@ def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("digests", multiset_fingerprint.piece_digests(F.col("text"))).select("doc_id", "text", multiset_fingerprint.fingerprint(F.col("digests")).alias("words"))
     both = multiset_fingerprint.with_successor(own, F.struct("text", "words"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("__next.text", F.lit(1), half))
-    both = both.select("doc_id", "words", F.length("text").cast("long").alias("n_chars"), F.col("__next.words").alias("next_words"), edited.alias("edited"))
+    text = F.col("__row.text")
+    half = F.floor(F.length(text) / 2).cast("int")
+    edited = F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring("__next.text", F.lit(1), half))
+    both = both.select(
+        "__row.doc_id", "__row.words", F.length(text).cast("long").alias("n_chars"), F.col("__next.words").alias("next_words"), edited.alias("edited")
+    )
     both = both.withColumn("digests", multiset_fingerprint.piece_digests(F.col("edited"))).withColumn("edited_words", multiset_fingerprint.fingerprint(F.col("digests")))
     return both.select(
         "doc_id",

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feltmill.llm.common import identity, with_identity
+from feltmill.llm.common import identity, wrapped
 from feltmill.session import stored
 
 BITS = 64
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             found = np.fromiter((fingerprint_of(t.as_py(), words) for t in batch.column(3)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found.view(np.int64))], names=names)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(docs), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(), "text")
     return source.mapInArrow(rows, ", ".join(f"{n} long" for n in names))
 
 
@@ -200,4 +200,4 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """
     found = near_duplicates(docs, words, radius)
     kept = found.groupBy("__root").agg(F.min(F.struct("__doc", "__text_key")).alias("k")).select("k.*")
-    return with_identity(docs).join(kept, ["__doc", "__text_key"], "left_semi").dropDuplicates(["__doc", "__text_key"]).drop("__doc", "__text_key")
+    return wrapped(docs).join(kept, ["__doc", "__text_key"], "left_semi").dropDuplicates(["__doc", "__text_key"]).select("__row.*")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feltmill.llm.common import LAST_ID, small_side, with_identity
+from feltmill.llm.common import LAST_ID, identity, small_side, wrapped
 
 #: 1: the token counts, 0: it is ignored. Five tokens count in each.
 MASKS = ("11111", "1101011", "1100100101")
@@ -63,7 +63,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, like
     items = small_side(items, "items")
     seeds = windows(items, "__item", "item_id").select("__seed", "item_id", F.col("__place").alias("__at"), F.size("__item").alias("__len"))
     seeds = small_side(seeds, "seeds")
-    texts = with_identity(docs.select("doc_id", "text")).select("__doc", "__text_key", token_digests(F.col("text")).alias("__row"))
+    texts = docs.select(*identity(), token_digests(F.col("text")).alias("__row"))
     start = F.col("__place") - F.col("__at")
     hits = (
         windows(texts, "__row", "__doc", "__text_key")
@@ -103,4 +103,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, like
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without an overlap."""
     found = small_side(overlaps(docs, benchmark).select("__doc", "__text_key").distinct(), "contaminated")
-    return with_identity(docs).join(found, ["__doc", "__text_key"], "left_anti").drop("__doc", "__text_key")
+    return wrapped(docs).join(found, ["__doc", "__text_key"], "left_anti").select("__row.*")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feltmill.llm.common import small_side, with_identity
+from feltmill.llm.common import identity, small_side
 from feltmill.session import stored
 
 SPAN = 200
@@ -316,7 +316,7 @@ def repeated_strings(docs: DataFrame, span: int = SPAN, block: int = BLOCK, larg
     if not 2 * GRAM <= span < _SEGMENT:
         raise ValueError(f"span must be at least {2 * GRAM}")
     key = ["__anchor", "__context"]
-    texts = with_identity(docs.select("doc_id", "text")).select("__doc", "__text_key", "text")
+    texts = docs.select(*identity(), "text")
     occurrences = stored(texts.mapInArrow(_occurrences(span), OCCURRENCE), "anchors")
     again = small_side(occurrences.groupBy("__anchor").agg(F.count("*").alias("__n")).filter("__n > 1").select("__anchor"), "anchors-met-again")
     places = occurrences.join(again, "__anchor", "left_semi")
@@ -355,7 +355,7 @@ def covered_spans(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, span: int = SPAN, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """(doc_id, kept, spans, n_bytes): the bytes left of every text, and the runs [from, to) removed from it."""
     found = repeated_strings(docs, span, block, large)
-    own = with_identity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
     joined = own.join(found, ["__doc", "__text_key"], "left").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), "__starts")
 
     @F.pandas_udf("kept binary, spans array<struct<f: long, t: long>>")
