@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feltmill.llm.common import shared
 
@@ -169,7 +170,8 @@ def scores(docs: DataFrame, model: AttentionModel, *keep: str) -> DataFrame:
     """(keep..., score, n_passages) of every row; the model's few thousand parameters are broadcast."""
     held = shared(docs.sparkSession, model)
     source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", score double, n_passages long"
+    added = T.StructType().add("score", T.DoubleType()).add("n_passages", T.LongType())
+    schema = T.StructType(source.schema.fields[:-1] + added.fields)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

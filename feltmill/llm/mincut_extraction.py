@@ -113,7 +113,8 @@ def blocks_of(page: str) -> list[_Block]:
             continue  # comments, declarations and elements whose content is no text
         name = name.lower()
         if name == "br":
-            parts.append(" ")
+            if parts:
+                parts.append(" ")
             continue
         if name not in INLINE:
             close()

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feltmill.llm.common import shared
 
@@ -229,7 +230,8 @@ def encode_texts(docs: DataFrame, model: PieceTransducer, *keep: str) -> DataFra
     them gives the text again. The compiled model is broadcast; it is as large as its vocabulary."""
     held = shared(docs.sparkSession, model)
     source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", ids array<int>, n_bytes long, round_trip boolean"
+    added = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_bytes", T.LongType()).add("round_trip", T.BooleanType())
+    schema = T.StructType(source.schema.fields[:-1] + added.fields)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held()

@@ -169,6 +169,8 @@ def _open_record(data: _Bytes, at: int) -> Record:
     if not head.startswith(b"WARC/1.") or cut < 0:
         return Record(at, at, trouble="no version line" if cut >= 0 else "headers do not end")
     heads = _fields(head[:cut])
+    if not {"warc-type", "warc-record-id", "warc-date"} <= heads.keys():
+        return Record(at, at, trouble="a mandatory field is missing")
     length = heads.get("content-length", "")
     if not length.isdigit():
         return Record(at, at, trouble="no content length")
