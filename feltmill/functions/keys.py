@@ -35,3 +35,9 @@ def content_id(*columns: Column) -> Column:
 
 def short_id(digest: Column) -> Column:
     return F.substring(digest, 1, 16)
+
+
+def padded(number: Column, width: int) -> Column:
+    """Digits with leading zeros up to `width`; a longer number stays whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)

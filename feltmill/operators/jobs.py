@@ -321,7 +321,7 @@ def build_hero_jobs(df: DataFrame) -> DataFrame:
     ids = F.col("solver_job_id") if "solver_job_id" in have else F.lit(None).cast("string")
     return staged.withColumns(
         {
-            "solver_job_id": F.coalesce(ids, F.concat(F.lit("solver_job_"), F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")))),
+            "solver_job_id": F.coalesce(ids, F.concat(F.lit("solver_job_"), F.substring(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256), 1, 32))),
             "villain_solver_player": F.lit(1) - F.col("hero_solver_player"),
             "initial_hole_cards": F.when(hero_first, F.array("hero_hand", "villain_hand")).otherwise(F.array("villain_hand", "hero_hand")),
             "initial_contributions": F.when(F.col("build_error").isNull(), give),

@@ -49,22 +49,34 @@ def spot_identity(df: DataFrame, scalars: Sequence[str], board: str = "board", s
 
 
 def insert_only(existing: DataFrame, incoming: DataFrame, key: str = "spot_id", order: str = "created_at") -> tuple[DataFrame, DataFrame]:
-    """(new table, rejected rows): a key that is present is refused, and so is every later copy in the batch."""
+    """(new table, rejected rows): a key that is present is refused, and so is every copy in the batch but the first.
+
+    The first is the smallest by `order`, then by content; of equal rows one goes in and the others are refused, so
+    that every incoming row is in exactly one of the two results. A missing key is a key like any other.
+    """
     columns = incoming.columns
-    first = incoming.groupBy(key).agg(F.min_by(F.struct(*columns), F.col(order)).alias("_row"), F.min(order).alias("_first"))
-    fresh = first.join(existing.select(key), key, "left_anti")
-    held = fresh.select(key, "_first")
-    marked = incoming.join(held, key, "left")
-    rejected = marked.filter(F.col("_first").isNull() | (F.col(order) != F.col("_first"))).select(*columns, F.lit("duplicate_spot_id").alias("error"))
-    return existing.unionByName(fresh.select("_row.*"), allowMissingColumns=True), rejected
+    content = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    kinds = incoming.groupBy(F.col(key).alias("_key"), F.col(order).alias("_order"), content.alias("_content"))
+    kinds = kinds.agg(F.first(F.struct(*columns)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    first = kinds.groupBy("_key").agg(F.min(F.struct("_order", "_content")).alias("_first"))
+    known = existing.select(F.col(key).alias("_known"))
+    first = first.join(known, F.col("_key").eqNullSafe(F.col("_known")), "left_anti").withColumnRenamed("_key", "_fresh")
+    marked = kinds.join(first, F.col("_key").eqNullSafe(F.col("_fresh")), "left")
+    marked = marked.withColumn("_in", F.col("_first").isNotNull() & F.struct("_order", "_content").eqNullSafe(F.col("_first")))
+    copies = F.array_repeat("_row", (F.col("_n") - F.when(F.col("_in"), 1).otherwise(0)).cast("int"))
+    rejected = marked.select(F.explode(copies).alias("_row")).select("_row.*", F.lit("duplicate_spot_id").alias("error"))
+    return existing.unionByName(marked.filter("_in").select("_row.*"), allowMissingColumns=True), rejected
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "spot_id", order: str = "created_at") -> DataFrame:
-    """Last write wins. The newest row per key is found by an aggregation that combines on the map side."""
+    """Last write wins; of writes at the same `order` the one with the greatest content.
+
+    The newest row per key is found by an aggregation that combines on the map side.
+    """
     columns = existing.columns
     both = existing.select(*columns, F.lit(0).alias("_new")).unionByName(incoming.select(*columns, F.lit(1).alias("_new")))
     row = F.struct(*columns)
-    newest = both.groupBy(key).agg(F.max_by(row, F.struct("_new", order)).alias("_row"))
+    newest = both.groupBy(key).agg(F.max_by(row, F.struct("_new", order, F.to_json(row))).alias("_row"))
     return newest.select("_row.*")
 
 
@@ -91,7 +103,7 @@ def outcome_counts(requests: DataFrame, solved: DataFrame, dry_run: bool = False
 def listing(
     df: DataFrame,
     *,
-    limit: int = 1000,
+    limit: int | None = None,
     offset: int = 0,
     board_pattern: str | None = None,
     label_pattern: str | None = None,
@@ -119,7 +131,8 @@ def listing(
     ):
         if value is not None:
             out = out.filter(test(F.col(column), value))
-    return out.orderBy(F.desc("created_at"), "spot_id").offset(offset).limit(limit)
+    rows = out.orderBy(F.desc("created_at"), "spot_id").offset(offset)
+    return rows if limit is None else rows.limit(limit)
 
 
 def portable(df: DataFrame, spot: Sequence[str], result: Sequence[str], meta: Sequence[str]) -> DataFrame:

@@ -98,7 +98,7 @@ def label_heatmap(values: DataFrame, digits: int = 6) -> DataFrame:
     return means.withColumn("scaled", scaled)
 
 
-def category_shares(values: DataFrame, k: int = 8) -> DataFrame:
+def category_shares(values: DataFrame, k: int) -> DataFrame:
     """Share of the k most frequent values within every label."""
     chosen = top_values(values, k).select("feature", "value", "position")
     totals = values.groupBy("feature", "label").agg(F.sum("n").alias("total"))
@@ -109,7 +109,7 @@ def category_shares(values: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
-def cardinality(df: DataFrame, columns: Sequence[str], list_up_to: int = 30) -> DataFrame:
+def cardinality(df: DataFrame, columns: Sequence[str], list_up_to: int) -> DataFrame:
     """Distinct values per column, with the sorted values while there are few of them.
 
     Only the first `list_up_to` + 1 values of a column are ever collected.
@@ -229,10 +229,10 @@ def variant_kind(value: Column) -> Column:
     )
 
 
-def json_schema(df: DataFrame, raw: str, depth: int = 4, categories: int = 30) -> DataFrame:
+def json_schema(df: DataFrame, raw: str, categories: int) -> DataFrame:
     """Schema of JSON object rows: (path, present_count, required, types, empty_count, categorical_values).
 
-    Objects are opened level by level down to `depth`. A path is required when every object that
+    Objects are opened level by level until none holds another. A path is required when every object that
     could hold it does. Types of empty values do not count.
     """
     spark = df.sparkSession
@@ -240,7 +240,7 @@ def json_schema(df: DataFrame, raw: str, depth: int = 4, categories: int = 30) -
     level = level.filter(variant_kind(F.col("value")) == "object")
     parents = level.groupBy("parent").agg(F.count(F.lit(1)).alias("parents"))
     parts, totals = [], [parents]
-    for _ in range(depth):
+    while not parts or not level.isEmpty():
         opened = spark.sql("SELECT parent, e.key AS key, e.value AS value FROM {level}, LATERAL variant_explode(value) AS e", level=level)
         path = F.when(F.col("parent") == "", F.col("key")).otherwise(F.concat_ws(".", "parent", "key"))
         rows = opened.select("parent", path.alias("path"), "value", variant_kind(F.col("value")).alias("kind"))

@@ -16,15 +16,54 @@ def _bounds(token: Column) -> tuple[Column, Column, Column]:
     return F.greatest(a, b), F.least(a, b), F.lower(F.substring(token, 3, 1))
 
 
+EXACT = "^[2-9TJQKAtjqka][shdcSHDC][2-9TJQKAtjqka][shdcSHDC]$"
+
+
+def token_error(token: Column) -> Column:
+    """Why a token of a range text means no hands; null for a good one."""
+    ends = F.split(token, r"\s*-\s*", 2)
+    dash = F.instr(token, F.lit("-")) > 0
+    left = F.when(dash, F.get(ends, 0)).otherwise(F.regexp_replace(token, r"\+$", ""))
+    right = F.when(dash, F.get(ends, 1)).otherwise(left)
+
+    def either(test) -> Column:  # noqa: ANN001
+        return test(left) | test(right)
+
+    high, low, mark = _bounds(left)
+    high2, low2, mark2 = _bounds(right)
+    aces = (high == 14) & (high2 == 14)
+    return (
+        F.when(token.rlike(EXACT), F.when(F.lower(F.substring(token, 1, 2)) == F.lower(F.substring(token, 3, 2)), "duplicate_card"))
+        .when(either(lambda t: ~F.length(t).between(2, 3)), "invalid_hand_token")
+        .when(either(lambda t: ~F.substring(t, 1, 2).rlike("^[2-9TJQKAtjqka]{2}$")), "invalid_ranks")
+        .when(either(lambda t: ~F.lower(F.substring(t, 3, 1)).isin("", "s", "o")), "invalid_suit_mark")
+        .when(((high == low) & (mark != "")) | ((high2 == low2) & (mark2 != "")), "pair_with_suit_mark")
+        .when((high == low) != (high2 == low2), "pair_and_non_pair")
+        .when(mark != mark2, "unequal_suit_marks")
+        .when((high != low) & ~aces & (high - low != high2 - low2), "unequal_gaps")
+    )
+
+
+def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    pieces = df.select(key, F.posexplode(F.split(text, ",")).alias("token_index", "_raw"))
+    return pieces.withColumn("token", F.trim("_raw")).filter("token <> ''").withColumn("error", token_error(F.col("token")))
+
+
+def range_errors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token_index, token, error) of every token that means no hands."""
+    return _tokens(df, key, text).filter("error IS NOT NULL").select(key, "token_index", "token", "error")
+
+
 def range_combos(df: DataFrame, key: str, text: str) -> DataFrame:
     """Range text to combos: (key, mask, first, second, hand_class, position), duplicates collapsed.
 
+    Only good tokens count; `range_errors` tells the others.
+
     Every token is turned into the ranks and suitedness it covers by arithmetic, so the combo table
     is met by an equi join. The table has 1326 rows by construction and is broadcast.
     """
-    tokens = df.select(key, F.posexplode(F.split(text, ",")).alias("token_index", "_raw"))
-    tokens = tokens.withColumn("token", F.trim("_raw")).filter("token <> ''")
-    exact = F.col("token").rlike("^[2-9TJQKAtjqka][shdcSHDC][2-9TJQKAtjqka][shdcSHDC]$")
+    tokens = _tokens(df, key, text).filter("error IS NULL")
+    exact = F.col("token").rlike(EXACT)
     token = F.col("token")
     dash, plus = F.instr(token, F.lit("-")) > 0, token.endswith("+")
     left = F.trim(F.substring_index(token, "-", 1))

@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where a missing key equals a missing key; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(f"`{k}`").eqNullSafe(F.col(f"`_on_{k}`"))
+    return left.join(renamed, condition, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def exact_rank(df: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str] = (), width: int = 3) -> DataFrame:
     """Add `rank` (1-based) and `group_size` for the order of a hex digest inside each `by` group.
 
@@ -31,8 +40,7 @@ def exact_rank(df: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str
     )
     inside = Window.partitionBy(*keys).orderBy(digest, *ties)
     return (
-        cut.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, keys)
+        join_on(cut.withColumn("_row", F.row_number().over(inside)), offsets, keys)
         .withColumn("rank", F.col("_row") + F.col("_before"))
         .drop("_range", "_row", "_before")
     )
@@ -75,7 +83,7 @@ def running(
         else:
             raise ValueError(f"unknown running kind: {kind}")
     carries = cut.groupBy(*keys).agg(*reduced_cols).select(*keys, *carry_cols)
-    out = cut.join(carries, keys)
+    out = join_on(cut, carries, keys)
     out = out.select("*", *[expr.alias(name) for name, expr in row_cols])
     return out.drop("_slice", *[f"_c_{name}" for name in values])
 

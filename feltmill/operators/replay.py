@@ -240,7 +240,7 @@ def history_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return lines.withColumn("street", F.coalesce(F.last("opens", ignorenulls=True).over(before), F.lit("PREFLOP")))
 
 
-def parse_text_hands(df: DataFrame, keys: Sequence[str], text: str = "text", hero: str = "polo") -> DataFrame:
+def parse_text_hands(df: DataFrame, keys: Sequence[str], hero: str, text: str = "text") -> DataFrame:
     """One hand section per row to one summary row with `status` and `rejection_reason`."""
     lines = history_lines(df, keys, text)
 
@@ -380,7 +380,7 @@ IGNORED = ("shows", "wins", "collected")
 SPOKEN = {"calls": "CALL", "bets": "BET", "raises": "RAISE", "checks": "CHECK", "folds": "FOLD"}
 
 
-def replay_hero(hands: DataFrame, hero: str = "polo") -> DataFrame:
+def replay_hero(hands: DataFrame, hero: str) -> DataFrame:
     """Fold the actions of every two-player hand; stop at the first contradiction.
 
     Adds `replay_status`, `replay_reason`, `contexts` (decisions of the hero up to the stop),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import cards as C
 from ..functions import poker as P
+from ..functions.keys import padded
 from ..functions.rules import all_reasons, is_false, is_true
 from ..functions.text import button_amount, live_label
 from ..functions.values import cap, clamp, flag_to_double, half_even, let, ratio, short_number, to_double, to_flag, to_int
@@ -400,7 +401,7 @@ def aligned_rows(df: DataFrame) -> DataFrame:
     reason = F.coalesce(F.nullif(c("weak_rule_reason"), F.lit("")), F.lit("bootstrap_solver_candidate"))
     source = F.coalesce(F.nullif(c("label_source"), F.lit("")), F.when(F.col("_excluded"), F.lit("bootstrap_excluded")).otherwise("bootstrap_unknown"))
     exclusion = F.coalesce(c("exclusion_reason"), F.lit(""))
-    snapshot = F.coalesce(F.nullif(c("source_id"), F.lit("")), F.concat(F.lit("bootstrap_v5_"), F.lpad(c("row_index"), 6, "0")))
+    snapshot = F.coalesce(F.nullif(c("source_id"), F.lit("")), F.concat(F.lit("bootstrap_v5_"), padded(c("row_index"), 6)))
     total = F.greatest(F.lit(1), F.col("_start"))
     seats = F.transform(
         F.sequence(F.lit(1).cast("bigint"), total),

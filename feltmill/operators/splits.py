@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import normal_draw, pick, seeded_digest
 from ..functions.values import clamp, half_even
-from .ranks import exact_rank, slots
+from .ranks import exact_rank, join_on, slots
 
 STAGES = ("PREFLOP", "POSTFLOP")
 SPLITS = ("train", "validation", "test")
@@ -76,7 +76,7 @@ def stratified_three_way(
         .when(F.col("rank") <= F.col("_kept"), F.lit("validation"))
         .otherwise(F.lit("test"))
     )
-    return ranked.join(cuts, label).withColumn("split", split).drop("_digest", "rank", "group_size", "_kept", "_train")
+    return join_on(ranked, cuts, [label]).withColumn("split", split).drop("_digest", "rank", "group_size", "_kept", "_train")
 
 
 def stratified_two_way(df: DataFrame, label: str, key: str, seed: int = 17, test: float = 0.25) -> DataFrame:
@@ -92,7 +92,7 @@ def stratified_two_way(df: DataFrame, label: str, key: str, seed: int = 17, test
         F.when(plain, F.col("_all") - F.ceil(F.col("_all") * test)).otherwise(F.col("_train")).alias("_train"),
         F.when(plain, F.lit("stratified_split_unavailable_used_random_split")).alias("split_warning"),
     )
-    joined = df.join(cuts, label).withColumn("_digest", seeded_digest(seed, F.col(key)))
+    joined = join_on(df, cuts, [label]).withColumn("_digest", seeded_digest(seed, F.col(key)))
     ranked = exact_rank(joined, ["_group"], "_digest", [key])
     return ranked.withColumn("split", F.when(F.col("rank") <= F.col("_train"), F.lit("train")).otherwise(F.lit("test"))).drop(
         "_digest", "_group", "_train", "rank", "group_size"
@@ -105,13 +105,12 @@ def grouped_split(df: DataFrame, label: str, group: str, seed: int = 17, test: f
     ranked = exact_rank(groups, [label], "_digest", [group])
     test_n = F.when(F.col("group_size") > 1, _share(F.col("group_size"), test)).otherwise(F.lit(0))
     answer = ranked.select(label, group, F.when(F.col("rank") <= test_n, F.lit("test")).otherwise(F.lit("train")).alias("split"))
-    return df.join(answer, [label, group])
+    return join_on(df, answer, [label, group])
 
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
     """Exactly min(n, rows) rows, always the same ones."""
-    ranked = exact_rank(df.withColumn("_digest", seeded_digest(seed, F.col(key))), [], "_digest", [key])
-    return ranked.filter(F.col("rank") <= n).drop("_digest", "rank", "group_size")
+    return df.withColumn("_digest", seeded_digest(seed, F.col(key))).orderBy("_digest", key).limit(n).drop("_digest")
 
 
 def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float, seed: int = 17) -> DataFrame:

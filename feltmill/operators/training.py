@@ -221,7 +221,7 @@ def vector_names(model: PipelineModel, matrix: Matrix) -> list[str]:
     return names
 
 
-def top_coefficients(spark: SparkSession, model: PipelineModel, matrix: Matrix, k: int = 8) -> DataFrame:
+def top_coefficients(spark: SparkSession, model: PipelineModel, matrix: Matrix, k: int) -> DataFrame:
     """The k largest and smallest coefficients per class of a logistic model; the matrix of weights is tiny."""
     weights = model.stages[-1].coefficientMatrix.toArray()
     names, labels = vector_names(model, matrix), labels_of(model)
@@ -235,7 +235,7 @@ def top_coefficients(spark: SparkSession, model: PipelineModel, matrix: Matrix,
     return ranked.filter((F.col("top_positive") <= k) | (F.col("top_negative") <= k))
 
 
-def importances(spark: SparkSession, model: PipelineModel, matrix: Matrix, k: int = 20) -> DataFrame:
+def importances(spark: SparkSession, model: PipelineModel, matrix: Matrix, k: int) -> DataFrame:
     """Features of a forest by importance."""
     values = model.stages[-1].featureImportances.toArray()
     table = spark.createDataFrame([(n, float(v)) for n, v in zip(vector_names(model, matrix), values)], "feature string, importance double")

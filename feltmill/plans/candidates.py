@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import normalize as N
@@ -19,6 +19,16 @@ from ..sources.generated import weak_rule_rows
 DIMENSIONS = ["exclusion_reason", "bootstrap_label", "label_source", "decision_context_type", "street"]
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """Add `row_index`, the name of a row without an id: a digest of all its columns, and its place among equal rows."""
+    digest = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256)
+    named = rows.filter(F.nullif(F.trim("source_id"), F.lit("")).isNull()).withColumn("_digest", digest)
+    same = Window.partitionBy("_digest").orderBy("_digest")
+    index = F.concat_ws("_", F.col("_digest"), F.row_number().over(same).cast("string"))
+    others = rows.filter(F.nullif(F.trim("source_id"), F.lit("")).isNotNull()).withColumn("row_index", F.lit(""))
+    return others.unionByName(named.withColumn("row_index", index).drop("_digest"))
+
+
 @dataclass(frozen=True)
 class Candidates:
     rows: DataFrame
@@ -32,8 +42,7 @@ def export(runs: DataFrame, top_up: bool = False, min_usable: int = 100, class_f
     rows = R.candidate_rows(runs)
     if top_up:
         rows = rows.unionByName(weak_rule_rows(rows, min_usable, class_floor), allowMissingColumns=True)
-    # The row number only names rows without an id; it is a hash order, so it needs no single task.
-    indexed = rows.withColumn("row_index", F.abs(F.xxhash64("source_id", "raw_action")) % 1000000)
+    indexed = _named(rows)
     texts = indexed.withColumns({c: F.to_json(c) for c in ("hero_cards", "villain_hand", "board_cards")})
     return Candidates(rows, S.aligned_rows(texts), P.export_summary(rows, DIMENSIONS), P.export_warnings(rows))
 

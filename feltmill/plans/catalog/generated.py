@@ -39,7 +39,7 @@ def generated_board_profiles(spark, sf):
 
 
 @query("generated_solver_jobs", "S14 P22 P26", """
-SELECT o_orderkey AS generation_index, 'synthetic_solver_job_random_river_spot_seed_17_' || lpad(o_orderkey::VARCHAR, 6, '0') AS solver_job_id, 'ok' AS status, 5 AS board_cards, TRUE AS amounts_from_pools FROM orders
+SELECT o_orderkey AS generation_index, 'synthetic_solver_job_random_river_spot_seed_17_' || format('{:06d}', o_orderkey) AS solver_job_id, 'ok' AS status, 5 AS board_cards, TRUE AS amounts_from_pools FROM orders
 """)
 def generated_solver_jobs(spark, sf):
     jobs = G.generated_jobs(_indexed(spark, sf, "orders", "o_orderkey"), "random_river_spot")

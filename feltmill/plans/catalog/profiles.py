@@ -69,7 +69,7 @@ def label_heatmap_report(spark, sf):
 SELECT feature, value, label, round_even(coalesce(x.n, 0) / total::DOUBLE, 6) AS share FROM c JOIN t USING (feature) LEFT JOIN x USING (feature, label, value) WHERE r <= 8
 """)
 def category_share_report(spark, sf):
-    return Q.category_shares(item_values(spark, sf))
+    return Q.category_shares(item_values(spark, sf), 8)
 
 
 @query("top_value_report", "O2 A15", LONG + "SELECT feature, value, count(*) AS n, CAST(row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, value) AS INT) AS position FROM n GROUP BY 1, 2 QUALIFY position <= 20")
@@ -82,7 +82,7 @@ WITH u AS (SELECT unnest(['p_brand', 'p_type', 'p_name']) AS feature, unnest([p_
 SELECT feature, count(DISTINCT value) AS cardinality, CASE WHEN count(DISTINCT value) <= 30 THEN string_agg(DISTINCT value, '|' ORDER BY value) END AS "values" FROM u GROUP BY 1
 """)
 def categorical_cardinality_report(spark, sf):
-    out = Q.cardinality(table(spark, sf, "part"), ["p_brand", "p_type", "p_name"])
+    out = Q.cardinality(table(spark, sf, "part"), ["p_brand", "p_type", "p_name"], list_up_to=30)
     return out.withColumn("values", F.array_join("values", "|"))
 
 
@@ -150,7 +150,7 @@ def json_schema_inference(spark, sf):
     i = F.col("event_id")
     deep = F.when(i % 3 == 0, F.concat(F.lit(', "deep": {"odd": '), (i % 2 == 1).cast("string"), F.when(i % 6 == 0, F.lit(', "v": 1.5')).otherwise(""), F.lit("}"))).otherwise("")
     raw = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "kind": "'), F.col("event_type"), F.lit('", "gap": "None"'), deep, F.lit("}"))
-    out = Q.json_schema(table(spark, sf, "events").select(raw.alias("raw")), "raw")
+    out = Q.json_schema(table(spark, sf, "events").select(raw.alias("raw")), "raw", categories=30)
     return out.withColumns({"types": F.array_join("types", ","), "categorical_values": F.array_join("categorical_values", ",")})
 
 

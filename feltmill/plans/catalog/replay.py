@@ -11,6 +11,9 @@ from ...operators import replay as R
 from ...registry import query, table
 from .sqlcards import DECK_CTE, deal_cte
 
+#: The player whose decisions the text histories follow.
+HERO = "wren"
+
 
 # ---- hand records ---------------------------------------------------------------------------
 
@@ -134,23 +137,23 @@ def history_texts(spark, sf):
     lines = F.array_compact(
         F.array(
             F.concat(F.lit("## Game: "), F.col("o_custkey").cast("string"), F.lit(" | Hand: "), F.col("o_orderkey").cast("string"), F.lit(" ##")),
-            F.lit("polo posts small blind ($160)"), F.lit("Player 3 posts big blind ($320)"),
+            F.lit("wren posts small blind ($160)"), F.lit("Player 3 posts big blind ($320)"),
             F.when(third, F.lit("Player 4 calls $320.")),
-            F.when(F.col("o_orderstatus") == "O", F.lit("polo folds.")).otherwise(F.lit("polo calls $160.")),
+            F.when(F.col("o_orderstatus") == "O", F.lit("wren folds.")).otherwise(F.lit("wren calls $160.")),
             F.when(F.col("o_orderstatus") != "O", F.lit("Player 3 checks.")),
             F.concat(F.lit("*** FLOP *** ["), flop, F.lit("]")),
-            F.concat(F.lit("polo bets $"), bet, F.lit(".")),
+            F.concat(F.lit("wren bets $"), bet, F.lit(".")),
             F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Player 3 raises $"), (F.col("o_orderkey") % 7 * 30 + 10).cast("string"), F.lit("."))).otherwise(
                 F.concat(F.lit("Player 3 calls $"), bet, F.lit("."))),
             F.concat(F.lit("*** TURN *** ["), F.get("board", F.lit(3)), F.lit("]")),
-            F.lit("polo checks."), F.when(F.col("o_orderkey") % 4 == 0, F.lit("Player 3 bets $50")).otherwise(F.lit("Player 3 checks.")),
+            F.lit("wren checks."), F.when(F.col("o_orderkey") % 4 == 0, F.lit("Player 3 bets $50")).otherwise(F.lit("Player 3 checks.")),
             F.concat(F.lit("*** RIVER *** ["), F.get("board", F.lit(4)), F.lit("]")),
-            F.lit("polo checks."),
+            F.lit("wren checks."),
             F.when(side, F.lit("Dealer: side pot created")),
-            F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("polo shows ["), cards["hero"], F.lit("]"))),
+            F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("wren shows ["), cards["hero"], F.lit("]"))),
             F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("Player 3 shows ["), cards["villain"], F.lit("]"))),
             F.when(third, F.lit("Player 4 shows [2c,2d]")),
-            F.lit("polo wins $1,920."),
+            F.lit("wren wins $1,920."),
         )
     )
     return spots.select("o_orderkey", F.array_join(lines, "\n").alias("text"))
@@ -175,7 +178,7 @@ SELECT o_orderkey AS hand_id, o_custkey AS game_id, CASE WHEN reason IS NULL THE
        CAST(CASE WHEN o_orderstatus = 'O' THEN 9 ELSE 12 END + CASE WHEN third THEN 2 ELSE 0 END AS INT) AS actions, 1920.0::DOUBLE AS won FROM parsed
 """)
 def text_hand_parse(spark, sf):
-    hands = R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"])
+    hands = R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"], HERO)
     return hands.select(
         "hand_id", "game_id", "status", "rejection_reason",
         F.array_join("hero_hand", " ").alias("hero_hand"), F.array_join("villain_hand", " ").alias("villain_hand"),
@@ -219,7 +222,7 @@ SELECT o_orderkey AS hand_id, CASE WHEN err IS NULL THEN 'ok' ELSE 'failed' END
        CASE WHEN err IS NULL THEN 3 ELSE 0 END AS snapshots FROM ends
 """)
 def hero_action_replay(spark, sf):
-    hands = R.replay_hero(R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"]).filter("status = 'ok'"))
+    hands = R.replay_hero(R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"], HERO).filter("status = 'ok'"), HERO)
     return hands.select(
         "hand_id", "replay_status", "replay_reason", "pot_reconstructed", F.size("contexts").alias("contexts"), F.size("snapshots").alias("snapshots")
     )
@@ -233,7 +236,7 @@ SELECT o_orderkey AS hand_id, o_custkey AS game_id,
 FROM (SELECT *, CASE WHEN side THEN 'side_pot_not_supported' WHEN o_orderstatus = 'O' THEN 'hero_hand_missing' WHEN third THEN 'multiway_context_not_supported' END AS r FROM parsed)
 """)
 def hand_snapshot_rows(spark, sf):
-    shots = R.hand_snapshots(R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"]), "TURN", F.lit(0.0))
+    shots = R.hand_snapshots(R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"], HERO), "TURN", F.lit(0.0))
     return shots.select("hand_id", "game_id", "status", "rejection_reason", "snapshot_id", F.array_join("board_cards", " ").alias("board"), "pot")
 
 
@@ -245,6 +248,6 @@ SELECT stage, count(*) AS rows, count(*) FILTER (status = 'ok') AS ok_rows, coun
 FROM led GROUP BY stage
 """)
 def stage_ledger_counts(spark, sf):
-    hands = R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"])
+    hands = R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"], HERO)
     shots = R.hand_snapshots(hands.filter("status = 'ok'"), "RIVER", F.lit(0.0))
     return R.ledger_summary(R.stage_ledger(hands, shots))

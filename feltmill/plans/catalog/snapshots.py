@@ -223,7 +223,7 @@ y AS (SELECT *, round_even(power(e1, opp), 10) AS et FROM x)
 
 
 @query("aligned_export_rows", "P14 P15 K8 F17", ALIGNED_CTE + """
-SELECT k AS row_index, CASE WHEN k % 6 <> 0 THEN 'c' || k ELSE 'bootstrap_v5_' || lpad(k::VARCHAR, 6, '0') END AS snapshot_id, CASE WHEN k % 4 = 0 THEN 'FLOP' ELSE 'RIVER' END AS street,
+SELECT k AS row_index, CASE WHEN k % 6 <> 0 THEN 'c' || k ELSE 'bootstrap_v5_' || format('{:06d}', k) END AS snapshot_id, CASE WHEN k % 4 = 0 THEN 'FLOP' ELSE 'RIVER' END AS street,
   CASE WHEN NOT ex THEN 'RAISE' END AS label, NOT ex AS usable, opp::BIGINT AS opponents, et AS equity_table, round(et * (pot + c) - c, 10) AS ev, round(CASE WHEN pot + c > 0 THEN c / (pot + c) END, 10) AS required, k % 8 <> 0 AS known,
   CASE WHEN c > 0 THEN 'relance,paie,fold' ELSE 'mise,check,fold' END AS buttons, CASE WHEN c > 0 THEN CASE WHEN k % 2 = 0 THEN 'raise 33' ELSE 'raise 20' END ELSE CASE WHEN k % 2 = 0 THEN 'bet 33' ELSE 'bet 20' END END AS first_button,
   CASE WHEN ex THEN 'action_unstable' WHEN k % 10 = 1 THEN 'weak' ELSE 'bootstrap_solver_candidate' END AS debug_reason, opp AS profiles, 2 AS players, k % 7 = 0 AS hero_uncertain FROM y

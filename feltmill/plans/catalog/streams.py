@@ -45,7 +45,7 @@ def stream_status_windows(spark, sf):
 def stream_upsert(spark, sf):
     target = scratch_path(spark, "upsert")
     S.upsert_stream(event_stream(spark, sf).select("user_id", "event_id", "value"), f"{target}/table", f"{target}/checkpoint", "user_id", "event_id")
-    return S.latest(spark, f"{target}/table", ["user_id"]).select("user_id", "event_id", "value")
+    return S.latest(spark, f"{target}/table", ["user_id"], "event_id").select("user_id", "event_id", "value")
 
 
 @query("stream_hand_replay", "T4 W2", EVENT_SQL)

@@ -30,7 +30,7 @@ def job_rows(snapshots: DataFrame, iterations: int = 25, timeout_s: float = 5.0)
     )
 
 
-def run(sections: DataFrame, keys: list[str], street: str = "RIVER", to_call: float | None = 0.0, hero: str = "polo", runs: DataFrame | None = None) -> Histories:
+def run(sections: DataFrame, keys: list[str], hero: str, street: str = "RIVER", to_call: float | None = 0.0, runs: DataFrame | None = None) -> Histories:
     """Sections (one hand per row) through parse, snapshot and job validation."""
     hands = R.parse_text_hands(sections, keys, hero=hero)
     shots = R.hand_snapshots(hands.filter("status = 'ok'"), street, F.lit(to_call).cast("double"))
@@ -38,5 +38,5 @@ def run(sections: DataFrame, keys: list[str], street: str = "RIVER", to_call: fl
     return Histories(hands, shots, jobs, R.stage_ledger(hands, shots, runs))
 
 
-def run_files(spark: SparkSession, path: str, **options) -> Histories:
-    return run(history_sections(spark, path), ["path", "section_id"], **options)
+def run_files(spark: SparkSession, path: str, hero: str, **options) -> Histories:
+    return run(history_sections(spark, path), ["path", "section_id"], hero, **options)

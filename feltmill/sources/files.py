@@ -19,7 +19,6 @@ from ..operators.profile import variant_kind
 from ..schemas import BOOTSTRAP_NUMERIC, FEATURE_ALIASES, check_training_columns
 
 BOM = "﻿"
-LARGE_RUN = 50
 
 
 def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -85,12 +84,15 @@ def run_records(spark: SparkSession, paths: Sequence[str], schema: T.StructType)
     )
 
 
-def selected_lines(spark: SparkSession, path: str, start_index: int = 0, max_jobs: int = 10, allow_large_run: bool = False) -> DataFrame:
-    """A window of lines by number with `load_error` for blank and broken ones. The bounds are checked before any read."""
+def selected_lines(spark: SparkSession, path: str, start_index: int, max_jobs: int, largest: int | None = None) -> DataFrame:
+    """A window of lines by number with `load_error` for blank and broken ones. The bounds are checked before any read.
+
+    With `largest`, a wider window is refused.
+    """
     if max_jobs <= 0:
         raise ValueError("max_jobs_must_be_positive")
-    if max_jobs > LARGE_RUN and not allow_large_run:
-        raise ValueError(f"max_jobs_exceeds_limit:{LARGE_RUN}")
+    if largest is not None and max_jobs > largest:
+        raise ValueError(f"max_jobs_exceeds_limit:{largest}")
     if start_index < 0:
         raise ValueError("start_index_must_be_nonnegative")
     lines = numbered_lines(spark, path).filter(F.col("line").between(start_index, start_index + max_jobs - 1))
@@ -110,26 +112,16 @@ def reference_schema(spark: SparkSession, path: str) -> T.StructType:
     return spark.read.json(path).schema
 
 
-def per_file_limit(df: DataFrame, file: str, order: str, n: int) -> DataFrame:
-    """The first n rows of every file; the partial limit runs before the shuffle."""
-    inside = Window.partitionBy(file).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(inside)).filter(F.col("_r") <= n).drop("_r")
-
-
-def scenario_csv(spark: SparkSession, paths: Sequence[str], max_rows: int | None = None, line_breaks_in_cells: bool = False) -> DataFrame:
+def scenario_csv(spark: SparkSession, paths: Sequence[str], line_breaks_in_cells: bool = False) -> DataFrame:
     """Scenario CSV files as text with `source_file`; an unnamed first column becomes `row_index`.
 
     Files are read in pieces unless cells hold line breaks, which ties a file to one task.
     """
     df = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks_in_cells).csv(list(paths))
-    renamed = df.select(
+    return df.select(
         *[F.col(f"`{c}`").alias("row_index" if c in ("_c0", "", BOM) else c.lstrip(BOM)) for c in df.columns],
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"),
-        F.monotonically_increasing_id().alias("_order"),
     )
-    if max_rows is not None:
-        renamed = per_file_limit(renamed, "source_file", "_order", max(1, max_rows // len(paths))).limit(max_rows)
-    return renamed.drop("_order")
 
 
 # Scenario columns, each with the older names it is read from.
@@ -246,16 +238,39 @@ def hand_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(read, HAND_RECORD)
 
 
+# Fixed patterns: where a hand of a text history begins, and its whole header.
+SECTION_START = r"(?i)(?=##\s*Game:)"
+SECTION_OPENS = r"(?i)^##\s*Game:"
+SECTION_HEAD = r"(?i)^##\s*Game:\s*[0-9]+\s*\|\s*Hand:\s*[0-9]+\s*##"
+
+
 def history_sections(spark: SparkSession, path: str) -> DataFrame:
-    """Text histories cut into hands while they are scanned, so one large file is shared by many tasks."""
-    raw = spark.read.option("lineSep", "## Game:").text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("section_id"))
-    return raw.filter(F.col("value").rlike(r"^\s*[0-9]+\s*\|\s*Hand:")).select("path", "section_id", strip(F.concat(F.lit("## Game:"), F.col("value"))).alias("text"))
+    """Text histories cut into hands: (path, section_id, text), sections counted from 1 in each file.
+
+    A header begins a section wherever it stands, in any case and with any blanks. Headers are counted inside each
+    file split and the headers of the splits before are added, so one large file is shared by many tasks and a hand
+    that lies across two splits stays whole.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_id")
+    )
+    pieces = raw.select("path", "_start", "_id", F.posexplode(F.split("value", SECTION_START)).alias("_piece", "value"))
+    opens = F.when(F.col("value").rlike(SECTION_OPENS), 1).otherwise(0)
+    totals = pieces.groupBy("path", "_start").agg(F.sum(opens).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("path", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("path", "_start").orderBy("_id", "_piece").rowsBetween(Window.unboundedPreceding, 0)
+    counted = pieces.withColumn("_own", F.sum(opens).over(inside)).join(offsets, ["path", "_start"])
+    lines = counted.withColumn("section_id", F.col("_own") + F.col("_before")).filter("section_id > 0")
+    whole = lines.groupBy("path", "section_id").agg(F.array_sort(F.collect_list(F.struct("_start", "_id", "_piece", "value"))).alias("_lines"))
+    text = strip(F.array_join(F.transform("_lines", lambda x: x["value"]), "\n"))
+    return whole.select("path", "section_id", text.alias("text")).filter(F.col("text").rlike(SECTION_HEAD))
 
 
 def split_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """Hands of texts that are already rows: (key, section, text)."""
-    parts = df.select(key, F.posexplode(F.split(F.col(text), r"(?i)(?=##\s*Game:)")).alias("section", "text"))
-    return parts.filter(F.col("text").rlike(r"(?i)^##\s*Game:\s*[0-9]+\s*\|\s*Hand:\s*[0-9]+\s*##")).withColumn("text", strip(F.col("text")))
+    parts = df.select(key, F.posexplode(F.split(F.col(text), SECTION_START)).alias("section", "text"))
+    return parts.filter(F.col("text").rlike(SECTION_HEAD)).withColumn("text", strip(F.col("text")))
 
 
 # Columns of a solve request and the streets it may start on.
@@ -294,17 +309,15 @@ def solve_requests(spark: SparkSession, path: str) -> DataFrame:
     return parse_requests(spark.read.option("header", True).option("inferSchema", False).csv(path))
 
 
-def merge_sources(spark: SparkSession, paths: dict[str, str], order: str, sample_size: int | None = None) -> tuple[dict[str, DataFrame], list[str]]:
-    """CSV sources by key with warnings for missing ones; optionally the first rows of each by the order column."""
+def merge_sources(spark: SparkSession, paths: dict[str, str]) -> tuple[dict[str, DataFrame], list[str]]:
+    """CSV sources by key, with warnings for missing ones."""
     frames, warnings = {}, []
     for key, path in paths.items():
         good, _ = _existing(spark, [path])
         if not good:
             warnings.append(f"missing_source:{key}:{path}")
             continue
-        df = spark.read.option("header", True).csv(path)
-        first = [F.col(f"`{order}`").try_cast("bigint"), F.col(f"`{order}`")]
-        frames[key] = df.orderBy(*first).limit(sample_size) if sample_size is not None else df
+        frames[key] = spark.read.option("header", True).csv(path)
     if not frames:
         raise FileNotFoundError("no_merge_sources_available")
     return frames, warnings

@@ -112,11 +112,9 @@ def write_run_records(df: DataFrame, path: str, force: bool = False) -> None:
     write_jsonl(run_record_rows(df), path, force, RUN_FORBIDDEN)
 
 
-def write_strict(df: DataFrame, path: str, n_rows: int | None = None, order: str = "snapshot_id", force: bool = False) -> DataFrame:
-    """Write rows without rejection reasons (at most n_rows by the order column); returns the rejected ones."""
+def write_strict(df: DataFrame, path: str, order: str = "snapshot_id", force: bool = False) -> DataFrame:
+    """Write rows without rejection reasons; returns the rejected ones."""
     good = df.filter(F.size("reasons") == 0)
-    if n_rows is not None:
-        good = good.orderBy(order).limit(n_rows)
     write_jsonl(good.drop("reasons"), path, force)
     return df.filter(F.size("reasons") > 0).select(order, "reasons")
 

@@ -46,24 +46,26 @@ def keep_latest(stream: DataFrame, table: str, checkpoint: str, keys: list[str])
     query.awaitTermination()
 
 
-def latest(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+def latest(spark: SparkSession, table: str, keys: list[str], order: str | None = None) -> DataFrame:
+    """The newest row per key: by `order` where one is given, whatever batch brought it, then by batch and content."""
     rows = spark.read.option("recursiveFileLookup", True).parquet(table)
     others = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch")).alias("_r"))
+    rank = F.struct(*([order] if order else []), "batch", F.to_json(F.struct(*others)))
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("_r"))
     return newest.select(*keys, "_r.*")
 
 
 def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, order: str) -> None:
     """Last write per key across batches.
 
-    A batch writes only its own newest row per key, into the folder of its number; `latest` merges
-    them on reading. A batch costs what it holds, and one that is run again after a failure writes
+    A batch writes only its own newest row per key, into the folder of its number; `latest`, given the
+    same order, merges them on reading, so a late older row never wins. A batch costs what it holds, and one that is run again after a failure writes
     the same folder again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         row = F.struct(*batch.columns)
-        newest = batch.groupBy(key).agg(F.max_by(row, F.col(order)).alias("_r")).select("_r.*")
+        newest = batch.groupBy(key).agg(F.max_by(row, F.struct(order, F.to_json(row))).alias("_r")).select("_r.*")
         newest.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

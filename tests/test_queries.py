@@ -17,7 +17,7 @@ def con():
     return check.duck(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in REGISTRY if n not in SLOW])
 def test_query_matches_sql(spark, con, name):
     ok, _, message = check.compare(spark, con, SF, name)
     assert ok, message

@@ -10,25 +10,25 @@ from feltmill.plans import histories
 from feltmill.sources import files as I
 
 CLEAN = """## Game: 4 | Hand: 7 ##
-polo posts small blind ($50)
+wren posts small blind ($50)
 Rival posts big blind ($100)
-polo calls $50.
+wren calls $50.
 Rival checks.
 *** FLOP *** [9c, 10h, 8s]
-polo bets $120.
+wren bets $120.
 Rival raises $360.
-polo calls $240.
+wren calls $240.
 *** TURN *** [K♦]
-polo checks.
+wren checks.
 Rival checks.
 *** RIVER *** [2h]
-polo checks.
+wren checks.
 Rival checks.
-polo shows [8h,9s]
+wren shows [8h,9s]
 Rival shows [8c,Kc]
 Rival wins $920.
 """
-NO_SHOWDOWN = "## Game: 4 | Hand: 8 ##\npolo posts small blind ($50)\nRival posts big blind ($100)\npolo folds.\n"
+NO_SHOWDOWN = "## Game: 4 | Hand: 8 ##\nwren posts small blind ($50)\nRival posts big blind ($100)\nwren folds.\n"
 THREE = CLEAN.replace("Hand: 7", "Hand: 9").replace("Rival wins", "Third shows [2c,2d]\nRival wins")
 SIDE = CLEAN.replace("Hand: 7", "Hand: 10").replace("Rival wins $920.", "side pot $10\nRival wins $920.")
 BAD_CARD = CLEAN.replace("Hand: 7", "Hand: 11").replace("[2h]", "[2x]")
@@ -75,7 +75,7 @@ def test_windows_slices_and_fold_agree(spark):
 @pytest.fixture(scope="module")
 def hands(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([CLEAN, NO_SHOWDOWN, THREE, SIDE, BAD_CARD, "no header"])], "id int, text string")
-    return R.parse_text_hands(df, ["id"])
+    return R.parse_text_hands(df, ["id"], "wren")
 
 
 def test_text_hand_outcomes(hands):
@@ -84,11 +84,11 @@ def test_text_hand_outcomes(hands):
     clean = hands.filter("id = 0").first()
     assert (clean["game_id"], clean["hand_id"], clean["pot_final"], clean["villain_name"]) == (4, 7, 920.0, "Rival")
     assert clean["board"]["flop"] == ["9c", "Th", "8s"] and clean["board"]["turn"] == ["Kd"] and clean["hero_hand"] == ["8h", "9s"]
-    assert sorted(clean["active_by_street"]["TURN"]) == ["Rival", "polo"]
+    assert sorted(clean["active_by_street"]["TURN"]) == ["Rival", "wren"]
 
 
 def test_hero_replay(hands):
-    row = R.replay_hero(hands.filter("id = 0")).first()
+    row = R.replay_hero(hands.filter("id = 0"), "wren").first()
     assert row["replay_status"] == "ok" and row["pot_reconstructed"] == 920.0
     assert [(c["street"], c["hero_action"], c["to_call"], c["pot_before_action"]) for c in row["contexts"]] == [
         ("PREFLOP", "CALL", 50.0, 150.0), ("FLOP", "BET", 0.0, 200.0), ("FLOP", "CALL", 240.0, 680.0), ("TURN", "CHECK", 0.0, 920.0), ("RIVER", "CHECK", 0.0, 920.0)
@@ -96,17 +96,17 @@ def test_hero_replay(hands):
     assert len(row["snapshots"]) == 4
 
 
-@pytest.mark.parametrize("old, new, reason", [("polo calls $50.", "polo calls $40.", "all_in_complex_not_supported"), ("polo calls $50.", "polo calls $60.", "pot_reconstruction_failed"), ("polo calls $50.", "polo checks.", "pot_reconstruction_failed"),
-                                              ("Rival raises $360.", "Rival raises $100.", "pot_reconstruction_failed"), ("polo bets $120.", "polo bets", "amount_parse_failed")])
+@pytest.mark.parametrize("old, new, reason", [("wren calls $50.", "wren calls $40.", "all_in_complex_not_supported"), ("wren calls $50.", "wren calls $60.", "pot_reconstruction_failed"), ("wren calls $50.", "wren checks.", "pot_reconstruction_failed"),
+                                              ("Rival raises $360.", "Rival raises $100.", "pot_reconstruction_failed"), ("wren bets $120.", "wren bets", "amount_parse_failed")])
 def test_hero_replay_stops(spark, old, new, reason):
     df = spark.createDataFrame([(0, CLEAN.replace(old, new))], "id int, text string")
-    row = R.replay_hero(R.parse_text_hands(df, ["id"])).first()
+    row = R.replay_hero(R.parse_text_hands(df, ["id"], "wren"), "wren").first()
     assert (row["replay_status"], row["replay_reason"], row["snapshots"]) == ("failed", reason, [])
 
 
 def test_history_files(spark, tmp_path):
     (tmp_path / "h.txt").write_text(CLEAN + "\n" + NO_SHOWDOWN + "\n" + THREE, encoding="utf-8")
-    out = histories.run_files(spark, str(tmp_path / "h.txt"))
+    out = histories.run_files(spark, str(tmp_path / "h.txt"), "wren")
     assert out.hands.count() == 3
     ledger = sorted((r["stage"], r["status"], r["rejection_reason"]) for r in out.ledger.collect())
     assert ledger == [("parse", "failed", "multiway_not_supported"), ("parse", "failed", "showdown_missing"), ("snapshot", "ok", None)]

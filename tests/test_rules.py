@@ -182,3 +182,107 @@ def test_strategy_keeps_the_last_of_two_equal_labels(spark):
     df = df.select(F.struct(F.col("l").alias("action_labels"), F.col("f").alias("frequencies"), "hero_solver_player", "root_player_role", "root_matches_hero").alias("s"))
     row = R.root_strategy(df, "s").first()
     assert row["action_frequencies"] == {"BET_33": 0.4, "X": 0.6} and row["dominant_action"] == "X" and row["strategy_confidence"] == "medium"
+
+
+# ---- rows that used to get lost --------------------------------------------------------------
+
+
+def test_stream_upsert_takes_the_newest_order_over_batches(spark, tmp_path):
+    from feltmill.streaming import intake as S
+
+    schema = "id long, seq long, v string"
+    for name, rows in (("a", [(1, 20, "new"), (2, 1, "x")]), ("b", [(1, 10, "old"), (2, 2, "y")]), ("c", [(2, 2, "z"), (None, 1, "n")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / name))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    S.upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), "id", "seq")
+    assert len(list((tmp_path / "t").glob("batch=*"))) == 3
+    found = {tuple(r) for r in S.latest(spark, str(tmp_path / "t"), ["id"], "seq").select("id", "seq", "v").collect()}
+    assert found == {(1, 20, "new"), (2, 2, "z"), (None, 1, "n")}
+
+
+def test_insert_only_loses_no_tied_row(spark):
+    from feltmill.operators import library as L
+
+    old = spark.createDataFrame([("k", "there", 1)], "spot_id string, v string, created_at long")
+    new = spark.createDataFrame([("a", "x", 5), ("a", "y", 5), ("a", "x", 5), (None, "n", 1), (None, "n", 1), ("k", "late", 0)], old.schema)
+    kept, rejected = L.insert_only(old, new)
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [("k", "there", 1), ("a", "x", 5), (None, "n", 1)]))
+    assert sorted(str(tuple(r)[:3]) for r in rejected.collect()) == sorted(map(str, [("a", "x", 5), ("a", "y", 5), (None, "n", 1), ("k", "late", 0)]))
+    assert L.upsert(old, new.filter("spot_id = 'a'")).filter("spot_id = 'a'").first().v == "y"
+
+
+def test_ids_are_never_cut(spark):
+    from feltmill.functions.keys import padded
+
+    found = spark.range(1).select(*[padded(F.lit(n), 6).alias(str(n)) for n in (7, 999999, 1234567, 1234568)]).first()
+    assert list(found) == ["000007", "999999", "1234567", "1234568"]
+
+
+def test_rows_without_an_id_keep_their_own_names(spark):
+    from feltmill.plans.candidates import _named
+
+    rows = spark.createDataFrame([(None, "CALL", 1), (None, "CALL", 2), ("", "CALL", 2), (None, "CALL", 2), (None, "CALL", 2), ("s1", "CALL", 1)], "source_id string, raw_action string, pot int")
+    found = _named(rows).collect()
+    assert len({r.row_index for r in found if not r.source_id}) == 5 and len(found) == 6
+
+
+def test_missing_labels_and_groups_stay(spark):
+    from feltmill.operators import splits as M
+
+    rows = [(i, None if i % 4 == 0 else "AB"[i % 2], None if i % 5 == 0 else i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label string, grp int")
+    assert M.stratified_three_way(df, "label", "id").count() == 40
+    assert M.stratified_two_way(df, "label", "id").count() == 40
+    assert M.grouped_split(df, "label", "grp").count() == 40
+    half = {r["label"]: r["count"] for r in M.stratified_fraction(df, "label", "id", 0.5).groupBy("label").count().collect()}
+    assert half == {None: 5, "B": 10, "A": 5}
+    assert M.fixed_sample(df, "id", 7).count() == 7
+
+
+def test_sliced_replay_keeps_actions_without_a_player(spark):
+    from feltmill.operators import replay as R
+
+    schema = "hand long, at long, kind string, code string, player int, amount double, blind double, max_blind double, start_pot double"
+    rows = [(1, 1, "bet", "cbr", 1, 4.0, 1.0, 2.0, 3.0), (1, 2, "bet", "cc", 2, None, 2.0, 2.0, 3.0), (1, 3, "board", None, None, None, None, 2.0, 3.0), (1, 4, "bet", "cc", 1, None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, schema)
+    whole = R.replay_bets(df, ["hand"], ["at"])
+    sliced = R.replay_bets(df, ["hand"], ["at"], slice_of=F.floor(F.col("at") / 2))
+    names = ["at", "segment", "current_bet", "to_call", "pot"]
+    assert sorted(map(tuple, sliced.select(names).collect())) == sorted(map(tuple, whole.select(names).collect())) and sliced.count() == 4
+
+
+def test_history_headers_in_any_form(spark, tmp_path):
+    from feltmill.sources import files as I
+
+    text = "preamble\n## Game: 1 | Hand: 1 ##\na calls\n##  Game: 1 | Hand: 2 ##\nb folds\n## game: 1 | hand: 3 ##\nc bets\n## Game: broken\nlost line\n"
+    (tmp_path / "h.txt").write_text(text)
+    found = [r.text for r in I.history_sections(spark, str(tmp_path / "h.txt")).orderBy("section_id").collect()]
+    blob = spark.createDataFrame([(1, text)], "k int, text string")
+    assert found == [r.text for r in I.split_sections(blob, "k", "text").orderBy("section").collect()] and len(found) == 3
+    big = "".join(f"## Game: 1 | Hand: {i} ##\nline of hand {i}\n" for i in range(3000))
+    (tmp_path / "big.txt").write_text(big)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = I.history_sections(spark, str(tmp_path / "big.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.text for r in rows} == {f"## Game: 1 | Hand: {i} ##\nline of hand {i}" for i in range(3000)} and len(rows) == 3000
+
+
+def test_bad_range_tokens_are_told(spark):
+    from feltmill.operators import ranges as R
+
+    bad = {"XX": "invalid_ranks", "AKq": "invalid_suit_mark", "AKs-QTs": "unequal_gaps", "AAs": "pair_with_suit_mark", "AhAh": "duplicate_card", "77-AK": "pair_and_non_pair",
+           "AKs-QJo": "unequal_suit_marks", "A": "invalid_hand_token", "AKsss": "invalid_hand_token"}
+    good = {"AA": 6, "AK": 16, "AKs": 4, "AKo": 12, "22+": 78, "A2s+": 48, "KQs-JTs": 12, "99-77": 18, "AhKh": 1, "A5s-A2s": 16}
+    df = spark.createDataFrame([(t, t) for t in [*bad, *good]], "k string, text string")
+    assert {r.k: r.error for r in R.range_errors(df, "k", "text").collect()} == bad
+    assert {r["k"]: r["count"] for r in R.range_combos(df, "k", "text").groupBy("k").count().collect()} == good
+
+
+def test_json_schema_opens_every_level(spark):
+    from feltmill.operators import profile as Q
+
+    df = spark.createDataFrame([('{"a":{"b":{"c":{"d":{"e":{"f":1}}}}}}',)], "raw string")
+    assert {r["path"] for r in Q.json_schema(df, "raw", 30).collect()} == {"a", "a.b", "a.b.c", "a.b.c.d", "a.b.c.d.e", "a.b.c.d.e.f"}
