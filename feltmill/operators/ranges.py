@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cards as C
+from ..functions.values import let
 
 
 def _bounds(token: Column) -> tuple[Column, Column, Column]:
@@ -26,22 +27,28 @@ def token_error(token: Column) -> Column:
     left = F.when(dash, F.get(ends, 0)).otherwise(F.regexp_replace(token, r"\+$", ""))
     right = F.when(dash, F.get(ends, 1)).otherwise(left)
 
-    def either(test) -> Column:  # noqa: ANN001
-        return test(left) | test(right)
-
-    high, low, mark = _bounds(left)
-    high2, low2, mark2 = _bounds(right)
-    aces = (high == 14) & (high2 == 14)
-    return (
-        F.when(token.rlike(EXACT), F.when(F.lower(F.substring(token, 1, 2)) == F.lower(F.substring(token, 3, 2)), "duplicate_card"))
-        .when(either(lambda t: ~F.length(t).between(2, 3)), "invalid_hand_token")
-        .when(either(lambda t: ~F.substring(t, 1, 2).rlike("^[2-9TJQKAtjqka]{2}$")), "invalid_ranks")
-        .when(either(lambda t: ~F.lower(F.substring(t, 3, 1)).isin("", "s", "o")), "invalid_suit_mark")
-        .when(((high == low) & (mark != "")) | ((high2 == low2) & (mark2 != "")), "pair_with_suit_mark")
-        .when((high == low) != (high2 == low2), "pair_and_non_pair")
-        .when(mark != mark2, "unequal_suit_marks")
-        .when((high != low) & ~aces & (high - low != high2 - low2), "unequal_gaps")
-    )
+    def read(t: Column) -> Column:
+        high, low, mark = _bounds(t)
+        return F.struct(t.alias("t"), high.alias("high"), low.alias("low"), mark.alias("mark"))
+
+    def judged(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+
+        def either(test) -> Column:  # noqa: ANN001
+            return test(a) | test(b)
+
+        return (
+            F.when(either(lambda x: ~F.length(x["t"]).between(2, 3)), "invalid_hand_token")
+            .when(either(lambda x: ~F.substring(x["t"], 1, 2).rlike("^[2-9TJQKAtjqka]{2}$")), "invalid_ranks")
+            .when(either(lambda x: ~x["mark"].isin("", "s", "o")), "invalid_suit_mark")
+            .when(either(lambda x: (x["high"] == x["low"]) & (x["mark"] != "")), "pair_with_suit_mark")
+            .when((a["high"] == a["low"]) != (b["high"] == b["low"]), "pair_and_non_pair")
+            .when(a["mark"] != b["mark"], "unequal_suit_marks")
+            .when((a["high"] != a["low"]) & ~((a["high"] == 14) & (b["high"] == 14)) & (a["high"] - a["low"] != b["high"] - b["low"]), "unequal_gaps")
+        )
+
+    twice = F.when(F.lower(F.substring(token, 1, 2)) == F.lower(F.substring(token, 3, 2)), "duplicate_card")
+    return F.when(token.rlike(EXACT), twice).otherwise(let(F.struct(read(left).alias("a"), read(right).alias("b")), judged))
 
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
