@@ -8,8 +8,8 @@ a few measures of repetition, and encoded by one learned layer. Gated attention
 and all parameters are learned together from document labels alone (Adam, the whole sample in every step).
 
 Fitting uses a bounded sample: at most about `sample_docs` labelled documents, as many of either label as there are,
-drawn by a digest of the id before any text is read; their passage descriptions reach the driver. Scoring reads every
-passage of every text.
+drawn by a digest of the id before any text is read; their passage descriptions reach the driver, of a very long text
+`sample_passages` of them at even distances. Scoring reads every passage of every text.
 
 Defined cases: null and empty texts are one empty passage and get a score like any other; several labels of one
 document all count; rows with a null label or id teach nothing; without labels of both kinds every score is the share
@@ -129,8 +129,11 @@ class AttentionModel:
                 self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = 4000, steps: int = 150, rate: float = 0.02) -> AttentionModel:
-    """A model from the labels (doc_id, `label` 0 or 1) of the given documents; reads at most about `sample_docs`."""
+def learn(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = 4000, sample_passages: int = 4000, steps: int = 150, rate: float = 0.02
+) -> AttentionModel:
+    """A model from the labels (doc_id, `label` 0 or 1) of the given documents; learns from at most about `sample_docs`
+    of them and `sample_passages` passages of each, so that the sample fits the driver whatever the texts' length."""
     own = labels.select(F.col("doc_id").cast("long").alias("__doc"), F.col(label).cast("int").alias("__label"))
     own = own.filter("__doc IS NOT NULL AND __label IN (0, 1)")
     sizes = {r["__label"]: r["n"] for r in own.groupBy("__label").agg(F.count("*").alias("n")).collect()}
@@ -152,7 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
                 part = batch.slice(low, 200)
                 x, counts = passages(part.column(1).to_pylist())
                 ends = np.cumsum(counts)
-                rows = [x[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
+                whole = [x[e - n : e] for e, n in zip(ends, counts, strict=True)]
+                rows = [b[:: -(-len(b) // sample_passages)].tobytes() for b in whole]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["label", "x"])
 
     found = bags.mapInArrow(describe, "label int, x binary").toArrow()

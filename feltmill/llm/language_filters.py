@@ -1,9 +1,9 @@
 """Language identification with bit-sliced n-gram filters.
 
 One array of masks stands for one Bloom filter per language: bit l of a slot belongs to language l, so the
-conjunction of an n-gram's k slots gives every language that (as far as the filter can tell) holds the n-gram. A
-text is decided by counting, per language, the n-grams whose mask names it, less the false hits that the fill of
-that language's filter leads one to expect.
+conjunction of an n-gram's k slots gives every language that (as far as the filter can tell) holds the n-gram. Beyond
+63 languages a slot has several masks, one for every 63 of them. A text is decided by counting, per language, the
+n-grams whose mask names it, less the false hits that the fill of that language's filter leads one to expect.
 
 Learning: n-grams are counted over a bounded sample (`sample_docs` documents, drawn per language by a digest of the
 text), an n-gram enters the filters of the languages in which it is common enough beside its most frequent one, and
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 GRAM = 5
 _PIECE = 1 << 22
+#: Languages of one mask: the bits of a long without its sign.
+HELD = 63
 #: Odd multipliers that spread an n-gram over the slots, one for each probe.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -57,12 +60,12 @@ def slots_of(grams: np.ndarray, bits: int) -> list[np.ndarray]:
 @dataclass(frozen=True)
 class LanguageFilters:
     languages: tuple[str, ...]  # the most frequent first
-    masks: np.ndarray
+    masks: np.ndarray  # a row of slots for every HELD languages
     bits: int
 
     def false_rates(self) -> np.ndarray:
         """By language: the share of unknown n-grams that its filter lets through."""
-        return np.array([((self.masks >> l & 1).mean()) ** len(SPREAD) for l in range(len(self.languages))])
+        return np.array([((self.masks[l // HELD] >> l % HELD & 1).mean()) ** len(SPREAD) for l in range(len(self.languages))])
 
     def decide(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
         grams = grams_of(text)
@@ -71,8 +74,8 @@ class LanguageFilters:
         hits = np.zeros(len(self.languages), np.int64)
         for low in range(0, len(grams), _PIECE):
             one, two, three = slots_of(grams[low : low + _PIECE], self.bits)
-            found = self.masks[one] & self.masks[two] & self.masks[three]
-            hits += [np.count_nonzero(found >> l & 1) for l in range(len(self.languages))]
+            found = [row[one] & row[two] & row[three] for row in self.masks]
+            hits += [np.count_nonzero(found[l // HELD] >> l % HELD & 1) for l in range(len(self.languages))]
         real = np.clip((hits - len(grams) * rates) / np.maximum(1 - rates, 1e-9), 0, None)
         best = int(real.argmax())
         return self.languages[best], float(min(1.0, real[best] / len(grams)))
@@ -82,10 +85,10 @@ def learn(labelled: DataFrame, sample_docs: int = 8000, bits: int = 20, least_sh
     """Filters from (text, lang) rows; at most about `sample_docs` documents of each language are read closely."""
     spark = labelled.sparkSession
     rows = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(63).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}  # a row for each language
     languages = tuple(sizes)
     if not languages:
-        return LanguageFilters((), np.zeros(1 << bits, np.int64), bits)
+        return LanguageFilters((), np.zeros((0, 1 << bits), np.int64), bits)
     number = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, i)])
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample_docs / sizes[name]))])
     drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
@@ -110,20 +113,23 @@ def learn(labelled: DataFrame, sample_docs: int = 8000, bits: int = 20, least_sh
     totals = wide.agg(*[F.sum(f"n{i}") for i in range(len(languages))]).first()
     rate = [F.col(f"n{i}") / F.lit(float(t or 1)) for i, t in enumerate(totals)]
     most = F.greatest(*rate) if len(rate) > 1 else rate[0]
-    bit = [F.when((r > 0) & (r >= least_share * most), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rate)]
-    mask = bit[0].cast("long")
-    for b in bit[1:]:
-        mask = mask.bitwiseOR(b.cast("long"))
+    known = [(r > 0) & (r >= least_share * most) for r in rate]
+    bit = [F.when(k, F.lit(1 << i % HELD)).otherwise(F.lit(0)).cast("long") for i, k in enumerate(known)]
+    rows_of = [reduce(Column.bitwiseOR, bit[low : low + HELD]) for low in range(0, len(bit), HELD)]
+    names = [f"mask{i}" for i in range(len(rows_of))]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column(0).to_numpy().view(np.uint64)
             places = np.concatenate(slots_of(grams, bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.tile(batch.column(1).to_numpy(), len(SPREAD)))], names=["slot", "mask"])
-
-    slots = wide.select("gram", mask.alias("mask")).mapInArrow(probe, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros(1 << bits, np.int64)
-    masks[slots.column("slot").to_numpy()] = slots.column("mask").to_numpy()
+            spread = [pa.array(np.tile(batch.column(1 + i).to_numpy(), len(SPREAD))) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(places), *spread], names=["slot", *names])
+
+    probed = wide.select("gram", *[m.alias(n) for m, n in zip(rows_of, names, strict=True)])
+    probed = probed.mapInArrow(probe, ", ".join(f"{n} long" for n in ["slot", *names]))
+    slots = probed.groupBy("slot").agg(*[F.bit_or(n).alias(n) for n in names]).toArrow()  # at most 2**bits rows
+    masks = np.zeros((len(names), 1 << bits), np.int64)
+    masks[:, slots.column("slot").to_numpy()] = [slots.column(n).to_numpy() for n in names]
     return LanguageFilters(languages, masks, bits)
 
 

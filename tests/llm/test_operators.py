@@ -132,6 +132,15 @@ def test_language_edges(spark, edge, empty):
 # decontamination
 
 
+def test_more_languages_than_a_mask_has_bits(spark):
+    """Every language has words of its own, the last ones bits of a second mask."""
+    words = {f"l{i:02}": " ".join(chr(97 + i % 26) * 3 + chr(97 + i // 26) * 2 + chr(97 + k) * 4 for k in range(8)) for i in range(70)}
+    docs = spark.createDataFrame([(n, text, lang) for lang, text in words.items() for n in range(3)], "doc_id long, text string, lang string")
+    model = language_filters.learn(docs)
+    assert len(model.languages) == 70 and model.masks.shape[0] == 2
+    assert all(r.lang_pred == r.lang for r in language_filters.predict(docs, model, "lang").collect())
+
+
 def test_decontamination_edges(spark, edge, empty, benchmark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     swapped = item.replace("gamma", "other").replace("kappa", "words")
@@ -193,6 +202,15 @@ def test_quality_edges(spark, edge, empty):
 # WARC
 
 
+def test_quality_of_long_samples(spark):
+    """A text of more passages than the sample takes teaches by some of them and is scored by all."""
+    docs = spark.createDataFrame([(i, ("Good words in a row. " if i % 2 else "x9 ## 00 !! ") * 3000) for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    model = attention_quality.learn(docs, labels, sample_passages=5)
+    found = attention_quality.scores(docs, model, "doc_id").collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) and r.n_passages > 50 for r in found)
+
+
 def test_warc_edges(spark):
     big = "<p>" + "é" * 2000 + "</p>"
     rows = [(1, "http://a", None), (2, None, ""), (3, "http://c", big), (4, "u\r\nx: y", big), (5, "e", big), (5, "e", big), (6, "f", "x" * 999), (7, "g", "x" * 999),
