@@ -267,6 +267,7 @@ def hand_strength(first: Column, second: Column) -> Column:
     def strength(h: Column) -> Column:
         high, low = h["high"], h["low"]
         gap = F.greatest(F.lit(0), high - low - 1)
+        # The weight of every part.
         pair = F.lit(0.44) + ((high - 2) / F.lit(12.0)) * 0.52
         other = (
             F.lit(0.05)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cards as C
 from ..functions.keys import short_id
@@ -152,6 +155,26 @@ def import_portable(df: DataFrame, spot_schema: str, result_schema: str, scalars
     return again.withColumn("mismatch", (F.length("claimed_id") > 0) & (F.col("claimed_id") != F.col("spot_id")))
 
 
+@F.pandas_udf(T.BinaryType())
+def _gzip(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else gzip.compress(t.encode(), 6, mtime=0))
+
+
+@F.pandas_udf(T.StringType())
+def _gunzip(blobs: pd.Series) -> pd.Series:
+    return blobs.map(lambda b: None if b is None else gzip.decompress(b).decode())
+
+
+def strategy_blob(strategy: Column) -> Column:
+    """A strategy (map of probability lists) as gzip of its JSON; equal strategies give equal bytes."""
+    return _gzip(F.to_json(strategy))
+
+
+def strategy_of(blob: Column) -> Column:
+    """The strategy of a blob; every number comes back as it was."""
+    return F.from_json(_gunzip(blob), "map<string,array<double>>")
+
+
 def statistics(df: DataFrame, size: Column) -> DataFrame:
     """Count, bytes and age overall, by street and by version in one pass."""
     out = df.groupingSets([[], ["street"], ["solver_version"]], "street", "solver_version").agg(

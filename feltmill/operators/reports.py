@@ -212,8 +212,8 @@ def ablation_reading(variants: DataFrame, reference: str = "without_constant_fea
 
 
 def best_model(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Best by macro F1, then weighted F1, then accuracy; the dummy only when alone."""
-    order = F.struct((F.col("model") != "dummy").alias("real"), "macro_f1", "weighted_f1", "accuracy")
+    """Best by macro F1, then weighted F1, accuracy and name; the dummy only when alone."""
+    order = F.struct((F.col("model") != "dummy").alias("real"), "macro_f1", "weighted_f1", "accuracy", "model")
     return df.groupBy(*group).agg(F.max_by("model", order).alias("selected_model"))
 
 

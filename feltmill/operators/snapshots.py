@@ -182,6 +182,7 @@ def threshold_decision(df: DataFrame) -> DataFrame:
         )
 
     none = F.lit(None)
+    # The edges, stakes and confidences of the decisions.
     free = F.when((equity >= 0.62) & can_raise, made("BET", F.greatest(F.lit(1.0), half_even(pot * 0.5, 2)), 0.72, "value_bet")).otherwise(
         made("CHECK", none, 0.68, "free_check")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +122,17 @@ def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float, se
     return ranked.filter(keep).drop("_digest", "rank", "group_size")
 
 
+def price_ratios(pot: str, to_call: str, equity: str, ratio: str, required: str, gap: str) -> dict[str, Column]:
+    """Price to pot, equity required and what equity exceeds it, for `derived`; a ratio without a base keeps its value."""
+    price = F.coalesce(F.col(to_call), F.lit(0.0))
+    whole = F.coalesce(F.col(pot), F.lit(0.0)) + price
+    return {
+        ratio: F.when((F.col(pot) > 0) & F.col(to_call).isNotNull(), half_even(F.col(to_call) / F.col(pot), 6)).otherwise(F.col(ratio)),
+        required: F.when(whole > 0, half_even(price / whole, 6)).otherwise(F.col(required)),
+        gap: half_even(F.coalesce(F.col(equity), F.lit(0.0)) - F.coalesce(F.col(required), F.lit(0.0)), 6),
+    }
+
+
 def balanced_resample(
     df: DataFrame,
     label: str,
@@ -130,6 +141,7 @@ def balanced_resample(
     target_rows: int | float,
     jittered: Sequence[str] = (),
     seed: int = 17,
+    derived: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Bring every label to its share of `target_rows`: keep up to the share, then draw with replacement.
 
@@ -137,7 +149,8 @@ def balanced_resample(
     rows already they are all kept and nothing is drawn.
 
     Drawn rows get the id 'key:aug:slot', `generation_method` 'resampled_jitter' and one factor per
-    row (normal, sigma 0.025, cut to 0.92 .. 1.08) on the `jittered` columns, rounded to 6 digits.
+    row (normal, sigma 0.025, cut to 0.92 .. 1.08) on the `jittered` columns, rounded to 6 digits; a missing value stays missing. Columns of
+    `derived` are then computed again on the drawn rows, one after the other (see `price_ratios`).
     A label without rows fails the job when it runs.
     """
     spark = df.sparkSession
@@ -163,7 +176,7 @@ def balanced_resample(
     source = numbered.drop("group_size", "_target")
     rows = drawn.select(label, "rank", "_slot", factor.alias("_factor")).join(source, [label, "rank"])
     shaken = [
-        half_even(F.greatest(F.lit(0.0), F.col(c) * F.col("_factor")), 6).alias(c) if c in jittered else F.col(c)
+        F.when(F.col(c).isNotNull(), half_even(F.greatest(F.lit(0.0), F.col(c) * F.col("_factor")), 6)).alias(c) if c in jittered else F.col(c)
         for c in df.columns
         if c != key
     ]
@@ -173,6 +186,8 @@ def balanced_resample(
         F.lit("resampled_jitter").alias("generation_method"),
         F.col(key).cast("string").alias("source_snapshot_id"),
     )
+    for name, value in (derived or {}).items():
+        added = added.withColumn(name, value)
     originals = kept.select(
         F.col(key).cast("string").alias(key),
         *[F.col(c) for c in df.columns if c != key],

@@ -76,19 +76,19 @@ def library_delete(spark, sf):
 
 
 @query("library_pending_requests", "J5 S12", SPOT_CTE + """
-, req AS (SELECT c_custkey AS spot_id, c_acctbal < 0 AS bad FROM customer), done AS (SELECT DISTINCT spot_id FROM sp WHERE stack_bb < 50)
+, req AS (SELECT c_custkey AS spot_id, c_acctbal < 0 AS bad FROM customer), done AS (SELECT DISTINCT spot_id FROM sp)
 SELECT CASE WHEN bad THEN 'error' WHEN spot_id IN (SELECT spot_id FROM done) THEN 'skip' ELSE 'dry_run' END AS outcome, count(*) AS n FROM req GROUP BY 1
 """)
 def library_pending_requests(spark, sf):
     errors = F.when(F.col("c_acctbal") < 0, F.array(F.lit("negative"))).otherwise(F.array().cast("array<string>"))
     requests = table(spark, sf, "customer").select(F.col("c_custkey").alias("spot_id"), errors.alias("errors"))
-    return L.outcome_counts(requests, spots(spark, sf).filter("stack_bb < 50"), dry_run=True)
+    return L.outcome_counts(requests, spots(spark, sf), dry_run=True)
 
 
-@query("pending_and_skipped_keys", "J5", SPOT_CTE + ", done AS (SELECT spot_id FROM sp WHERE stack_bb < 50) SELECT c_custkey AS spot_id, CASE WHEN c_custkey IN (SELECT spot_id FROM done) THEN 'skipped' ELSE 'pending' END AS state FROM customer")
+@query("pending_and_skipped_keys", "J5", SPOT_CTE + ", done AS (SELECT spot_id FROM sp) SELECT c_custkey AS spot_id, CASE WHEN c_custkey IN (SELECT spot_id FROM done) THEN 'skipped' ELSE 'pending' END AS state FROM customer")
 def pending_and_skipped_keys(spark, sf):
     requests = table(spark, sf, "customer").select(F.col("c_custkey").alias("spot_id"))
-    todo, skipped = L.pending(requests, spots(spark, sf).filter("stack_bb < 50"))
+    todo, skipped = L.pending(requests, spots(spark, sf))
     return todo.withColumn("state", F.lit("pending")).unionByName(skipped.withColumn("state", F.lit("skipped")))
 
 
@@ -121,6 +121,19 @@ def portable_record_round_trip(spark, sf):
     return whole.groupBy("mismatch").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("spot_id").alias("ids"))
 
 
+@query("strategy_blob_round_trip", "F23 K11", """
+SELECT l_orderkey, count(*) AS lines, round(sum(l_discount), 6) AS discount, round(sum(l_tax), 6) AS tax, TRUE AS gzip_marks FROM lineitem GROUP BY 1
+""")
+def strategy_blob_round_trip(spark, sf):
+    """Strategies packed and unpacked; the numbers that come back are summed."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.create_map(F.lit("root"), F.array("l_discount", "l_tax")).alias("strategy"))
+    packed = rows.select("l_orderkey", L.strategy_blob(F.col("strategy")).alias("blob"))
+    back = packed.select("l_orderkey", "blob", L.strategy_of(F.col("blob"))["root"].alias("p"))
+    share = lambda i: F.round(F.sum(F.get("p", F.lit(i))), 6)
+    marks = F.bool_and(F.hex(F.substring("blob", 1, 2)) == "1F8B")
+    return back.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), share(0).alias("discount"), share(1).alias("tax"), marks.alias("gzip_marks"))
+
+
 @query("content_ids", "F21", "SELECT o_orderkey, sha256('{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS id, substr(sha256('{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}'), 1, 16) AS short FROM orders")
 def content_ids(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", content_id("o_orderkey", "o_orderstatus").alias("id"))
@@ -128,13 +141,14 @@ def content_ids(spark, sf):
 
 
 @query("strategy_coverage", "J9 U4", """
-WITH a AS (SELECT l_partkey, l_suppkey, avg(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), b AS (SELECT l_partkey, l_suppkey, avg(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+WITH a AS (SELECT l_partkey, l_suppkey, avg(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2), b AS (SELECT l_partkey, l_suppkey, avg(l_quantity) AS v FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2)
 SELECT count(a.v) AS left_keys, count(b.v) AS right_keys, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) AS overlap, max(abs(a.v - b.v)) AS max_delta, round(avg(a.v - b.v), 6) AS mean_delta,
   round(count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) / count(a.v)::DOUBLE, 8) AS coverage FROM a FULL JOIN b USING (l_partkey, l_suppkey)
 """)
 def strategy_coverage(spark, sf):
     items = table(spark, sf, "lineitem")
-    sides = [items.filter(F.col("l_returnflag") == f).groupBy("l_partkey", "l_suppkey").agg(F.avg("l_quantity").alias("v")) for f in ("A", "R")]
+    kept = F.col("l_returnflag") == "N"
+    sides = [items.filter(side).groupBy("l_partkey", "l_suppkey").agg(F.avg("l_quantity").alias("v")) for side in (kept, ~kept)]
     out = L.coverage(sides[0], sides[1], ["l_partkey", "l_suppkey"], "v")
     return out.withColumns({"mean_delta": F.round("mean_delta", 6), "coverage": F.round("coverage", 8)})
 
@@ -206,13 +220,17 @@ c AS (SELECT *, sum(v) OVER (PARTITION BY vec_id ORDER BY i) AS cum FROM p)
 """
 
 
-@query("histogram_distance", "W7", EMD_CTE + ", z AS (SELECT i, cum FROM c WHERE vec_id = 0) SELECT vec_id, round(avg(abs(c.cum - z.cum)), 8) AS distance FROM c JOIN z USING (i) GROUP BY 1")
+@query("histogram_distance", "W7", EMD_CTE + """
+, z AS (SELECT label, i, avg(v) AS v FROM p GROUP BY 1, 2), zc AS (SELECT label, i, sum(v) OVER (PARTITION BY label ORDER BY i) AS cum FROM z)
+SELECT vec_id, round(avg(abs(c.cum - zc.cum)), 8) AS distance FROM c JOIN zc ON c.label IS NOT DISTINCT FROM zc.label AND c.i = zc.i GROUP BY 1
+""")
 def histogram_distance(spark, sf):
+    """Every histogram's distance to the mean histogram of its label."""
     rows = embedding_histograms(spark, sf)
-    anchor = rows.filter("vec_id = 0").select(F.col("h").alias("a"))
-    # One row by construction: the key is unique.
-    both = rows.join(F.broadcast(anchor))
-    return both.select("vec_id", F.round(E.emd(F.col("h"), F.col("a")), 8).alias("distance"))
+    places = rows.select("label", F.posexplode("h").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
+    means = places.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("mean"))
+    both = rows.alias("r").join(means.alias("m"), F.expr("r.label <=> m.label"))
+    return both.select("vec_id", F.round(E.emd(F.col("h"), F.col("mean")), 8).alias("distance"))
 
 
 @query("histogram_clusters", "M15 X3")
@@ -237,14 +255,19 @@ def bucket_abstraction(spark, sf):
 
 
 BUCKETS = f"""
-WITH {DECK_CTE}, {deal_cte('customer', 'c_custkey')}, keyed AS (SELECT c_custkey, d[5] || d[6] AS board_key, d[1] AS hand_key FROM dealt),
-tab AS (SELECT board_key, hand_key, min(c_custkey) % 9 AS bucket FROM keyed WHERE c_custkey % 2 = 0 GROUP BY 1, 2)
+WITH {DECK_CTE}, {deal_cte('customer', 'c_custkey')}, {deal_cte('supplier', 's_suppkey', name='known')}, keyed AS (SELECT c_custkey, d[5] || d[6] AS board_key, d[1] AS hand_key FROM dealt),
+tab AS (SELECT d[5] || d[6] AS board_key, d[1] AS hand_key, min(s_suppkey) % 9 AS bucket FROM known GROUP BY 1, 2)
 SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE bucket END AS bucket, CASE WHEN c_custkey % 5 <> 0 AND bucket IS NULL THEN 'canonical_key_missing' END AS error FROM keyed LEFT JOIN tab USING (board_key, hand_key)
 """
 
 
 @query("bucket_lookup", "J7", BUCKETS)
 def bucket_lookup(spark, sf):
-    keyed = deals(spark, sf, "customer", "c_custkey", 3).select("c_custkey", F.concat(F.get("board", F.lit(0)), F.get("board", F.lit(1))).alias("board_key"), F.get("hero", F.lit(0)).alias("hand_key"))
-    stored = keyed.filter("c_custkey % 2 = 0").groupBy("board_key", "hand_key").agg((F.min("c_custkey") % 9).alias("bucket"))
-    return B.lookup_bucket(keyed, stored, ["board_key", "hand_key"], F.col("c_custkey") % 5 == 0).select("c_custkey", "bucket", "error")
+    """The hands of customers in a table of the hands of suppliers."""
+
+    def keyed(name, key):
+        board = F.concat(F.get("board", F.lit(0)), F.get("board", F.lit(1)))
+        return deals(spark, sf, name, key, 3).select(key, board.alias("board_key"), F.get("hero", F.lit(0)).alias("hand_key"))
+
+    known = keyed("supplier", "s_suppkey").groupBy("board_key", "hand_key").agg((F.min("s_suppkey") % 9).alias("bucket"))
+    return B.lookup_bucket(keyed("customer", "c_custkey"), known, ["board_key", "hand_key"], F.col("c_custkey") % 5 == 0).select("c_custkey", "bucket", "error")

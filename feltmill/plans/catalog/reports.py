@@ -165,12 +165,13 @@ def majority_baseline_report(spark, sf):
 
 
 @query("performance_grid_report", "J1 A26", """
-WITH p AS (SELECT source, CASE WHEN quality = 1 THEN 'preflop' ELSE 'postflop' END AS model, count(*) AS rows FROM labels JOIN documents USING (doc_id) WHERE toxic = 1 GROUP BY 1, 2),
+WITH p AS (SELECT source, CASE WHEN toxic = 1 THEN 'river' WHEN quality = 1 THEN 'preflop' ELSE 'postflop' END AS model, count(*) AS rows FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2),
 g AS (SELECT DISTINCT source FROM p) SELECT source, model, coalesce(CAST(rows AS VARCHAR), 'not available') AS rows FROM (SELECT source, unnest(['preflop', 'postflop', 'river']) AS model FROM g) LEFT JOIN p USING (source, model)
 """)
 def performance_grid_report(spark, sf):
-    rows = table(spark, sf, "labels").filter("toxic = 1").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    perf = rows.groupBy("source", F.when(F.col("quality") == 1, "preflop").otherwise("postflop").alias("model")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    model = F.when(F.col("toxic") == 1, "river").when(F.col("quality") == 1, "preflop").otherwise("postflop")
+    perf = rows.groupBy("source", model.alias("model")).agg(F.count(F.lit(1)).alias("rows"))
     return P.performance_grid(perf, "source", ["preflop", "postflop", "river"], ["rows"])
 
 

@@ -178,3 +178,32 @@ def balanced_resample_jitter(spark, sf):
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     out = S.balanced_resample(rows, "label", segments, "c_custkey", 2.0, ["amount"])
     return out.select("c_custkey", "label", "amount", "generation_method")
+
+
+@query("resample_jitter_ratios", "M5 U2", """
+WITH src AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'RAISE' WHEN o_orderkey % 5 < 2 THEN 'CALL' ELSE 'FOLD' END AS label, o_totalprice AS pot,
+  CASE WHEN o_custkey % 6 > 0 THEN (o_custkey % 6 * 1000)::DOUBLE END AS price, CASE WHEN o_custkey % 7 > 0 THEN o_custkey % 7 / 8.0 END AS equity FROM orders),
+lab AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS i FROM src GROUP BY label),
+tot AS (SELECT 2 * count(*) AS wanted FROM src),
+tgt AS (SELECT label, n, wanted // 3 + CASE WHEN i < wanted % 3 THEN 1 ELSE 0 END AS target FROM lab CROSS JOIN tot),
+num AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('17:' || label || ':' || o_orderkey), o_orderkey) AS r FROM src),
+draw AS (SELECT label, n, slot, sha256('17:' || label || ':' || slot) AS d FROM (SELECT label, n, unnest(generate_series(n, target - 1)) AS slot FROM tgt WHERE target > n)),
+pickd AS (SELECT label, slot, CAST('0x' || substr(d, 1, 13) AS BIGINT) % n + 1 AS r,
+  greatest(0.92, least(1.08, 1.0 + 0.025 * sqrt(-2.0 * ln(greatest(CAST('0x' || substr(d, 1, 13) AS BIGINT) / 4503599627370496.0, 2.220446049250313e-16)))
+    * cos(6.283185307179586 * (CAST('0x' || substr(d, 14, 13) AS BIGINT) / 4503599627370496.0)))) AS f FROM draw),
+shaken AS (SELECT o_orderkey || ':aug:' || slot AS id, label, round(pot * f, 6) AS pot, round(price * f, 6) AS price, equity FROM pickd JOIN num USING (label, r)),
+priced AS (SELECT *, CASE WHEN price IS NOT NULL THEN round(price / pot, 6) ELSE -1.0 END AS pot_share, round(coalesce(price, 0.0) / (pot + coalesce(price, 0.0)), 6) AS required FROM shaken)
+SELECT CAST(o_orderkey AS VARCHAR) AS id, label, pot, -1.0::DOUBLE AS pot_share, -1.0::DOUBLE AS required, -1.0::DOUBLE AS gap FROM num JOIN tgt USING (label) WHERE r <= target
+UNION ALL SELECT id, label, pot, pot_share, required, round(coalesce(equity, 0.0) - required, 6) FROM priced
+""")
+def resample_jitter_ratios(spark, sf):
+    """Drawn rows get their ratios from the shaken amounts; originals keep what they had (here -1)."""
+    k, c, old = F.col("o_orderkey"), F.col("o_custkey"), F.lit(-1.0)
+    label = F.when(F.col("o_orderstatus") == "P", "RAISE").when(k % 5 < 2, "CALL").otherwise("FOLD")
+    price, equity = F.when(c % 6 > 0, (c % 6 * 1000).cast("double")), F.when(c % 7 > 0, c % 7 / 8.0)
+    rows = table(spark, sf, "orders").select(
+        k.alias("id"), label.alias("label"), F.col("o_totalprice").alias("pot"), price.alias("price"), equity.alias("equity"), old.alias("pot_share"), old.alias("required"), old.alias("gap")
+    )
+    ratios = S.price_ratios("pot", "price", "equity", "pot_share", "required", "gap")
+    out = S.balanced_resample(rows, "label", ["CALL", "FOLD", "RAISE"], "id", 2.0, ["pot", "price"], derived=ratios)
+    return out.select("id", "label", "pot", "pot_share", "required", "gap")

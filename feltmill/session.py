@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+#: Paths handed out by this process.
+_OWN: list[str] = []
+
 
 def build_session(app: str = "feltmill", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above; `master` is left to spark-submit when not given."""
@@ -47,7 +50,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, never reused path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _OWN.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes what this session has stored so far, once results that read it are written; gives how many folders."""
+    gone, jvm = 0, spark._jvm
+    while _OWN:
+        path = jvm.org.apache.hadoop.fs.Path(_OWN.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def stored(df: DataFrame, label: str, *by: str) -> DataFrame:

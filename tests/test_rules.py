@@ -1,5 +1,7 @@
 """Splits, ladders, library and clustering: invariants and brute force."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +73,28 @@ def test_resample_refuses_a_missing_class(spark):
     assert S.balanced_resample(df, "label", ["A", "B"], "k", 2, ["x"]).filter("generation_method <> 'real_imported'").count() == 0
 
 
+def test_ratios_follow_the_shaken_amounts(spark):
+    df = spark.createDataFrame(
+        [("a", "A", 10.0, 5.0, 0.4, 9.0, 9.0, 9.0), ("b", "B", None, 5.0, None, 9.0, 9.0, 9.0), ("c", "C", None, None, 0.4, 9.0, 9.0, 9.0)],
+        "k string, label string, pot double, price double, equity double, share double, required double, gap double",
+    )
+    ratios = S.price_ratios("pot", "price", "equity", "share", "required", "gap")
+    out = S.balanced_resample(df, "label", ["A", "B", "C"], "k", 6, ["pot", "price"], derived=ratios).filter("k LIKE '%aug%'")
+    got = {r["label"]: (r["share"], r["required"], r["gap"]) for r in out.collect()}
+    assert got["A"][0] == 0.5 and got["A"][1:] == (0.333333, 0.066667)  # one factor for both amounts
+    assert got["B"] == (9.0, 1.0, -1.0) and got["C"] == (9.0, 9.0, -8.6)
+
+
+def test_stored_tables_can_be_dropped(spark, tmp_path):
+    from feltmill import session
+
+    kept, session._OWN[:] = list(session._OWN), []
+    path = session.scratch_path(spark, "numbers")
+    spark.range(3).write.parquet(path)
+    assert session.drop_stored(spark) == 1 and not os.path.exists(path) and not session._OWN
+    session._OWN[:] = kept
+
+
 GOOD = {
     "solver_job_id": "j", "source_snapshot_id": "s", "created_at": "t", "schema_version": "solver_job_v1", "source_type": "synthetic", "units": "bb", "street": "turn", "hero_hand": ["Ah", "Kd"], "villain_hand": ["Qs", "Qd"],
     "villain_range": None, "board": ["2c", "7d", "10h", "Ks"], "pot": "100", "to_call": "0", "stack": "500", "bet_sizes": ["0.33"], "iterations": "5", "timeout_s": "5", "backend": "rust", "label_intent": "solver_smoke",
