@@ -149,8 +149,9 @@ def balanced_resample(
     rows already they are all kept and nothing is drawn.
 
     Drawn rows get the id 'key:aug:slot', `generation_method` 'resampled_jitter' and one factor per
-    row (normal, sigma 0.025, cut to 0.92 .. 1.08) on the `jittered` columns, rounded to 6 digits; a missing value stays missing. Columns of
-    `derived` are then computed again on the drawn rows, one after the other (see `price_ratios`).
+    row (normal, sigma 0.025, cut to 0.92 .. 1.08) on the `jittered` columns, rounded to 6 digits; a missing
+    value stays missing. Columns of `derived` are then computed again on the drawn rows, one after the other (see
+    `price_ratios`).
     A label without rows fails the job when it runs.
     """
     spark = df.sparkSession

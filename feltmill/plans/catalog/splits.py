@@ -193,11 +193,12 @@ pickd AS (SELECT label, slot, CAST('0x' || substr(d, 1, 13) AS BIGINT) % n + 1 A
     * cos(6.283185307179586 * (CAST('0x' || substr(d, 14, 13) AS BIGINT) / 4503599627370496.0)))) AS f FROM draw),
 shaken AS (SELECT o_orderkey || ':aug:' || slot AS id, label, round(pot * f, 6) AS pot, round(price * f, 6) AS price, equity FROM pickd JOIN num USING (label, r)),
 priced AS (SELECT *, CASE WHEN price IS NOT NULL THEN round(price / pot, 6) ELSE -1.0 END AS pot_share, round(coalesce(price, 0.0) / (pot + coalesce(price, 0.0)), 6) AS required FROM shaken)
-SELECT CAST(o_orderkey AS VARCHAR) AS id, label, pot, -1.0::DOUBLE AS pot_share, -1.0::DOUBLE AS required, -1.0::DOUBLE AS gap FROM num JOIN tgt USING (label) WHERE r <= target
-UNION ALL SELECT id, label, pot, pot_share, required, round(coalesce(equity, 0.0) - required, 6) FROM priced
+SELECT CAST(o_orderkey AS VARCHAR) AS id, label, round(pot, 2) AS pot, -1.0::DOUBLE AS pot_share, -1.0::DOUBLE AS required, -1.0::DOUBLE AS gap FROM num JOIN tgt USING (label) WHERE r <= target
+UNION ALL SELECT id, label, round(pot, 2), pot_share, required, round(coalesce(equity, 0.0) - required, 6) FROM priced
 """)
 def resample_jitter_ratios(spark, sf):
-    """Drawn rows get their ratios from the shaken amounts; originals keep what they had (here -1)."""
+    """Drawn rows get their ratios from the shaken amounts; originals keep what they had (here -1). Amounts are
+    compared to two digits: logarithm and cosine of the two engines differ in their last bit."""
     k, c, old = F.col("o_orderkey"), F.col("o_custkey"), F.lit(-1.0)
     label = F.when(F.col("o_orderstatus") == "P", "RAISE").when(k % 5 < 2, "CALL").otherwise("FOLD")
     price, equity = F.when(c % 6 > 0, (c % 6 * 1000).cast("double")), F.when(c % 7 > 0, c % 7 / 8.0)
@@ -206,4 +207,4 @@ def resample_jitter_ratios(spark, sf):
     )
     ratios = S.price_ratios("pot", "price", "equity", "pot_share", "required", "gap")
     out = S.balanced_resample(rows, "label", ["CALL", "FOLD", "RAISE"], "id", 2.0, ["pot", "price"], derived=ratios)
-    return out.select("id", "label", "pot", "pot_share", "required", "gap")
+    return out.select("id", "label", F.round("pot", 2).alias("pot"), "pot_share", "required", "gap")
