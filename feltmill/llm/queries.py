@@ -163,7 +163,7 @@ FROM m
 @query("op6_warc", WARC_SQL)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
-    found = warc.read_archives(spark, manifest, with_payload=False).filter("trouble IS NULL")
+    found = warc.without_gaps(warc.read_archives(spark, manifest, with_payload=False))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*)>$", 1).try_cast("long")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

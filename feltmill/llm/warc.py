@@ -164,8 +164,13 @@ def _checked(found: Record) -> Record:
 
 def _open_record(data: _Bytes, at: int) -> Record:
     """An uncompressed record that begins at `at`."""
-    head = data.get(at, _HEAD)
+    n = _HEAD
+    head = data.get(at, n)
     cut = head.find(b"\r\n\r\n")
+    while cut < 0 and at + n < data.size and head.startswith(b"WARC/1."):
+        n *= 2
+        head = data.get(at, n)
+        cut = head.find(b"\r\n\r\n")
     if not head.startswith(b"WARC/1.") or cut < 0:
         return Record(at, at, trouble="no version line" if cut >= 0 else "headers do not end")
     heads = _fields(head[:cut])
@@ -240,6 +245,12 @@ def salvage(file: pa.NativeFile) -> Iterator[Record]:
         yield gap
 
 
+def without_gaps(found: DataFrame) -> DataFrame:
+    """The records of archives that must be whole; the job fails if there is a gap."""
+    told = F.concat(F.lit("gap in "), "archive", F.lit(" at byte "), F.col("at").cast("string"), F.lit(": "), "trouble")
+    return found.filter(F.when(F.col("trouble").isNull(), True).otherwise(F.raise_error(told).cast("boolean")))
+
+
 READ = (
     "archive string, at long, n_bytes long, trouble string, record_type string, record_id string, url string, refers_to string, "
     "payload_bytes long, payload_digest string, payload binary"
