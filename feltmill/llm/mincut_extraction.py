@@ -2,8 +2,9 @@
 
 A page is cut into blocks of text at its block-level tags. Each block gets two costs, of being called content and of
 being called boilerplate, from its place (landmark elements, telling words in class, id and role) and its text (share
-of linked characters, length, sentence marks). They are the capacities of its edges to sink and source. Neighbouring
-blocks, and consecutive blocks of the same parent, are joined by smoothness edges that get stronger the closer the
+of linked characters, length, sentence marks). Telling words, and forms, count for all blocks in their element but those
+in an `<article>` or `<main>` further in; but for words of advertising, they do not count where the element holds most of
+the page's text. The costs are the capacities of its edges to sink and source. Neighbouring blocks, and consecutive blocks of the same parent, are joined by smoothness edges that get stronger the closer the
 blocks lie in the element tree. The maximum flow through this graph finds the cheapest labelling, and the blocks on
 the source's side, in page order, are the text.
 
@@ -36,7 +37,7 @@ TOKEN = re.compile(
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-BARRED = set("nav footer aside form button menu dialog head noframes fieldset".split())
+BARRED = set("nav footer aside button menu dialog head noframes fieldset".split())
 MAIN = {"article", "main"}
 #: An end tag is implied when one of these begins inside another of the same kind.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -48,27 +49,33 @@ TELLING = set(
     " subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies sidebar widget menu nav navbar navigation"
     " breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager skip search tags copyright legal disclaimer contentinfo complementary hidden byline".split()
 )
+ADVERTS = set("ad ads advert adverts advertisement advertorial sponsor sponsored promo promotion".split())
 NEVER, LEAN = 1e6, 6.0
+#: Costs of content under a telling word, and under a form or a word of advertising.
+TOLD, SOLD = 8.0, 12.0
 NEAR = 1.2
 
 
 class _Element:
-    __slots__ = ("name", "parent", "depth", "barred", "main", "linked")
+    __slots__ = ("name", "parent", "depth", "barred", "main", "linked", "told", "teller", "outer")
 
     def __init__(self, name: str, attributes: str, parent: _Element | None) -> None:
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
-        said = False
+        self.told, hidden = SOLD if name == "form" else 0.0, False
         if attributes:
             for key, value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.lower()
                 if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
-                    said = True
-                elif key != "style" and not TELLING.isdisjoint(WORD.findall(value)):
-                    said = True
+                    hidden = True
+                elif key != "style" and not TELLING.isdisjoint(words := WORD.findall(value)):
+                    self.told = max(self.told, TOLD if ADVERTS.isdisjoint(words) else SOLD)
         inside = parent.main if parent else False
         header = name == "header" and not inside
-        self.barred = bool(parent and parent.barred) or name in BARRED or header or said and name not in ("html", "body", *MAIN)
+        self.barred = bool(parent and parent.barred) or name in BARRED or header or hidden and name not in ("html", "body", *MAIN)
+        # the innermost element around that tells of boilerplate; a main text in it is not meant, unless it tells the same
+        self.outer = parent.teller if parent and not (name == "main" or name == "article" and not self.told) else None
+        self.teller = self if self.told and name not in ("html", "body", *MAIN) else self.outer
         self.main = (inside or name in MAIN) and not self.barred
         self.linked = name == "a" or bool(parent and parent.linked and name in INLINE)
 
@@ -140,12 +147,32 @@ def blocks_of(page: str) -> list[_Block]:
     return out
 
 
-def costs(block: _Block) -> tuple[float, float]:
-    """(cost of boilerplate, cost of content): the capacities from the source and to the sink."""
+def wrappers(blocks: list[_Block]) -> set[_Element]:
+    """Elements whose words tell of boilerplate, not of advertising, but that hold most of the page's text: there the words mean the layout."""
+    held: dict[_Element, int] = {}
+    total = 0
+    for block in blocks:
+        if not block.element.barred:
+            total += len(block.text)
+            teller = block.element.teller
+            while teller is not None:
+                held[teller] = held.get(teller, 0) + len(block.text)
+                teller = teller.outer
+    return {e for e, n in held.items() if 2 * n > total and (e.told < SOLD or e.name == "form")}
+
+
+def costs(block: _Block, lifted: set[_Element] = frozenset()) -> tuple[float, float]:
+    """(cost of boilerplate, cost of content): the capacities from the source and to the sink. `lifted`: elements whose words do not count."""
     if block.element.barred:
         return 0.0, NEVER
-    text, good, bad = block.text, 0.0, 0.0
-    if block.element.main:
+    text, good, bad, main = block.text, 0.0, 0.0, block.element.main
+    teller = block.element.teller
+    while teller is not None:
+        if teller not in lifted:
+            bad = max(bad, teller.told)
+            main = main and teller.main
+        teller = teller.outer
+    if main:
         good += LEAN
     bad += 5.0 * block.linked
     length = len(text)
@@ -210,7 +237,8 @@ def main_blocks(page: str | None) -> list[str]:
     found = blocks_of(page or "")
     if not found:
         return []
-    good, bad = zip(*map(costs, found), strict=True)
+    lifted = wrappers(found)
+    good, bad = zip(*(costs(b, lifted) for b in found), strict=True)
     edges, last = [], {}
     for i, block in enumerate(found):
         if i:
