@@ -14,6 +14,7 @@ from feltmill.llm import (
     mincut_extraction,
     multiset_fingerprint,
     piece_transducer,
+    sign_hash_links,
     simhash_tiles,
     spaced_seeds,
     suffix_groups,
@@ -207,3 +208,31 @@ def op9_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+EMBEDDING_LINKS_SQL = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS one, b.vec_id AS two FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= {sign_hash_links.THRESHOLD}
+), reach AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION
+    SELECT node, two FROM reach JOIN links ON other = one
+), least AS (
+    SELECT node, min(other) AS component_id FROM reach GROUP BY node
+), counted AS (
+    SELECT one, count(*) AS n FROM links GROUP BY one
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON node = vec_id LEFT JOIN counted ON one = vec_id
+"""
+
+
+@query("op11_sign_hash_links", EMBEDDING_LINKS_SQL)
+def op11_sign_hash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sign_hash_links.link_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("__row.vec_id", "n_links", "component_id", "kept")
