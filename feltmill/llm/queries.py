@@ -18,6 +18,7 @@ from feltmill.llm import (
     simhash_tiles,
     spaced_seeds,
     suffix_groups,
+    turn_alignment,
     warc,
 )
 from feltmill.llm.common import table
@@ -236,3 +237,107 @@ FROM embeddings JOIN least ON node = vec_id LEFT JOIN counted ON one = vec_id
 def op11_sign_hash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sign_hash_links.link_vectors(table(spark, sf_dir, "embeddings"))
     return found.select("__row.vec_id", "n_links", "component_id", "kept")
+
+
+def _least_sql(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _edit_sql(letter: str, cost: str, line: str | None, rest: str) -> str:
+    """An edit before the struct `rest` of (cost, audit, lines)."""
+    lines = f"{rest}.lines" if line is None else f"list_prepend({line}, {rest}.lines)"
+    return f"{{'cost': {cost} + {rest}.cost, 'audit': '{letter}' || {rest}.audit, 'lines': {lines}}}"
+
+
+def _take_sql(role: str, rest: str) -> str:
+    keep, rename = _edit_sql("K", "cut", "role || ':' || text", rest), _edit_sql("R", "1 + cut", f"'{role}:' || text", rest)
+    return f"CASE WHEN gone THEN NULL WHEN role[1] = '{role[0]}' THEN {keep} ELSE {rename} END"
+
+
+def _insert_sql(role: str, rest: str) -> str:
+    return _edit_sql("I", "5", f"'{role}:'", rest)
+
+
+CONVERSATIONS_SQL = f"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crcs
+    FROM range(256) t(n)
+), keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations
+), faulted AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT)),
+                              lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+    FROM keyed, crc_table
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM faulted WHERE fault <> 0
+), ordered AS (
+    SELECT *, row_number() OVER w AS k, role[1] AS letter, lag(role[1]) OVER w AS before,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, unhex(md5(text)), copy)
+), turns AS (
+    SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, NOT regexp_matches(bare, '[.!?]$') AS short
+    FROM ordered
+), marked AS (
+    SELECT *, blank OR again AS gone, CASE WHEN short THEN 5 ELSE 0 END::BIGINT AS cut FROM turns
+), counted AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+           count(*) FILTER (WHERE short AND NOT gone) AS truncated,
+           count(*) FILTER (WHERE before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM marked GROUP BY conv_id
+), walk AS (
+    -- the cheapest rest by what comes next: anything, u after s, a, u or the end
+    SELECT conv_id, n AS k, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS start,
+           {{'cost': 10::BIGINT, 'audit': 'II', 'lines': ['user:', 'assistant:']}} AS after_s,
+           {{'cost': 5::BIGINT, 'audit': 'I', 'lines': ['assistant:']}} AS a, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS u
+    FROM counted
+    UNION ALL
+    SELECT conv_id, k - 1, {_least_sql("start", _insert_sql("user", "a"))}, {_least_sql("after_s", _insert_sql("user", "a"))}, a, u
+    FROM (
+        SELECT conv_id, k, start, after_s, {_least_sql("a", _insert_sql("assistant", "u"))} AS a, {_least_sql("u", _insert_sql("user", "a"))} AS u
+        FROM (
+            SELECT w.conv_id, w.k,
+                   {_least_sql(_edit_sql("D", "2", None, "w.start"), _take_sql("user", "w.a"), "CASE WHEN NOT gone AND role[1] = 's' THEN " + _edit_sql("K", "cut", "role || ':' || text", "w.after_s") + " END")} AS start,
+                   {_least_sql(_edit_sql("D", "2", None, "w.after_s"), _take_sql("user", "w.a"))} AS after_s,
+                   {_least_sql(_edit_sql("D", "2", None, "w.a"), _take_sql("assistant", "w.u"))} AS a,
+                   {_least_sql(_edit_sql("D", "2", None, "w.u"), _take_sql("user", "w.a"))} AS u
+            FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.k = w.k
+        )
+    )
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(start.cost, 0) AS cost, coalesce(start.audit, '') AS audit,
+       sha256(coalesce(array_to_string(start.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.k = 0
+"""
+
+
+def damaged_conversations(df: DataFrame) -> DataFrame:
+    """Turns with faults by crc32(conv_id:turn) % 20: dropped, emptied, without end marks, repeated or of another role."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    text, fault = named("text"), F.pmod(F.crc32(F.concat(named("conv_id"), F.lit(":"), named("turn")).cast("binary")), F.lit(20))
+    kept = df.select("conv_id", "turn", named("role").alias("role"), text.alias("text"), fault.alias("fault")).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return kept.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+@query("op12_turn_alignment", CONVERSATIONS_SQL)
+def op12_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def repaired_conversations(df: DataFrame) -> DataFrame:
+    found = turn_alignment.repair_digests(damaged_conversations(df))
+    named = df.select("conv_id").distinct().select("conv_id", turn_alignment.with_null(F.col("conv_id")).alias("__conv"), F.col("conv_id").isNotNull().alias("__known"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in turn_alignment.COUNTS]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return named.join(found, ["__conv", "__known"], "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
