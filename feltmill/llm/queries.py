@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feltmill.llm import (
     attention_quality,
+    hilbert_negatives,
     language_filters,
     line_dedup,
     mincut_extraction,
@@ -341,3 +342,36 @@ def repaired_conversations(df: DataFrame) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in turn_alignment.COUNTS]
     digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
     return named.join(found, ["__conv", "__known"], "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+NEGATIVES_SQL = f"""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor({hilbert_negatives.SCALE} * x::DOUBLE)) AS q
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hilbert_negatives.POSITIVES}
+)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND {hilbert_negatives.SHARE} * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= {hilbert_negatives.NEGATIVES}
+"""
+
+
+def anchor_rows(df: DataFrame) -> DataFrame:
+    """Usable rows with whole-number vectors; where vec_id is divisible by 7, the label is the next of ten."""
+    rows = df.filter(hilbert_negatives.usable(F.col("vec_id"), F.col("embedding"), F.col("label")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rows.select(F.col("vec_id").alias("__id"), hilbert_negatives.whole_numbers(F.col("embedding")).alias("__vector"), label.alias("__label"))
+
+
+@query("op13_hilbert_negatives", NEGATIVES_SQL)
+def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_negatives.hard_negatives(anchor_rows(table(spark, sf_dir, "embeddings")), F.col("__id") % 100 == 0)
