@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +58,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def drop_stored(spark: SparkSession) -> int:
     """Deletes what this session has stored so far, once results that read it are written; gives how many folders."""
+    return _delete(spark, 0)
+
+
+def _delete(spark: SparkSession, left: int) -> int:
+    """Deletes paths handed out until only the first `left` remain; gives how many folders."""
     gone, jvm = 0, spark._jvm
-    while _OWN:
+    while len(_OWN) > left:
         path = jvm.org.apache.hadoop.fs.Path(_OWN.pop())
         gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return gone
@@ -69,3 +75,16 @@ def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of `make()` as a table; whatever it stored on its way to them is deleted.
+
+    For steps whose result is small beside their intermediate tables. No frame made inside may be used afterwards.
+    """
+    before = len(_OWN)
+    done = stored(make(), label)
+    last = _OWN.pop()
+    _delete(spark, before)
+    _OWN.append(last)
+    return done
