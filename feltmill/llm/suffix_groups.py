@@ -31,8 +31,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,9 @@ SPAN = 200
 GRAM = 32
 BLOCK = 50
 LARGE = 50_000
-_TOGETHER = 20_000
+_TOGETHER = 4_000
+#: Text bytes handled at once, besides the text that goes beyond them.
+_SLICE = 1 << 21
 _SEGMENT = 1 << 23
 _LOW = (1 << 24) - 1
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -161,6 +163,16 @@ def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with about `limit` bytes in a text or binary column, one row at least."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges, edges[1:], strict=False):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 OCCURRENCE = "__doc long, __text_key long, __pos long, __lo int, __hi int, __anchor long, __context long"
 
 
@@ -168,8 +180,7 @@ def _occurrences(span: int):  # noqa: ANN202
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, names = xxhash.xxh3_64_intdigest, [c.split()[0] for c in OCCURRENCE.split(", ")]
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for part in by_bytes(batch, 2):
                 found, sizes, contexts = [], [], []
                 for text in part.column(2):
                     raw = (text.as_py() or "").encode()
@@ -193,10 +204,12 @@ def _fetch(span: int):  # noqa: ANN202
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 raw, own = text.as_py().encode(), wanted.values
                 fields = {name: own.field(name) for name in ("__anchor", "__context", "__n", "__d", "__pos", "__lo", "__hi")}
-                places = zip(*(fields[c].to_pylist() for c in ("__pos", "__lo", "__hi")), strict=True)
-                cut = [raw[p - hi : p - lo + span] for p, lo, hi in places]
-                columns = [fields[c] for c in ("__anchor", "__context", "__n", "__d", "__lo", "__hi")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], names=["__anchor", "__context", "__n", "__d", "__lo", "__hi", "__bytes"])
+                names = ["__anchor", "__context", "__n", "__d", "__lo", "__hi"]
+                for low in range(0, len(own), _TOGETHER):  # contexts of a long text overlap: together they are many times as long
+                    part = {c: v.slice(low, _TOGETHER) for c, v in fields.items()}
+                    places = zip(*(part[c].to_pylist() for c in ("__pos", "__lo", "__hi")), strict=True)
+                    cut = pa.array([raw[p - hi : p - lo + span] for p, lo, hi in places], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in names), cut], names=[*names, "__bytes"])
 
     return rows
 
@@ -268,19 +281,22 @@ def _solve(span: int, block: int):  # noqa: ANN202
             columns = [table.column(n).combine_chunks() for n in ("__anchor", "__context")]
             return pa.RecordBatch.from_arrays([*columns, pa.array([_runs(f) for f in found], kind)], names=["__anchor", "__context", "__runs"])
 
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < _TOGETHER:
-                continue
-            table = pa.Table.from_batches(held)
-            keys = table.column("__anchor").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on in the next batch
-            held = table.slice(cut).to_batches()
-            for low, high in _spans(keys[:cut]):
-                yield solved(table.slice(low, high - low))
+        waiting = 0
+        for whole in batches:
+            for low in range(0, whole.num_rows, _TOGETHER):
+                held.append(whole.slice(low, _TOGETHER))
+                waiting += held[-1].num_rows
+                if waiting < _TOGETHER or held[-1].column("__anchor")[0] == held[0].column("__anchor")[0] == held[-1].column("__anchor")[-1]:
+                    continue
+                table = pa.Table.from_batches(held)
+                keys = table.column("__anchor").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on in the next slice
+                held, waiting = table.slice(cut).to_batches(), table.num_rows - cut
+                for first, last in _spans(keys[:cut]):
+                    yield solved(table.slice(first, last - first))
         table = pa.Table.from_batches(held) if held else None
-        for low, high in _spans(table.column("__anchor").to_numpy()) if table else ():
-            yield solved(table.slice(low, high - low))
+        for first, last in _spans(table.column("__anchor").to_numpy()) if table else ():
+            yield solved(table.slice(first, last - first))
 
     return rows
 
@@ -358,15 +374,17 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, block: int = BLOCK, large:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
     joined = own.join(found, ["__doc", "__text_key"], "left").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), "__starts")
 
-    @F.pandas_udf("kept binary, spans array<struct<f: long, t: long>>")
-    def cut(raw: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        kept, spans = [], []
+    kind = pa.struct([("kept", pa.binary()), ("spans", pa.list_(pa.struct([("f", pa.int64()), ("t", pa.int64())])))])
+
+    @F.arrow_udf("kept binary, spans array<struct<f: long, t: long>>")
+    def cut(raw: pa.Array, starts: pa.Array) -> pa.Array:
+        out = []
         for text, rows in zip(raw, starts, strict=True):
-            runs = covered_spans(np.array([(r["f"], r["t"]) for r in rows], np.int64), span) if rows is not None and len(rows) else []
+            text, own = text.as_py(), rows.values
+            runs = covered_spans(np.stack([own.field("f").to_numpy(), own.field("t").to_numpy()], axis=1).astype(np.int64), span) if rows.is_valid and len(own) else []
             edges = [0, *(e for run in runs for e in run), len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            spans.append([{"f": f, "t": t} for f, t in runs])
-        return pd.DataFrame({"kept": kept, "spans": spans})
+            out.append({"kept": b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), "spans": [{"f": f, "t": t} for f, t in runs]})
+        return pa.array(out, kind)
 
     # texts that lose nothing do not travel to Python
     none = F.struct(F.col("raw").alias("kept"), F.array().cast("array<struct<f: bigint, t: bigint>>").alias("spans"))
