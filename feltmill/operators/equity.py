@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cards as C
+from ..functions.values import let
+from ..session import stored
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,8 +58,8 @@ def with_runouts(df: DataFrame, board: str, used: Sequence[str], missing: int) -
     return out.withColumn("full_board", F.col(board).bitwiseOR(F.col("_run"))).drop("_taken", "_run")
 
 
-def with_sampled_boards(df: DataFrame, used: Sequence[str], draws: int, seed: int = 17, key: Sequence[str] = ()) -> DataFrame:
-    """One row per hash-seeded draw of five board cards from the cards still in the deck."""
+def with_sampled_boards(df: DataFrame, used: Sequence[str], draws: int, seed: int = 17, key: Sequence[str] = (), board: str | None = None) -> DataFrame:
+    """One row per hash-seeded draw of a full board from the cards still in the deck; the cards of `board` lie already."""
     taken = F.lit(0).cast("bigint")
     for name in used:
         taken = taken.bitwiseOR(F.col(name))
@@ -64,8 +67,10 @@ def with_sampled_boards(df: DataFrame, used: Sequence[str], draws: int, seed: in
     free = F.filter(C.card_masks(), lambda m: m.bitwiseAND(F.col("_taken")) == 0)
     parts = [F.lit(seed), F.col("draw"), *[F.col(k) for k in key]]
     order = F.array_sort(F.transform(free, lambda m: F.struct(F.xxhash64(*parts, m).alias("h"), m.alias("m"))))
-    board = F.aggregate(F.slice(order, 1, 5), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x["m"]))
-    return many.withColumn("full_board", board).drop("_taken", "draw")
+    lying = F.col(board) if board else F.lit(0).cast("bigint")
+    drawn = F.slice(order, F.lit(1), (F.lit(5) - F.bit_count(lying)).cast("int"))
+    full = F.aggregate(drawn, lying, lambda acc, x: acc.bitwiseOR(x["m"]))
+    return many.withColumn("full_board", full).drop("_taken", "draw")
 
 
 def showdown(df: DataFrame, hands: Sequence[str], board: str = "full_board") -> DataFrame:
@@ -100,6 +105,80 @@ def equity(df: DataFrame, keys: Sequence[str], hands: Sequence[str]) -> DataFram
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("runouts"), *parts)
 
 
+SUIT_BITS = 13
+
+
+def canonical_matchup(hero: Column, villain: Column, board: Column) -> Column:
+    """Masks of two hands and a board as four longs, the same for all spots that differ by a renaming of suits.
+
+    A suit's thirteen ranks of the three masks make one number; renaming suits permutes the four numbers.
+    """
+    def part(mask: Column, suit: int) -> Column:
+        return F.shiftright(mask, SUIT_BITS * suit).bitwiseAND(F.lit((1 << SUIT_BITS) - 1))
+
+    return F.sort_array(
+        F.array(*[F.shiftleft(part(hero, s), 2 * SUIT_BITS).bitwiseOR(F.shiftleft(part(villain, s), SUIT_BITS)).bitwiseOR(part(board, s)) for s in range(4)])
+    )
+
+
+def matchup_masks(matchup: Column) -> tuple[Column, Column, Column]:
+    """Hero, villain and board masks of a canonical matchup."""
+    def mask(shift: int) -> Column:
+        whole = F.lit(0).cast("bigint")
+        for suit in range(4):
+            own = F.shiftright(F.get(matchup, F.lit(suit)), shift).bitwiseAND(F.lit((1 << SUIT_BITS) - 1))
+            whole = whole.bitwiseOR(F.shiftleft(own, SUIT_BITS * suit))
+        return whole
+
+    return mask(2 * SUIT_BITS), mask(SUIT_BITS), mask(0)
+
+
+def matchup(hero: Column, villain: Column, board: Column) -> Column:
+    """The canonical matchup of card arrays; null unless two hands of two and up to five board cards are all readable
+    and all different. Blank board entries are left out."""
+    shown = F.filter(board, lambda c: F.length(F.trim(c)) > 0)
+    every = F.transform(F.concat(hero, villain, shown), C.history_card)
+    dealable = (F.size(hero) == 2) & (F.size(villain) == 2) & (F.size(shown) <= 5) & F.forall(every, lambda c: c.isNotNull()) & (F.size(F.array_distinct(every)) == F.size(every))
+    masks = F.struct(*[C.cards_mask(F.transform(cards, C.history_card)).alias(name) for name, cards in (("h", hero), ("v", villain), ("b", shown))])
+    return F.when(F.coalesce(dealable, F.lit(False)), let(masks, lambda m: canonical_matchup(m["h"], m["v"], m["b"])))
+
+
+def matchup_equities(matchups: DataFrame, draws: int = 2000, seed: int = 17) -> DataFrame:
+    """(matchup, spots, runouts, equity) of every different canonical `matchup`: how many rows share it, and the hero's share.
+
+    Boards that miss at most three cards are completed in every way; earlier ones `draws` times from digests of the
+    matchup, so that the result does not depend on rows or partitions.
+    """
+    hero, villain, board = matchup_masks(F.col("matchup"))
+    spots = matchups.filter(F.col("matchup").isNotNull()).groupBy("matchup").agg(F.count(F.lit(1)).alias("spots"))
+    spots = spots.select("matchup", "spots", hero.alias("_hero"), villain.alias("_villain"), board.alias("_board"))
+    spots = stored(spots.withColumn("_missing", F.lit(5) - F.bit_count("_board")), "matchups")
+    hands = ["_hero", "_villain"]
+
+    def of(missing: Column) -> DataFrame:
+        return spread(spots.filter(missing).drop("_missing"), ["matchup"])
+
+    runs = [with_runouts(of(F.col("_missing") == n), "_board", hands, n) for n in (0, 1, 2)]
+    # a third card above the pair: every three cards once
+    pairs = with_runouts(of(F.col("_missing") == 3), "_board", hands, 2)
+    third = pairs.withColumn("_last", F.explode(C.card_masks()))
+    used = F.col("full_board").bitwiseOR(F.col("_hero")).bitwiseOR(F.col("_villain"))
+    third = third.filter((F.col("_last").bitwiseAND(used) == 0) & (F.col("_last") > F.col("full_board").bitwiseXOR(F.col("_board"))))
+    runs.append(third.withColumn("full_board", F.col("full_board").bitwiseOR(F.col("_last"))).drop("_last"))
+    early = with_sampled_boards(of(F.col("_missing") > 3), [*hands, "_board"], draws, seed, [*hands, "_board"], "_board")
+    shown = [showdown(r, hands).select("matchup", "spots", "_hero_share") for r in (*runs, early)]
+    # every branch is dealt by matchup, so its aggregation needs no exchange
+    sums = [r.groupBy("matchup").agg(F.first("spots").alias("spots"), F.count(F.lit(1)).alias("runouts"), F.avg("_hero_share").alias("equity")) for r in shown]
+    return reduce(DataFrame.unionByName, sums)
+
+
+def with_matchup_equity(df: DataFrame, hero: str, villain: str, board: str, wanted: Column, out: str) -> DataFrame:
+    """Add `out`: the hero's equity where `wanted`, null where the cards do not allow one. Equal spots are computed once."""
+    keyed = df.withColumn("matchup", F.when(wanted, matchup(F.col(hero), F.col(villain), F.col(board))))
+    found = matchup_equities(keyed.select("matchup")).select(F.col("matchup").alias("_matchup"), F.col("equity").alias(out))
+    return keyed.join(found, F.col("matchup") == F.col("_matchup"), "left").drop("matchup", "_matchup")
+
+
 def equity_vs_uniform(df: DataFrame, keys: Sequence[str], hero: str, board: str, missing: int) -> DataFrame:
     """River equity of a hand against every other holding, one row per spot and runout.
 

@@ -14,6 +14,7 @@ from ..functions.keys import padded
 from ..functions.rules import all_reasons, is_false, is_true
 from ..functions.text import button_amount, live_label
 from ..functions.values import cap, clamp, flag_to_double, half_even, let, ratio, short_number, to_double, to_flag, to_int
+from . import equity as E
 
 # Trainable actions and the buttons that allow them.
 ACTIONS = ("CHECK", "FOLD", "CALL", "RAISE")
@@ -335,6 +336,14 @@ def solver_context(position: Column, to_call: Column, has_call: Column, attempt:
 
 # ---- the aligned export ----------------------------------------------------------------------
 
+# Versions named by every exported row.
+EXPORT_VERSIONS = {
+    "decision_engine_version": "decision_engine_v2",
+    "legacy_rules_version": "legacy_rules_v2",
+    "decision_engine_fix_id": "bootstrap_dist_schema_alignment_v5",
+    "decision_engine_fix_date": "2026-05-26",
+    "git_commit": "",
+}
 BUTTON_TYPE = "array<struct<index:int,enabled:boolean,state:string,value:double,text:string,confidence:double>>"
 PLAYER_TYPE = "array<struct<seat:int,state:string,active:boolean,active_at_start:boolean,stack:double,stack_start:double>>"
 PROFILE_TYPE = "array<struct<action:string,looseness:double,aggression:double,confidence:double>>"
@@ -360,9 +369,10 @@ def _buttons(price: Column, raw_action: Column) -> Column:
 def aligned_rows(df: DataFrame) -> DataFrame:
     """Flat candidate rows to the dotted snapshot columns: defaults, buttons, players, profiles and the equity chain.
 
-    Equity comes from `equity_1v1` where present (see the equity operators), else one half; table
-    equity, expected value and largest call follow from it unless the row states them. `row_index`
-    is the number of the row in its export.
+    Equity comes from `equity_1v1` where present, else from hero, villain and board cards (every different
+    spot is computed once, see `with_matchup_equity`), else it is unknown and one half; table equity,
+    expected value and largest call follow from it unless the row states them. `row_index` is the number
+    of the row in its export.
     """
     have = set(df.columns)
 
@@ -386,12 +396,15 @@ def aligned_rows(df: DataFrame) -> DataFrame:
             "_call": F.coalesce(number("to_call"), F.lit(0.0)),
             "_stack": number("stack"),
             "_hero": cards("hero_cards"),
+            "_villain": cards("villain_hand"),
             "_board": cards("board_cards"),
             "_start": F.coalesce(F.nullif(to_int(c("player_start")), F.lit(0).cast("bigint")), F.lit(2).cast("bigint")),
             "_active": F.coalesce(F.nullif(to_int(c("player_active")), F.lit(0).cast("bigint")), F.lit(2).cast("bigint")),
             "_e1": number("features.equity_1v1", "equity_1v1"),
         }
     )
+    staged = E.with_matchup_equity(staged, "_hero", "_villain", "_board", F.col("_e1").isNull(), "_dealt")
+    staged = staged.withColumn("_e1", F.coalesce("_e1", half_even(F.col("_dealt"), 10)))
     pot, price, stack, hero, board = F.col("_pot"), F.col("_call"), F.col("_stack"), F.col("_hero"), F.col("_board")
     rivals = F.greatest(F.lit(0), F.col("_active") - 1)
     staged = staged.withColumn("_one", F.coalesce(clamp(half_even(F.col("_e1"), 10), 0.0, 1.0), F.lit(0.5)))
@@ -421,6 +434,7 @@ def aligned_rows(df: DataFrame) -> DataFrame:
         "metadata.game": F.lit("bootstrap_solver"), "metadata.hand_id": c("row_index", "bigint"), "metadata.scan_count": F.lit(1),
         "metadata.street": F.upper(F.coalesce(F.nullif(c("street"), F.lit("")), F.lit("UNKNOWN"))),
         "metadata.status": F.when(F.col("_excluded"), "excluded").otherwise("ok"), "metadata.decision_mode": F.lit("bootstrap"), "metadata.label_source": source,
+        "metadata.new_party_state": F.lit(False), **{f"metadata.{n}": F.lit(v) for n, v in EXPORT_VERSIONS.items()},
         "features.hero_cards": hero, "features.board_cards": board, "features.board_card_count": F.size(F.filter(board, lambda x: F.length(x) > 0)),
         "features.hero_position": position, "features.player_start": F.col("_start"), "features.player_active": F.col("_active"), "features.active_opponents": rivals,
         "features.hero_stack": stack, "features.effective_stack": stack, "features.stack_to_pot_ratio": P.pot_ratio(stack, pot),
@@ -433,9 +447,12 @@ def aligned_rows(df: DataFrame) -> DataFrame:
         "features.ev": F.coalesce(number("features.ev", "ev"), P.expected_value(table, pot, price)),
         "features.call_max": F.coalesce(number("features.call_max", "call_max"), P.call_max(table, pot)),
         "labels.legacy_action": F.col("_label"), "labels.legacy_reason": F.when(known_label, reason).otherwise(""), "labels.final_action": F.col("_label"),
+        **{f"labels.{n}": F.lit("") for n in ("legacy_raise_amount", "ml_action", "ml_confidence", "fallback_reason")},
+        **{f"confidence.{n}": F.lit("") for n in ("hero_cards_min", "board_cards_min", "pot_ocr", "to_call_ocr", "buttons_min", "hero_position", "player_count")},
         "labels.label_valid": known_label, "labels.label_exclusion_reason": exclusion, "labels.known_bug_risk": F.lit(False),
         "quality_flags.hero_cards_uncertain": F.size(hero) == 0, "quality_flags.board_uncertain": F.size(board) == 0,
         "quality_flags.opponent_count_uncertain": F.lit(True), "quality_flags.pot_to_call_incoherent": F.coalesce((pot < 0) | (price < 0), F.lit(True)),
+        "quality_flags.buttons_incoherent": F.lit(False), "quality_flags.street_transient": F.lit(False),
         "quality_flags.hero_position_low_confidence": position == "UNKNOWN", "quality_flags.usable_for_training": known_label & ~F.col("_excluded"),
         "debug.decision_reason": F.when(known_label, reason).otherwise(exclusion), "debug.scan_status": F.when(F.col("_excluded"), "excluded").otherwise("ok"),
         "bootstrap_label": F.col("_label"), "excluded": F.col("_excluded"), "exclusion_reason": exclusion,
@@ -443,6 +460,7 @@ def aligned_rows(df: DataFrame) -> DataFrame:
         **{f"audit.{n}": F.coalesce(c(n), F.lit("")) for n in ("label_quality", "weak_rule_reason", "dominant_action", "raw_action", "normalized_action", "candidate_confidence")},
         "audit.dominant_action_frequency": number("dominant_action_frequency"), "audit.iterations": to_int(c("iterations")),
         "audit.exploitability_last": number("exploitability_last"),
+        "audit.action_frequencies": F.coalesce(F.from_json(c("action_frequencies"), "map<string,double>"), F.create_map().cast("map<string,double>")),
     }
     return staged.select(*[v.alias(n) for n, v in values.items()]).withColumn(
         "features.buttons_active", F.transform(F.col("`features.buttons`"), lambda b: b["state"])

@@ -11,6 +11,8 @@ from ...operators import jobs as J
 from ...operators import normalize as N
 from ...operators import snapshots as S
 from ...registry import query, table
+from .cards import deals
+from .sqlcards import DECK_CTE, PAIRS_CTE, deal_cte, score_sql
 
 
 @query("pot_arithmetic", "P15 F18", """
@@ -239,6 +241,44 @@ def aligned_export_rows(spark, sf):
     )
 
 
+def equity_candidates(spark, sf):
+    """Flat rows of dealt cards: boards of three to five cards, suits renamed every other row, some rows without a showdown."""
+    k = F.col("c_custkey")
+    spots = deals(spark, sf, "customer", "c_custkey")
+    renamed = lambda cards: F.when(k % 2 == 0, F.transform(cards, lambda c: F.translate(c, "shdc", "hcsd"))).otherwise(cards)
+    shown = F.slice("board", F.lit(1), F.when(k % 3 == 0, 5).when(k % 3 == 1, 4).otherwise(3))
+    board = F.when(k % 11 == 0, F.concat(F.slice("hero", 1, 1), F.slice("board", 1, 4))).when(k % 17 == 0, F.concat(shown, F.array(F.lit("")))).otherwise(shown)
+    villain = F.when(k % 13 == 0, F.array(F.lit("??"), F.lit("Ah"))).when(k % 14 == 0, F.slice("villain", 1, 1)).otherwise(F.col("villain"))
+    return spots.select(
+        k.alias("row_index"), F.lit("RIVER").alias("street"), F.to_json(renamed(F.col("hero"))).alias("hero_cards"), F.when(k % 19 != 0, F.to_json(renamed(villain))).alias("villain_hand"), F.to_json(renamed(board)).alias("board_cards"),
+        (k % 300 + 1).cast("string").alias("pot"), (k % 40).cast("string").alias("to_call"), F.when(k % 8 == 0, ((k % 50) / F.lit(50.0)).cast("string")).alias("equity_1v1"), F.when(k % 5 == 0, "3").alias("player_active"),
+        F.when(k % 4 == 0, '{"RAISE": 0.75, "CALL": 0.25}').alias("action_frequencies"),
+    )
+
+
+@query("aligned_export_equity", "P14 P15 F25", f"""
+WITH {DECK_CTE}, {PAIRS_CTE}, {deal_cte('customer', 'c_custkey')},
+spots AS (SELECT c_custkey AS k, dm[1]|dm[2] AS h, dm[3]|dm[4] AS v, CASE c_custkey % 3 WHEN 0 THEN dm[5]|dm[6]|dm[7]|dm[8]|dm[9] WHEN 1 THEN dm[5]|dm[6]|dm[7]|dm[8] ELSE dm[5]|dm[6]|dm[7] END AS b,
+  c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 14 <> 0 AND c_custkey % 19 <> 0 AND c_custkey % 8 <> 0 AS shown FROM dealt),
+options AS (SELECT 0::BIGINT AS m, 0 AS n UNION ALL SELECT m, 1 FROM deckc UNION ALL SELECT m, 2 FROM pairs),
+runs AS (SELECT k, h|b|o.m AS hm, v|b|o.m AS vm FROM spots JOIN options o ON o.n = k % 3 AND (o.m & (h|v|b)) = 0 WHERE shown),
+s1 AS ({score_sql('runs', 'hm', 'hs')}), s2 AS ({score_sql('s1', 'vm', 'vs')}),
+found AS (SELECT k, round_even(avg(CASE WHEN hs > vs THEN 1.0 WHEN hs = vs THEN 0.5 ELSE 0.0 END), 10) AS e FROM s2 GROUP BY k),
+x AS (SELECT k, CASE WHEN k % 8 = 0 THEN round_even((k % 50) / 50.0::DOUBLE, 10) ELSE e END AS e1, (k % 300 + 1)::DOUBLE AS pot, (k % 40)::DOUBLE AS c, CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS opp FROM spots LEFT JOIN found USING (k)),
+y AS (SELECT *, coalesce(e1, 0.5) AS one, round_even(power(coalesce(e1, 0.5), opp), 10) AS et FROM x)
+SELECT k AS row_index, e1 IS NOT NULL AS known, round(one, 8) AS equity, round(et, 8) AS equity_table, round(et * (pot + c) - c, 6) AS ev, round(least(et, 0.999999) * pot / (1 - least(et, 0.999999)), 4) AS call_max,
+  CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END AS n_frequencies, '2026-05-26' AS fix_date, '' AS ml_action, FALSE AS incoherent FROM y
+""")
+def aligned_export_equity(spark, sf):
+    rows = S.aligned_rows(equity_candidates(spark, sf))
+    c = N.col
+    return rows.select(
+        c("metadata.hand_id").alias("row_index"), c("features.equity_known").alias("known"), F.round(c("features.equity_1v1"), 8).alias("equity"), F.round(c("features.equity_table"), 8).alias("equity_table"),
+        F.round(c("features.ev"), 6).alias("ev"), F.round(c("features.call_max"), 4).alias("call_max"), F.size(c("audit.action_frequencies")).alias("n_frequencies"), c("metadata.decision_engine_fix_date").alias("fix_date"),
+        c("labels.ml_action").alias("ml_action"), c("quality_flags.buttons_incoherent").alias("incoherent"),
+    )
+
+
 @query("bootstrap_feature_views", "P34 P5 S7 P33", """
 WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN (o_orderkey % 300)::DOUBLE END AS pot FROM orders)
 SELECT k AS row_index, pot, CASE WHEN k % 8 <> 0 THEN round((k % 50) / 50.0::DOUBLE - 0.25, 8) END AS gap, round(CASE WHEN pot > 0 THEN 1000 / pot END, 8) AS spr, CASE WHEN k % 11 = 0 THEN 3.0 END::DOUBLE AS opponents, CASE WHEN k % 7 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS known,
