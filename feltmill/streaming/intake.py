@@ -73,38 +73,83 @@ def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, orde
 
 
 REPLAYED = "hand_id long, event_id long, segment long, current_bet double, to_call double, pot double"
-STATE = "last_ts timestamp, segment long, current_bet double, pot double, levels array<double>"
-
-
-def replay_stream(stream: DataFrame, players: int, blinds: list[float], start_pot: float) -> DataFrame:
-    """Betting state per hand as its actions arrive; the batch replay with windows is the reference result.
-
-    Rows need hand_id, ts, event_id, kind, code, player and amount. State per hand is a handful of
-    numbers. Actions of a hand must arrive in order across batches; within a batch they are sorted.
+STATE = (
+    "segment long, current_bet double, pot double, levels array<double>, last_ms long, folded_ms long, folded_event long, held_ms array<long>, held_event array<long>, "
+    "held_kind array<string>, held_code array<string>, held_player array<int>, held_amount array<double>"
+)
+
+
+class _Table:
+    """Betting state of one hand; `take` folds an action and gives its row, if it has one."""
+
+    def __init__(self, segment: int, bet: float, pot: float, levels: list[float]) -> None:
+        self.segment, self.bet, self.pot, self.levels = segment, bet, pot, levels
+
+    def take(self, hand: int, event: int, kind: str, code: str | None, player: int, amount: float | None) -> tuple | None:
+        if kind == "board":
+            self.segment, self.bet, self.levels = self.segment + 1, 0.0, [0.0] * len(self.levels)
+            return None
+        if kind != "bet":
+            return None
+        own = self.levels[player - 1]
+        row = (hand, event, self.segment, self.bet, max(0.0, self.bet - own), self.pot)
+        if code in ("cc", "cbr"):
+            level = self.bet if code == "cc" or not amount else amount
+            self.pot += max(0.0, level - own)
+            self.levels[player - 1] = max(level, own)
+            self.bet = max(self.bet, level)
+        return row
+
+
+def _plain(value: object) -> object:
+    return None if pd.isna(value) else value
+
+
+def replay_stream(stream: DataFrame, players: int, blinds: list[float], start_pot: float, late: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """Betting state per hand as its actions arrive, in any order; the batch replay with windows is the reference result.
+
+    Rows need hand_id, ts, event_id, kind, code, player and amount. An action waits in its hand's state until the
+    watermark (`late` behind the newest action of any hand) has passed it: nothing older is due after that, so actions
+    are folded by (ts, event_id) whatever batch brought them. An action that still comes behind the watermark
+    (Spark compares with that of the batch before), or after a newer one of its hand was folded, is left out;
+    `late_actions` gives those. A hand is a handful of numbers and the actions of the last `late`; its state ends when the
+    watermark is `idle` past its last action. Then a new action begins the hand anew, so `idle` must exceed the pauses
+    of a hand.
     """
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            last, segment, bet, pot, levels = state.get
-            levels = list(levels)
+            segment, bet, pot, levels, last, *folded, ms, event, kind, code, player, amount = state.get
+            held = ms, event, kind, code, player, amount
+            table, waiting = _Table(segment, bet, pot, list(levels)), list(zip(*held, strict=True))
         else:
-            last, segment, bet, pot = None, 0, max(0.0, *blinds), start_pot
             levels = [blinds[i] if i < len(blinds) else 0.0 for i in range(players)]
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            last = r.ts
-            if r.kind == "board":
-                segment, bet, levels = segment + 1, 0.0, [0.0] * players
-            elif r.kind == "bet":
-                own = levels[r.player - 1]
-                out.append((key[0], r.event_id, segment, bet, max(0.0, bet - own), pot))
-                if r.code in ("cc", "cbr"):
-                    level = bet if r.code == "cc" or pd.isna(r.amount) or r.amount == 0 else r.amount
-                    pot += max(0.0, level - own)
-                    levels[r.player - 1] = max(level, own)
-                    bet = max(bet, level)
-        state.update((last, segment, bet, pot, levels))
-        yield pd.DataFrame(out, columns=["hand_id", "event_id", "segment", "current_bet", "to_call", "pot"])
-
-    return stream.groupBy("hand_id").applyInPandasWithState(step, REPLAYED, STATE, "append", GroupStateTimeout.NoTimeout)
+            table, waiting, last = _Table(0, max(0.0, *blinds), start_pot, levels), [], 0
+            folded = [-1, -1]
+        if not state.hasTimedOut:
+            for rows in batches:
+                ms = rows["ts"].astype("datetime64[us]").astype("int64") // 1000
+                parts = [ms, *(rows[c] for c in ("event_id", "kind", "code", "player", "amount"))]
+                waiting += [(int(m), int(e), k, _plain(c), int(p), _plain(a)) for m, e, k, c, p, a in zip(*parts, strict=True)]
+        now = state.getCurrentWatermarkMs()
+        waiting = sorted((r for r in waiting if r[:2] > tuple(folded)), key=lambda r: r[:2])
+        due = next((i for i, r in enumerate(waiting) if r[0] > now), len(waiting))
+        found = [row for row in (table.take(key[0], *r[1:]) for r in waiting[:due]) if row]
+        folded = waiting[due - 1][:2] if due else folded
+        last, waiting = max([last, *(r[0] for r in waiting)]), waiting[due:]
+        if not waiting and now >= last + pause:
+            state.remove()
+        else:
+            held = [list(c) for c in zip(*waiting, strict=True)] if waiting else [[] for _ in range(6)]
+            state.update((table.segment, table.bet, table.pot, table.levels, last, *folded, *held))
+            state.setTimeoutTimestamp(max(now + 1, waiting[0][0] if waiting else last + pause))
+        if found:
+            yield pd.DataFrame(found, columns=["hand_id", "event_id", "segment", "current_bet", "to_call", "pot"])
+
+    return stream.withWatermark("ts", late).groupBy("hand_id").applyInPandasWithState(step, REPLAYED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_actions(arrived: DataFrame, replayed: DataFrame) -> DataFrame:
+    """Bet actions that were taken in but came too late to be folded: those of `arrived` without a replayed row."""
+    return arrived.filter(F.col("kind") == "bet").join(replayed, ["hand_id", "event_id"], "left_anti")
