@@ -82,14 +82,17 @@ class LanguageFilters:
 
 
 def learn(labelled: DataFrame, sample_docs: int = 8000, bits: int = 20, least_share: float = 0.3, least_docs: int = 3) -> LanguageFilters:
-    """Filters from (text, lang) rows; at most about `sample_docs` documents of each language are read closely."""
+    """Filters from (text, lang) rows; at most about `sample_docs` documents of each language are read closely.
+
+    An n-gram must lie in `least_docs` documents; where a language has fewer than `least_docs` ** 2, in as many of its
+    own as a `least_docs`-th part of them, one at least.
+    """
     spark = labelled.sparkSession
     rows = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}  # a row for each language
     languages = tuple(sizes)
     if not languages:
         return LanguageFilters((), np.zeros((0, 1 << bits), np.int64), bits)
-    number = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, i)])
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample_docs / sizes[name]))])
     drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
 
@@ -108,8 +111,10 @@ def learn(labelled: DataFrame, sample_docs: int = 8000, bits: int = 20, least_sh
 
     counts = drawn.mapInArrow(count, "lang string, gram long, n long, docs long").groupBy("gram")
     here = [F.when(F.col("lang") == name, F.col("n")) for name in languages]
-    wide = counts.agg(F.sum("docs").alias("docs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n{i}") for i, c in enumerate(here)])
-    wide = wide.filter(F.col("docs") >= least_docs)
+    floors = {i: max(1, sizes[name] // least_docs) for i, name in enumerate(languages) if sizes[name] // least_docs < least_docs}
+    own = [F.sum(F.when(F.col("lang") == languages[i], F.col("docs"))).alias(f"d{i}") for i in floors]
+    wide = counts.agg(F.sum("docs").alias("docs"), *own, *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n{i}") for i, c in enumerate(here)])
+    wide = wide.filter(reduce(Column.__or__, [F.coalesce(F.col(f"d{i}"), F.lit(0)) >= floor for i, floor in floors.items()], F.col("docs") >= least_docs))
     totals = wide.agg(*[F.sum(f"n{i}") for i in range(len(languages))]).first()
     rate = [F.col(f"n{i}") / F.lit(float(t or 1)) for i, t in enumerate(totals)]
     most = F.greatest(*rate) if len(rate) > 1 else rate[0]
@@ -151,7 +156,7 @@ def predict(docs: DataFrame, model: LanguageFilters, *keep: str) -> DataFrame:
     return found.select(*keep, F.col("__found.lang").alias("lang_pred"), "__found.score")
 
 
-def keep_known(docs: DataFrame, model: LanguageFilters, least_score: float = 0.05) -> DataFrame:
-    """The rows whose language could be told: not `und`, and n-grams of the language found in the text."""
+def keep_known(docs: DataFrame, model: LanguageFilters) -> DataFrame:
+    """The rows whose language could be told: not `und`, and more n-grams of the language in the text than by chance."""
     rows = docs.select(F.struct("*").alias("__row")).withColumn("__found", decision(docs.sparkSession, model, F.col("__row.text")))
-    return rows.filter((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= least_score)).select("__row.*")
+    return rows.filter((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") > 0)).select("__row.*")
