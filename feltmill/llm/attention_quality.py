@@ -8,8 +8,9 @@ a few measures of repetition, and encoded by one learned layer. Gated attention
 and all parameters are learned together from document labels alone (Adam, the whole sample in every step).
 
 Fitting uses a bounded sample: at most about `sample_docs` labelled documents, as many of either label as there are,
-drawn by a digest of the id before any text is read; their passage descriptions reach the driver, of a very long text
-`sample_passages` of them at even distances. Scoring reads every passage of every text.
+drawn by a digest of the id before any text is read, and taken whole in the order of that digest while their passages
+number no more than `sample_passages` together, half for either label; a document that does not fit in what is left is passed
+over. Their passage descriptions, 88 numbers each, reach the driver. Scoring reads every passage of every text.
 
 Defined cases: null and empty texts are one empty passage and get a score like any other; several labels of one
 document all count; rows with a null label or id teach nothing; without labels of both kinds every score is the share
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _slices(batch: pa.RecordBatch, column: int, rows: int = 200, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` texts and `most` bytes, but for single longer texts."""
+    low = held = 0
+    for at, size in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+        if at > low and (at - low == rows or held + size > most):
+            yield batch.slice(low, at - low)
+            low, held = at, 0
+        held += size
+    if batch.num_rows:
+        yield batch.slice(low)
+
+
 class AttentionModel:
     """Parameters, forward and backward pass over bags that lie one after another."""
 
@@ -130,10 +144,10 @@ class AttentionModel:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = 4000, sample_passages: int = 4000, steps: int = 150, rate: float = 0.02
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = 4000, sample_passages: int = 100_000, steps: int = 150, rate: float = 0.02
 ) -> AttentionModel:
     """A model from the labels (doc_id, `label` 0 or 1) of the given documents; learns from at most about `sample_docs`
-    of them and `sample_passages` passages of each, so that the sample fits the driver whatever the texts' length."""
+    of them, whole, with at most `sample_passages` passages in all, so that the sample fits the driver whatever the texts' length."""
     own = labels.select(F.col("doc_id").cast("long").alias("__doc"), F.col(label).cast("int").alias("__label"))
     own = own.filter("__doc IS NOT NULL AND __label IN (0, 1)")
     sizes = {r["__label"]: r["n"] for r in own.groupBy("__label").agg(F.count("*").alias("n")).collect()}
@@ -146,17 +160,24 @@ def learn(
     most = {rare: min(sizes[rare], sample_docs // 2)}
     most[1 - rare] = min(sizes[1 - rare], sample_docs - most[rare])
     share = F.when(F.col("__label") == rare, most[rare] / sizes[rare]).otherwise(most[1 - rare] / sizes[1 - rare])
-    drawn = own.filter(F.pmod(F.xxhash64("__doc", F.lit("draw")), F.lit(1 << 30)) < share * float(1 << 30))
-    bags = F.broadcast(drawn).join(docs.select(F.col("doc_id").cast("long").alias("__doc"), "text"), "__doc").select("__label", "text")
+    own = own.withColumn("__draw", F.pmod(F.xxhash64("__doc", F.lit("draw")), F.lit(1 << 30)))
+    drawn = own.filter(F.col("__draw") < share * float(1 << 30)).groupBy("__doc", "__label", "__draw").agg(F.count("*").alias("__times"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text")
+    length = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE)) * F.col("__times")
+    found = F.broadcast(drawn).join(texts, "__doc").groupBy("__label", "__draw", "__doc", "__times").agg(F.sum(length).alias("n"))
+    room, fitting = dict.fromkeys(sizes, sample_passages // 2), []
+    for r in found.orderBy("__label", "__draw", "__doc").collect():  # as many as were drawn, at the most
+        if r["n"] <= room[r["__label"]]:
+            room[r["__label"]] -= r["n"]
+            fitting.append((r["__doc"], r["__label"], r["__times"]))
+    chosen = docs.sparkSession.createDataFrame(fitting, "__doc long, __label int, __times long")
+    bags = F.broadcast(chosen).join(texts, "__doc").select("__label", "text", F.explode(F.sequence(F.lit(1), "__times"))).select("__label", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
+            for part in _slices(batch, 1):
                 x, counts = passages(part.column(1).to_pylist())
-                ends = np.cumsum(counts)
-                whole = [x[e - n : e] for e, n in zip(ends, counts, strict=True)]
-                rows = [b[:: -(-len(b) // sample_passages)].tobytes() for b in whole]
+                rows = [x[e - n : e].tobytes() for e, n in zip(np.cumsum(counts), counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["label", "x"])
 
     found = bags.mapInArrow(describe, "label int, x binary").toArrow()
@@ -179,8 +200,7 @@ def scores(docs: DataFrame, model: AttentionModel, *keep: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
+            for part in _slices(batch, len(keep)):
                 x, counts = passages(part.column(len(keep)).to_pylist())
                 found = [pa.array(held().score(x, counts)), pa.array(counts)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *found], names=[*keep, "score", "n_passages"])

@@ -202,15 +202,50 @@ def test_quality_edges(spark, edge, empty):
 # WARC
 
 
-def test_quality_of_long_samples(spark):
-    """A text of more passages than the sample takes teaches by some of them and is scored by all."""
-    docs = spark.createDataFrame([(i, ("Good words in a row. " if i % 2 else "x9 ## 00 !! ") * 3000) for i in range(8)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
-    model = attention_quality.learn(docs, labels, sample_passages=5)
+def test_quality_of_long_samples(spark, monkeypatch):
+    """Long texts teach whole, as many as the sample's passages allow, and are scored by all of their passages."""
+    docs = spark.createDataFrame([(i, ("Good words in a row. " if i % 2 else "x9 ## 00 !! ") * (3000 if i > 1 else 90_000)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen, fit = [], attention_quality.AttentionModel.fit
+    monkeypatch.setattr(attention_quality.AttentionModel, "fit", lambda self, x, counts, *rest: (seen.extend(counts), fit(self, x, counts, *rest)))
+    model = attention_quality.learn(docs, labels, sample_passages=1000)
+    assert set(seen) == {-(-21 * 3000 // 512), -(-12 * 3000 // 512)} and sum(seen) <= 1000 and len(seen) == 500 // 124 + 500 // 71
     found = attention_quality.scores(docs, model, "doc_id").collect()
     assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) and r.n_passages > 50 for r in found)
 
 
+def test_quality_scores_by_brute_force(spark):
+    """Scores of whole texts against descriptions, attention and score written out passage by passage."""
+    texts = ["", "A", "One plain line.\nAnd TWO more, 3 of them!", "é" * 700 + "~x~ \t" * 90, "The same words. " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = attention_quality.AttentionModel(attention_quality.WIDTH, seed=3)
+    found = {r.doc_id: r.score for r in attention_quality.scores(docs, model, "doc_id").collect()}
+    ranges = [(0, 33, 0), (33, 48, 4), (48, 58, 1), (58, 65, 5), (65, 91, 2), (91, 97, 6), (97, 123, 3), (123, 128, 7)]
+    kind = lambda c: 8 if c == 10 else next((k for low, high, k in ranges if low <= c < high), 9)
+    p = model.p
+    for i, text in enumerate(texts):
+        raw, encoded, weights = text.encode(), [], []
+        for low in range(0, max(1, len(raw)), 512):
+            part = raw[low : low + 512]
+            n = max(1, len(part))
+            own, after, pairs, runs = np.zeros(10), np.zeros(10), np.zeros(64), np.zeros(509)
+            for k, c in enumerate(part):
+                own[kind(c)] += 1 / n
+                if k and kind(part[k - 1]) in (2, 3):
+                    after[kind(c)] += 1 / n
+                if k:
+                    pairs[(part[k - 1] * 0x9E37 + c * 0x79B9 >> 5) % 64] += 1 / n
+                if k > 2:
+                    runs[(part[k - 3] * 31 + part[k - 2] * 1009 + part[k - 1] * 8191 + c * 131) % 509] += 1 / n
+            measures = [np.log1p(n), (runs**2).sum() * 20, (pairs**2).sum() * 5, min(1 / max(own[0], 1 / n), 60) / 10]
+            x = np.concatenate([np.sqrt(own), np.sqrt(after), np.sqrt(pairs), measures])
+            h = np.tanh(x @ p["E"] + p["e"])
+            encoded.append(h)
+            weights.append(np.exp((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+        z = sum(w * h for w, h in zip(weights, encoded, strict=True)) / sum(weights)
+        assert abs(found[i] - 1 / (1 + np.exp(-(z @ p["c"] + p["b"][0])))) < 1e-5
+
+
 def test_warc_edges(spark):
     big = "<p>" + "é" * 2000 + "</p>"
     rows = [(1, "http://a", None), (2, None, ""), (3, "http://c", big), (4, "u\r\nx: y", big), (5, "e", big), (5, "e", big), (6, "f", "x" * 999), (7, "g", "x" * 999),
