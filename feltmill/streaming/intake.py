@@ -2,11 +2,16 @@
 
 Every job runs to the end of what is there (`availableNow`) and can be started again: the
 checkpoint remembers the files it has taken. Sinks are folders in shared storage.
+
+Jobs that merge what batches bring keep one folder a batch, named `<first batch>_<end>`. Every `fan` neighbouring folders of a
+size are merged into one, so that a reader meets fewer than `fan` folders of each size, however many batches there were. A
+folder counts from its success mark on, and no longer once one that covers it has a mark: a batch that is run again after a
+failure, or a merge that was cut off, changes nothing that is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,40 +41,120 @@ def status_windows(stream: DataFrame, time: str, keys: list[str], width: str = "
     return counted.select(F.col("w.start").alias("window_start"), *keys, "total", "solved", "timeouts")
 
 
-def keep_latest(stream: DataFrame, table: str, checkpoint: str, keys: list[str]) -> None:
-    """Write the updated counts of each batch with its number; `latest` reads the newest row per key."""
+def take_lines(stream: DataFrame, table: str, checkpoint: str) -> None:
+    """Take a `run_log_stream` in: each batch is read once and written to the folder of its number, broken lines apart."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        marked = batch.withColumn("broken", F.col("_corrupt").isNotNull())
+        marked.write.partitionBy("broken").mode("overwrite").parquet(f"{table}/batch={number}")
 
-    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def taken(spark: SparkSession, table: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(typed records, broken lines) that `take_lines` has written, with the batch that brought them."""
+    stored = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("broken", T.BooleanType())])
+    rows = spark.read.schema(stored).parquet(table)
+    return rows.filter("NOT broken").drop("_corrupt", "broken"), rows.filter("broken").select(F.col("_corrupt").alias("line"), "batch")
+
+
+def _folders(spark: SparkSession, table: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(first batch, end) of the finished folders: those that count, and those that a larger one covers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    spans = sorted(tuple(int(n) for n in f.getPath().getParent().getName().split("_")) for f in found)
+    covered = [s for s in spans if any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in spans)]
+    return [s for s in spans if s not in covered], covered
+
+
+def _read(spark: SparkSession, table: str, spans: list[tuple[int, int]]) -> DataFrame:
+    return spark.read.parquet(*(f"{table}/{first}_{end}" for first, end in spans))
+
+
+def _add(rows: DataFrame, table: str, number: int, merge: Callable[[DataFrame], DataFrame], fan: int) -> None:
+    """Write what a batch brings and merge full sets of folders; `merge` must give the same whatever was merged before."""
+    spark, end, span = rows.sparkSession, number + 1, fan
+    rows.write.mode("overwrite").parquet(f"{table}/{number}_{end}")
+    while number >= 0 and end % span == 0:
+        live, covered = _folders(spark, table)
+        inside = [s for s in live if s[0] >= end - span and s[1] <= end]
+        if len(inside) > 1:
+            merge(_read(spark, table, inside)).write.mode("overwrite").parquet(f"{table}/{end - span}_{end}")
+        for first, last in covered:  # of earlier merges: a reader may still be at those of this one
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{first}_{last}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        span *= fan
+
+
+def _merging(stream: DataFrame, table: str, checkpoint: str, make: Callable[[DataFrame, int], DataFrame], merge: Callable[[DataFrame], DataFrame], fan: int, mode: str) -> None:
+    def write(batch: DataFrame, number: int) -> None:
+        _add(make(batch, number), table, number, merge, fan)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not _folders(stream.sparkSession, table)[0]:
+        write(stream.sparkSession.createDataFrame([], stream.schema), -1)  # no batch yet: an empty folder tells the columns
+
+
+def _newest(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    content = F.to_json(F.struct(*(c for c in others if c != "batch")))
+    rank = F.struct(*([order] if order else []), "batch", content)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("_r")).select(*keys, "_r.*")
+
+
+def keep_latest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], fan: int = 10) -> None:
+    """Write the updated counts of each batch with its number; `latest` reads the newest row per key."""
+    _merging(stream, table, checkpoint, lambda batch, number: batch.withColumn("batch", F.lit(number)), lambda rows: _newest(rows, keys, None), fan, "update")
+
+
 def latest(spark: SparkSession, table: str, keys: list[str], order: str | None = None) -> DataFrame:
     """The newest row per key: by `order` where one is given, whatever batch brought it, then by batch and content."""
-    rows = spark.read.option("recursiveFileLookup", True).parquet(table)
-    others = [c for c in rows.columns if c not in (*keys, "batch")]
-    rank = F.struct(*([order] if order else []), "batch", F.to_json(F.struct(*others)))
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("_r"))
-    return newest.select(*keys, "_r.*")
+    return _newest(_read(spark, table, _folders(spark, table)[0]), keys, order).drop("batch")
+
+
+def count_windows(stream: DataFrame, time: str, keys: list[str], table: str, checkpoint: str, width: str = "10 minutes", late: str = "1 hour", fan: int = 10) -> None:
+    """Counts per window and key over any number of batches, with late rows counted apart; `window_counts` reads them.
+
+    The watermark of a batch is the newest time of all batches before it less `late`, as the engine's own is. A row whose
+    window had ended by then adds to the late counts of its window, any other one to the usual counts. Rows without a time belong
+    to no window (null) and are never late. A batch is aggregated once, before its shuffle; nothing is kept in memory from batch
+    to batch, since counts of a window are sums over folders.
+    """
+    size, delay = (int(pd.Timedelta(t).total_seconds() * 1_000_000) for t in (width, late))
+
+    def make(batch: DataFrame, number: int) -> DataFrame:
+        spans = [s for s in _folders(batch.sparkSession, table)[0] if s[1] <= number]
+        seen = _read(batch.sparkSession, table, spans).agg(F.max("newest")).first()[0] if spans else None
+        micros = F.unix_micros(time)
+        start = micros - F.pmod(micros, F.lit(size))
+        gone = F.lit(False) if seen is None else F.coalesce(start + F.lit(size) <= F.unix_micros(F.lit(seen)) - F.lit(delay), F.lit(False))
+        marked = batch.select(F.timestamp_micros(start).alias("window_start"), *keys, gone.alias("late"), "status", F.col(time).alias("__time"))
+        counts = F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "ok").alias("solved"), F.count_if(F.col("status") == "timeout").alias("timeouts")
+        return marked.groupBy("window_start", *keys, "late").agg(*counts, F.max("__time").alias("newest"))
+
+    _merging(stream, table, checkpoint, make, lambda rows: _summed(rows, keys), fan, "append")
+
 
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("total", "solved", "timeouts")]
+    return rows.groupBy("window_start", *keys, "late").agg(*sums, F.max("newest").alias("newest"))
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, order: str) -> None:
+
+def window_counts(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """(window_start, keys..., late, total, solved, timeouts) of all batches that `count_windows` has taken."""
+    return _summed(_read(spark, table, _folders(spark, table)[0]), keys).drop("newest")
+
+
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, order: str, fan: int = 10) -> None:
     """Last write per key across batches.
 
     A batch writes only its own newest row per key, into the folder of its number; `latest`, given the
     same order, merges them on reading, so a late older row never wins. A batch costs what it holds, and one that is run again after a failure writes
     the same folder again.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        row = F.struct(*batch.columns)
-        newest = batch.groupBy(key).agg(F.max_by(row, F.struct(order, F.to_json(row))).alias("_r")).select("_r.*")
-        newest.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    merge = lambda rows: _newest(rows, [key], order)
+    _merging(stream, table, checkpoint, lambda batch, number: merge(batch.withColumn("batch", F.lit(number))), merge, fan, "append")
 
 
 REPLAYED = "hand_id long, event_id long, segment long, current_bet double, to_call double, pot double"
