@@ -236,7 +236,7 @@ def histogram_distance(spark, sf):
 @query("histogram_clusters", "M15 X3")
 def histogram_clusters(spark, sf):
     rows = embedding_histograms(spark, sf).select("vec_id", "h")
-    found = B.kmeans_emd(rows, "vec_id", "h", 4, seed=42, max_rounds=8)
+    found = B.kmeans_emd(rows, "vec_id", "h", 4, seed=42)
     return B.assign(rows, "h", found.centroids).select("vec_id", "cluster", F.round("distance", 8).alias("distance"))
 
 
@@ -251,7 +251,7 @@ def bucket_abstraction(spark, sf):
     seen = river_spots(spark, sf)
     reps = seen.groupBy("board_key", "hand_key").agg(F.min_by(F.struct("hero_mask", "board_mask"), F.col("s_suppkey")).alias("r")).select("board_key", "hand_key", "r.*")
     equities = E.equity_vs_uniform(reps, ["board_key", "hand_key"], "hero_mask", "board_mask", 0)
-    return B.bucket_table(E.equity_histogram(equities, ["board_key", "hand_key"], bins=10), "board_key", "hand_key", "histogram", 4, max_rounds=5)
+    return B.bucket_table(E.equity_histogram(equities, ["board_key", "hand_key"]), "board_key", "hand_key", "histogram", 4)
 
 
 BUCKETS = f"""

@@ -8,6 +8,8 @@ from ...operators import training as M
 from ...registry import query, table
 
 MATRIX = M.Matrix(["features.quantity", "features.price", "features.discount", "features.tax"], ["features.status"], "bootstrap_label", "snapshot_id")
+SETTINGS = M.Settings()
+#: Three models at the full settings take minutes at the smallest sizes.
 SMALL = M.Settings(iterations=10, trees=8, depth=5)
 
 
@@ -29,14 +31,14 @@ def model_comparison(spark, sf):
 @query("batch_scoring", "M9 M7")
 def batch_scoring(spark, sf):
     rows = M.prepared(training_rows(spark, sf), MATRIX)
-    model = M.fit("random_forest", rows, MATRIX, SMALL)
+    model = M.fit("random_forest", rows, MATRIX, SETTINGS)
     scored = M.predict(model, rows)
     return scored.groupBy("_label", "prediction_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_A"), 4).alias("mean_p_a"))
 
 
 @query("learning_curve", "M10 M4")
 def learning_curve(spark, sf):
-    return M.learning_curve(training_rows(spark, sf), MATRIX, "logistic_regression", (0.2, 0.6, 1.0), SMALL)
+    return M.learning_curve(training_rows(spark, sf), MATRIX, "logistic_regression", settings=SETTINGS)
 
 
 @query("feature_ablation", "M11")
@@ -44,17 +46,17 @@ def feature_ablation(spark, sf):
     variants = {
         "full_current": (MATRIX, None), "without_price": (MATRIX.without(["features.price"]), None), "solver_candidate_only": (MATRIX, "solver_candidate"), "nobody_only": (MATRIX, "nobody"), "no_columns": (MATRIX.only([]), None),
     }
-    return M.ablation(training_rows(spark, sf), variants, SMALL)
+    return M.ablation(training_rows(spark, sf), variants, SETTINGS)
 
 
 @query("source_transfer", "M12")
 def source_transfer(spark, sf):
-    return M.transfer(training_rows(spark, sf), MATRIX, ["solver_candidate", "weak_rule_bootstrap"], SMALL)
+    return M.transfer(training_rows(spark, sf), MATRIX, ["solver_candidate", "weak_rule_bootstrap"], SETTINGS)
 
 
 @query("top_model_features", "O3")
 def top_model_features(spark, sf):
     rows = M.stored(M.prepared(training_rows(spark, sf), MATRIX), "rows")
-    weights = M.top_coefficients(spark, M.fit("logistic_regression", rows, MATRIX, SMALL), MATRIX, 3)
-    trees = M.importances(spark, M.fit("random_forest", rows, MATRIX, SMALL), MATRIX, 3)
+    weights = M.top_coefficients(spark, M.fit("logistic_regression", rows, MATRIX, SETTINGS), MATRIX, 3)
+    trees = M.importances(spark, M.fit("random_forest", rows, MATRIX, SETTINGS), MATRIX, 3)
     return weights.select("label", "feature", F.col("coefficient").alias("value")).unionByName(trees.select(F.lit("forest").alias("label"), "feature", F.col("importance").alias("value")))
