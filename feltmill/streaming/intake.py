@@ -3,8 +3,8 @@
 Every job runs to the end of what is there (`availableNow`) and can be started again: the
 checkpoint remembers the files it has taken. Sinks are folders in shared storage.
 
-Jobs that merge what batches bring keep one folder a batch, named `<first batch>_<end>`. Every `fan` neighbouring folders of a
-size are merged into one, so that a reader meets fewer than `fan` folders of each size, however many batches there were. A
+Jobs that merge what batches bring keep one folder a batch, `batch=<number>`. Every `fan` neighbouring folders of a
+size are merged into one, `batches=<first>_<end>`, so that a reader meets fewer than `fan` folders of each size, however many batches there were. A
 folder counts from its success mark on, and no longer once one that covers it has a mark: a batch that is run again after a
 failure, or a merge that was cut off, changes nothing that is read.
 """
@@ -59,30 +59,35 @@ def taken(spark: SparkSession, table: str, schema: T.StructType) -> tuple[DataFr
     return rows.filter("NOT broken").drop("_corrupt", "broken"), rows.filter("broken").select(F.col("_corrupt").alias("line"), "batch")
 
 
+def _folder(table: str, first: int, end: int) -> str:
+    return f"{table}/batch={first}" if end == first + 1 else f"{table}/batches={first}_{end}"
+
+
 def _folders(spark: SparkSession, table: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(first batch, end) of the finished folders: those that count, and those that a larger one covers."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/*/_SUCCESS")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    spans = sorted(tuple(int(n) for n in f.getPath().getParent().getName().split("_")) for f in found)
+    names = [[int(n) for n in f.getPath().getParent().getName().split("=")[1].split("_")] for f in found]
+    spans = sorted((n[0], n[-1] if len(n) > 1 else n[0] + 1) for n in names)
     covered = [s for s in spans if any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in spans)]
     return [s for s in spans if s not in covered], covered
 
 
 def _read(spark: SparkSession, table: str, spans: list[tuple[int, int]]) -> DataFrame:
-    return spark.read.parquet(*(f"{table}/{first}_{end}" for first, end in spans))
+    return spark.read.parquet(*(_folder(table, first, end) for first, end in spans))
 
 
 def _add(rows: DataFrame, table: str, number: int, merge: Callable[[DataFrame], DataFrame], fan: int) -> None:
     """Write what a batch brings and merge full sets of folders; `merge` must give the same whatever was merged before."""
     spark, end, span = rows.sparkSession, number + 1, fan
-    rows.write.mode("overwrite").parquet(f"{table}/{number}_{end}")
+    rows.write.mode("overwrite").parquet(_folder(table, number, end))
     while number >= 0 and end % span == 0:
         live, covered = _folders(spark, table)
         inside = [s for s in live if s[0] >= end - span and s[1] <= end]
         if len(inside) > 1:
-            merge(_read(spark, table, inside)).write.mode("overwrite").parquet(f"{table}/{end - span}_{end}")
+            merge(_read(spark, table, inside)).write.mode("overwrite").parquet(_folder(table, end - span, end))
         for first, last in covered:  # of earlier merges: a reader may still be at those of this one
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{first}_{last}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(_folder(table, first, last))
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         span *= fan
 
