@@ -85,8 +85,14 @@ def replay_bets(actions: DataFrame, keys: Sequence[str], order: Sequence[str], s
     Needs `kind` (board rows start a new betting round), `code`, `player`, `amount`, `blind`,
     `max_blind` and `start_pot`. A raise without an amount means the current bet. Hands of ordinary
     length share one sorted window per key. With `slice_of`, a key of any length is replayed in
-    slices (see `running`), so one endless key does not land in one task.
+    slices (see `running`), so one endless key does not land in one task. Rows that `order` leaves
+    equal then get one place that all steps share, or each step could take them in another order.
     """
+    if slice_of is not None:
+        ties = [c for c in ("kind", "code", "player", "amount") if c not in order]
+        place = F.row_number().over(Window.partitionBy(*keys, slice_of).orderBy(*order, *ties))
+        actions = stored(actions.withColumn("_place", place), "replay")
+        order = [*order, "_place"]
     board = F.when(F.col("kind") == "board", 1).otherwise(0)
     stated = F.when((F.col("code") == "cbr") & (F.col("amount") != 0), F.col("amount"))
 
@@ -115,7 +121,7 @@ def replay_bets(actions: DataFrame, keys: Sequence[str], order: Sequence[str], s
     out = out.withColumn("to_call", F.greatest(F.lit(0.0), F.col("current_bet") - F.col("contribution")))
     out = out.withColumn("_add", F.coalesce(F.greatest(F.lit(0.0), F.col("_level") - F.col("contribution")), F.lit(0.0)))
     out = scan(out, keys, "_in", "sum", F.col("_add"))
-    return out.withColumn("pot", F.col("start_pot") + F.col("_in")).drop("_top", "_level", "_mine", "_add", "_in")
+    return out.withColumn("pot", F.col("start_pot") + F.col("_in")).drop("_place", "_top", "_level", "_mine", "_add", "_in")
 
 
 def betting_class(code: Column, to_call: Column) -> Column:
