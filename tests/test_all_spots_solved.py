@@ -15,3 +15,8 @@ def solved_requests(spark):
 def test_requests_solved_on_any_street_are_skipped(spark):
     found = {r.outcome: r.n for r in REGISTRY["library_pending_requests"].run(spark, SF).collect()}
     assert found["skip"] == solved_requests(spark).filter("c_acctbal >= 0").count()
+
+
+def test_keys_solved_on_any_street_are_skipped(spark):
+    found = REGISTRY["pending_and_skipped_keys"].run(spark, SF)
+    assert found.filter("state = 'skipped'").count() == solved_requests(spark).count()
