@@ -175,7 +175,8 @@ def balanced_resample(
     drawn = drawn.withColumn("rank", pick(F.col("_digest"), F.col("_n")) + 1)
     factor = clamp(F.lit(1.0) + F.lit(0.025) * normal_draw(F.col("_digest")), 0.92, 1.08)
     source = numbered.drop("group_size", "_target")
-    rows = drawn.select(label, "rank", "_slot", factor.alias("_factor")).join(source, [label, "rank"])
+    # Drawn rows come from a table of a few labels, so their size is far underrated: without the hint they are broadcast.
+    rows = drawn.select(label, "rank", "_slot", factor.alias("_factor")).hint("merge").join(source, [label, "rank"])
     shaken = [
         F.when(F.col(c).isNotNull(), half_even(F.greatest(F.lit(0.0), F.col(c) * F.col("_factor")), 6)).alias(c) if c in jittered else F.col(c)
         for c in df.columns

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import feltmill.plans.catalog  # noqa: F401  (fills the registry)
 from feltmill.registry import REGISTRY, table
 
 SF = "/root/testdata/sf0.001"

@@ -1,5 +1,6 @@
 """Plans that decide whether a query still runs on large tables."""
 
+import feltmill.plans.catalog  # noqa: F401  (fills the registry)
 from feltmill.registry import REGISTRY
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +12,11 @@ def optimized(df):
 
 def test_decks_are_shuffled_once_for_the_class_expansion(spark):
     assert "sha2" not in optimized(REGISTRY["hand_class_expansion"].run(spark, SF))
+
+
+def test_drawn_rows_are_not_broadcast(spark):
+    df = REGISTRY["resample_jitter_ratios"].run(spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join [label" in line and "rank" in line.split("],")[0]]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
