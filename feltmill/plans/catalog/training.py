@@ -30,7 +30,7 @@ def model_comparison(spark, sf):
 
 @query("batch_scoring", "M9 M7")
 def batch_scoring(spark, sf):
-    rows = M.prepared(training_rows(spark, sf), MATRIX)
+    rows = M.kept(M.prepared(training_rows(spark, sf), MATRIX), "rows")
     model = M.fit("random_forest", rows, MATRIX, SETTINGS)
     scored = M.predict(model, rows)
     return scored.groupBy("_label", "prediction_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_A"), 4).alias("mean_p_a"))
