@@ -25,3 +25,7 @@ def pieces(spark, monkeypatch, name):
 
 def test_scoring_model_trains_on_every_core(spark, monkeypatch):
     assert pieces(spark, monkeypatch, "batch_scoring") >= spark.sparkContext.defaultParallelism
+
+
+def test_models_of_the_feature_list_train_on_every_core(spark, monkeypatch):
+    assert pieces(spark, monkeypatch, "top_model_features") >= spark.sparkContext.defaultParallelism
