@@ -174,7 +174,8 @@ def matchup_equities(matchups: DataFrame, draws: int = 2000, seed: int = 17) ->
 
 def with_matchup_equity(df: DataFrame, hero: str, villain: str, board: str, wanted: Column, out: str) -> DataFrame:
     """Add `out`: the hero's equity where `wanted`, null where the cards do not allow one. Equal spots are computed once."""
-    keyed = df.withColumn("matchup", F.when(wanted, matchup(F.col(hero), F.col(villain), F.col(board))))
+    # Stored, or the test for a matchup moves below the cards and reads them anew for every use.
+    keyed = stored(df.withColumn("matchup", F.when(wanted, matchup(F.col(hero), F.col(villain), F.col(board)))), "keyed")
     found = matchup_equities(keyed.select("matchup")).select(F.col("matchup").alias("_matchup"), F.col("equity").alias(out))
     return keyed.join(found, F.col("matchup") == F.col("_matchup"), "left").drop("matchup", "_matchup")
 

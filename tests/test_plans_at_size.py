@@ -20,3 +20,7 @@ def test_drawn_rows_are_not_broadcast(spark):
     plan = df._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
     joins = [line for line in plan.split("\n") if "Join [label" in line and "rank" in line.split("],")[0]]
     assert joins and all("SortMergeJoin" in line for line in joins), joins
+
+
+def test_cards_of_aligned_rows_are_dealt_once(spark):
+    assert "sha2" not in optimized(REGISTRY["aligned_export_equity"].run(spark, SF))
