@@ -153,15 +153,18 @@ def shuffled_deck(seed: Column) -> Column:
 # ---- hand ranking on card masks -------------------------------------------------------------
 
 
-def _highest(mask: str) -> str:
-    """The highest rank of a rank set as one bit, 0 for the empty set."""
-    return f"IF({mask} > 0, shiftleft(1L, CAST(floor(log2({mask}) + 1e-9) AS INT)), 0L)"
+LANE = 16
 
 
-def _best(mask: str, keep: int) -> str:
-    """The highest `keep` of at most keep + 2 ranks."""
-    once = f"({mask} & ({mask} - 1))"
-    return f"CASE WHEN bit_count({mask}) > {keep + 1} THEN {once} & ({once} - 1) WHEN bit_count({mask}) > {keep} THEN {once} ELSE {mask} END"
+def _lanes(values: list[str]) -> str:
+    """Up to four rank sets side by side in one long."""
+    return " | ".join(f"shiftleft({v}, {LANE * i})" if i else v for i, v in enumerate(values))
+
+
+def _smeared(packed: str, by: int) -> str:
+    """Every bit also on the `by` places below it, inside its lane."""
+    inside = sum(((1 << (LANE - by)) - 1) << (LANE * i) for i in range(4)) & ((1 << 63) - 1)
+    return f"{packed} | (shiftright({packed}, {by}) & {inside}L)"
 
 
 def with_hand_score(df: DataFrame, mask: str, out: str) -> DataFrame:
@@ -177,50 +180,69 @@ def with_hand_score(df: DataFrame, mask: str, out: str) -> DataFrame:
     def add(frame: DataFrame, *steps: tuple[str, str]) -> DataFrame:
         return frame.selectExpr("*", *[f"{sql} AS {p}{name}" for name, sql in steps])
 
+    def with_tops(frame: DataFrame, level: str, lanes: str, names: list[str]) -> DataFrame:
+        """Add `{name}_top` per lane: the highest rank of its set as one bit, 0 for the empty set. All lanes at once."""
+        frame, last = add(frame, (f"{level}0", lanes)), f"{level}0"
+        for by in (1, 2, 4, 8):
+            frame, last = add(frame, (f"{level}{by}", _smeared(p + last, by))), f"{level}{by}"
+        frame = add(frame, (level, f"{p}{last} & ~(shiftright({p}{last}, 1))"))
+        # lanes hold at most 14 bits, so the neighbour's lowest bit falls on an unused one
+        return add(frame, *[(f"{n}_top", f"shiftright({p}{level}, {LANE * i}) & 16383L") for i, n in enumerate(names)])
+
     suits = [f"{p}s{i}" for i in range(4)]
-    step = add(df, *[(f"s{i}", f"shiftright(`{mask}`, {13 * i}) & 8191L") for i in range(4)])
+    # Without nulls the generated method stays below 8,000 bytes; the JVM never compiles a longer one.
+    step = add(df, ("m", f"coalesce(`{mask}`, 0L)"))
+    step = add(step, *[(f"s{i}", f"shiftright({p}m, {13 * i}) & 8191L") for i in range(4)])
     flush = " ".join(f"WHEN bit_count({s}) >= 5 THEN {s}" for s in suits)
+    pairs = [(f"{n}{i}", f"{p}s{2 * i} {op} {p}s{2 * i + 1}") for n, op in (("both", "&"), ("one", "|")) for i in (0, 1)]
+    step = add(step, *pairs, ("flush", f"CASE {flush} ELSE 0L END"))
     step = add(
         step,
-        ("any", " | ".join(suits)),
-        ("two", " | ".join(f"({a} & {b})" for a, b in combinations(suits, 2))),
-        ("three", " | ".join(f"({a} & {b} & {c})" for a, b, c in combinations(suits, 3))),
-        ("four", " & ".join(suits)),
-        ("flush", f"CASE {flush} ELSE 0L END"),
+        ("any", f"{p}one0 | {p}one1"),
+        ("two", f"{p}both0 | {p}both1 | ({p}one0 & {p}one1)"),
+        ("three", f"({p}both0 & {p}one1) | ({p}both1 & {p}one0)"),
+        ("four", f"{p}both0 & {p}both1"),
     )
-    # The ace counts low as well: one position below the two. Five set bits in a row end a straight.
-    step = add(step, *[(f"{n}_low", f"shiftleft({p}{n}, 1) | shiftright({p}{n}, 12)") for n in ("any", "flush")])
-    runs = [
-        (f"{n}_runs", f"{p}{n}_low & " + " & ".join(f"shiftleft({p}{n}_low, {i})" for i in range(1, 5)) + " & 16383L")
-        for n in ("any", "flush")
-    ]
-    step = add(step, *runs, ("trip", _highest(f"{p}three")), ("pair", _highest(f"{p}two")))
+    # All ranks and those of the flush, 32 bits apart. The ace counts low as well: one position below the two.
+    wide = lambda bits: f"{bits | bits << 32}L"
+    step = add(step, ("sets", f"{p}any | shiftleft({p}flush, 32)"))
+    step = add(step, ("low", f"shiftleft({p}sets, 1) | (shiftright({p}sets, 12) & {wide(1)})"))
+    # Five set bits in a row end a straight.
+    step = add(step, ("run2", f"{p}low & shiftleft({p}low, 1)"))
+    step = add(step, ("run4", f"{p}run2 & shiftleft({p}run2, 2)"))
+    step = add(step, ("runs", f"{p}run4 & shiftleft({p}low, 4) & {wide(16383)}"))
+    step = with_tops(step, "high", f"{p}runs | shiftleft({p}three, {LANE}) | shiftleft({p}two, {3 * LANE})", ["any_runs", "three", "flush_runs", "two"])
     step = add(
         step,
-        ("straight", f"shiftright({_highest(p + 'any_runs')}, 1)"),
-        ("straight_flush", f"shiftright({_highest(p + 'flush_runs')}, 1)"),
-        ("full", f"{p}two ^ {p}trip"),
-        ("second", f"{p}two ^ {p}pair"),
-        ("trip_rest", f"{p}any ^ {p}trip"),
-        ("pair_rest", f"{p}any ^ {p}pair"),
+        ("full", f"{p}two ^ {p}three_top"),
+        ("second", f"{p}two ^ {p}two_top"),
+        ("trip_rest", f"{p}any ^ {p}three_top"),
         ("four_rest", f"{p}any ^ {p}four"),
+        ("rest", f"CASE WHEN {p}flush > 0 THEN {p}flush WHEN {p}two > 0 THEN {p}any ^ {p}two_top ELSE {p}any END"),
+        ("keep", f"IF({p}flush = 0 AND {p}two > 0, 3, 5)"),
     )
-    step = add(step, ("pairs", f"{p}pair | {_highest(p + 'second')}"), ("trip_kick", _highest(f"{p}trip_rest")))
-    step = add(step, ("trip_next", f"{p}trip_rest ^ {p}trip_kick"), ("pairs_rest", f"{p}any ^ {p}pairs"))
+    # The highest five of a flush or of single cards, three beside a pair: two cards are dropped at most.
+    step = add(step, ("rest1", f"IF(bit_count({p}rest) > {p}keep, {p}rest & ({p}rest - 1), {p}rest)"))
+    step = add(step, ("best", f"IF(bit_count({p}rest1) > {p}keep, {p}rest1 & ({p}rest1 - 1), {p}rest1)"))
+    rests = ["full", "second", "trip_rest", "four_rest"]
+    step = with_tops(step, "next", _lanes([p + n for n in rests]), rests)
+    step = add(step, ("pairs", f"{p}two_top | {p}second_top"))
+    step = add(step, ("trip_next", f"{p}trip_rest ^ {p}trip_rest_top"), ("pairs_rest", f"{p}any ^ {p}pairs"))
+    step = with_tops(step, "last", _lanes([p + "trip_next", p + "pairs_rest"]), ["trip_next", "pairs_rest"])
 
     def packed(category: int, ranks: str, kickers: str = "0L") -> str:
-        return f"{category << 26}L + ({ranks}) * 8192L + ({kickers})"
-
-    score = f"""CASE
-        WHEN {p}straight_flush > 0 THEN {packed(8, p + 'straight_flush')}
-        WHEN {p}four > 0 THEN {packed(7, p + 'four', _highest(p + 'four_rest'))}
-        WHEN {p}trip > 0 AND {p}full > 0 THEN {packed(6, p + 'trip', _highest(p + 'full'))}
-        WHEN {p}flush > 0 THEN {packed(5, _best(p + 'flush', 5))}
-        WHEN {p}straight > 0 THEN {packed(4, p + 'straight')}
-        WHEN {p}trip > 0 THEN {packed(3, p + 'trip', f"{p}trip_kick | {_highest(p + 'trip_next')}")}
-        WHEN bit_count({p}two) >= 2 THEN {packed(2, p + 'pairs', _highest(p + 'pairs_rest'))}
-        WHEN {p}two > 0 THEN {packed(1, p + 'pair', _best(p + 'pair_rest', 3))}
-        ELSE {packed(0, _best(p + 'any', 5))} END"""
+        return f"{category << 26}L | shiftleft({ranks}, 13) | {kickers}"
+
+    score = f"""IF(`{mask}` IS NULL, NULL, CASE
+        WHEN {p}flush_runs_top > 0 THEN {packed(8, f"shiftright({p}flush_runs_top, 1)")}
+        WHEN {p}four > 0 THEN {packed(7, p + 'four', p + 'four_rest_top')}
+        WHEN {p}three > 0 AND {p}full > 0 THEN {packed(6, p + 'three_top', p + 'full_top')}
+        WHEN {p}flush > 0 THEN {packed(5, p + 'best')}
+        WHEN {p}any_runs_top > 0 THEN {packed(4, f"shiftright({p}any_runs_top, 1)")}
+        WHEN {p}three > 0 THEN {packed(3, p + 'three_top', f"{p}trip_rest_top | {p}trip_next_top")}
+        WHEN {p}second > 0 THEN {packed(2, p + 'pairs', p + 'pairs_rest_top')}
+        WHEN {p}two > 0 THEN {packed(1, p + 'two_top', p + 'best')}
+        ELSE {packed(0, p + 'best')} END)"""
     return step.selectExpr(*kept, f"{score} AS `{out}`")
 
 

@@ -34,7 +34,8 @@ def dealt(df: DataFrame, seed: Column, board_cards: int = 5) -> DataFrame:
         mask = F.get(name, F.lit(0))["m"]
         for i in range(1, n):
             mask = mask.bitwiseOR(F.get(name, F.lit(i))["m"])
-        return mask
+        # a deck has every card; known as never null, the mask needs no null tests in the code generated for hands
+        return F.coalesce(mask, F.lit(0).cast("bigint"))
 
     return cut.select(
         *df.columns,

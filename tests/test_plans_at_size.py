@@ -24,3 +24,17 @@ def test_drawn_rows_are_not_broadcast(spark):
 
 def test_cards_of_aligned_rows_are_dealt_once(spark):
     assert "sha2" not in optimized(REGISTRY["aligned_export_equity"].run(spark, SF))
+
+
+def longest_method(df):
+    found = df._jdf.queryExecution().debug().codegenToSeq()
+    return max(found.apply(i)._3().maxMethodCodeSize() for i in range(found.size()))
+
+
+def test_hands_are_ranked_in_code_that_the_jvm_compiles(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert longest_method(REGISTRY["flop_equity"].run(spark, SF)) < 8000
+        assert longest_method(REGISTRY["turn_equity"].run(spark, SF)) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
