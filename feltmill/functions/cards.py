@@ -357,15 +357,21 @@ def canonical_board(board: Column) -> Column:
     The key reads r{rank}s{suit} joined by '_' in (rank, suit) order.
     """
     numbered = F.transform(board, lambda c: F.struct(rank_value(c).alias("r"), suit_value(c).alias("s")))
-    orders = F.from_json(F.lit(str([list(p) for p in SUIT_ORDERS])), "array<array<int>>")
+    orders = F.array(*[F.array(*map(F.lit, p)) for p in SUIT_ORDERS])
+
+    def best(cards: Column) -> Column:
+        def under(order: Column, index: Column) -> Column:
+            relabelled = F.transform(cards, lambda c: F.struct(c["r"].alias("r"), F.get(order, c["s"]).alias("s")))
+            return F.struct(F.sort_array(relabelled).alias("cards"), index.alias("permutation"))
+
+        return F.array_min(F.transform(orders, under))
 
-    def under(order: Column, index: Column) -> Column:
-        relabelled = F.transform(numbered, lambda c: F.struct(c["r"].alias("r"), F.get(order, c["s"]).alias("s")))
-        return F.struct(F.array_sort(relabelled).alias("cards"), index.alias("permutation"))
+    def spelled(found: Column) -> Column:
+        text = F.transform(found["cards"], lambda c: F.concat(F.lit("r"), c["r"].cast("string"), F.lit("s"), c["s"].cast("string")))
+        return F.struct(F.array_join(text, "_").alias("key"), found["permutation"].alias("permutation"))
 
-    best = F.array_min(F.transform(orders, under))
-    text = F.transform(best["cards"], lambda c: F.concat(F.lit("r"), c["r"].cast("string"), F.lit("s"), c["s"].cast("string")))
-    return F.struct(F.array_join(text, "_").alias("key"), best["permutation"].alias("permutation"))
+    # Bound before the 24 relabelings: the board may be a whole deal.
+    return let(let(numbered, best), spelled)
 
 
 def canonical_hand(hand: Column, permutation: Column) -> Column:

@@ -38,3 +38,9 @@ def test_hands_are_ranked_in_code_that_the_jvm_compiles(spark):
         assert longest_method(REGISTRY["turn_equity"].run(spark, SF)) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_boards_are_dealt_once_for_all_relabelings(spark):
+    plan = optimized(REGISTRY["canonical_board_set"].run(spark, SF))
+    relabelings = [line for line in plan.split("\n") if "array_min" in line]
+    assert relabelings and all(line.count("lambdafunction(array(") == 0 and line.count("board#") + line.count("sha2") <= 3 for line in relabelings), relabelings
