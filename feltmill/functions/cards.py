@@ -82,17 +82,20 @@ def card_count(text: Column) -> Column:
 
 def parse_card(text: Column) -> Column:
     """Any spelling ('10♥', 'king of spades' style words, broken encodings) to 'Th'; null when unreadable."""
-    value = strip(text)
-    low = F.lower(value)
-    rank = F.regexp_extract(F.replace(F.upper(value), F.lit("10"), F.lit("T")), "(A|K|Q|J|T|[2-9])", 1)
-    suit = F.lit(None).cast("string")
-    for letter, spellings in SUIT_SPELLINGS.items():
-        suit = F.coalesce(suit, F.when(low.contains(spellings[-1]), F.lit(letter)))
-    for letter, spellings in SUIT_SPELLINGS.items():
-        for word in spellings[:-1]:
-            suit = F.coalesce(suit, F.when(low.contains(word), F.lit(letter)))
-    blank = low.isin("", "none", "null", "unknown", "??")
-    return F.when(~blank & (rank != "") & suit.isNotNull(), F.concat(rank, suit))
+
+    def read(t: Column) -> Column:
+        low = t["low"]
+        rank = F.regexp_extract(F.replace(F.upper(t["value"]), F.lit("10"), F.lit("T")), "(A|K|Q|J|T|[2-9])", 1)
+        suit = F.lit(None).cast("string")
+        for letter, spellings in SUIT_SPELLINGS.items():
+            suit = F.coalesce(suit, F.when(low.contains(spellings[-1]), F.lit(letter)))
+        for letter, spellings in SUIT_SPELLINGS.items():
+            for word in spellings[:-1]:
+                suit = F.coalesce(suit, F.when(low.contains(word), F.lit(letter)))
+        blank = low.isin("", "none", "null", "unknown", "??")
+        return let(F.struct(rank.alias("rank"), suit.alias("suit")), lambda c: F.when(~blank & (c["rank"] != "") & c["suit"].isNotNull(), F.concat(c["rank"], c["suit"])))
+
+    return let(let(strip(text), lambda v: F.struct(v.alias("value"), F.lower(v).alias("low"))), read)
 
 
 def strict_card(text: Column) -> Column:

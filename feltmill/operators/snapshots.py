@@ -88,12 +88,13 @@ def action_allowed(action: Column, active: Column) -> Column:
     return allowed
 
 
-def _card_checks(hero: Column, board: Column) -> tuple[Column, Column, Column]:
-    """(bad hero cards, bad board cards, duplicates)."""
-    h, b = F.transform(hero, C.parse_card), F.transform(board, C.parse_card)
+def _card_checks(df: DataFrame, hero: Column, board: Column) -> tuple[DataFrame, Column, Column, Column]:
+    """(rows with the parsed cards as `_cards`, bad hero cards, bad board cards, duplicates). Every card is read once."""
+    parsed = F.struct(*[F.transform(cards, C.parse_card).alias(name) for name, cards in (("h", hero), ("b", board))])
+    h, b = F.col("_cards.h"), F.col("_cards.b")
     known = F.filter(F.concat(h, b), lambda c: c.isNotNull())
     bad_hero = (F.size(hero) != 2) | F.exists(h, lambda c: c.isNull())
-    return bad_hero, F.exists(b, lambda c: c.isNull()), F.size(F.array_distinct(known)) != F.size(known)
+    return df.withColumn("_cards", parsed), bad_hero, F.exists(b, lambda c: c.isNull()), F.size(F.array_distinct(known)) != F.size(known)
 
 
 def semantic_errors(df: DataFrame, feature_keys: str | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def semantic_errors(df: DataFrame, feature_keys: str | None = None) -> DataFrame
     f, labels, flags = F.col("features"), F.col("labels"), F.col("quality_flags")
     empty = F.array().cast("array<string>")
     hero, board = F.coalesce(f["hero_cards"], empty), F.coalesce(f["board_cards"], empty)
-    bad_hero, bad_board, duplicate = _card_checks(hero, board)
+    df, bad_hero, bad_board, duplicate = _card_checks(df, hero, board)
     street = F.upper(F.coalesce(F.col("metadata.street"), F.lit("")))
     need = F.lit(None).cast("int")
     for name, count in C.STREET_CARDS.items():
@@ -127,7 +128,7 @@ def semantic_errors(df: DataFrame, feature_keys: str | None = None) -> DataFrame
         (F.size(board) != need, F.concat(F.lit("board_street_mismatch:"), street)),
         (legacy.isin(*ACTIONS) & ~action_allowed(legacy, f["buttons_active"]), F.concat(F.lit("action_impossible:"), legacy)),
     ]
-    return df.withColumn("errors", all_reasons(rules))
+    return df.withColumn("errors", all_reasons(rules)).drop("_cards")
 
 
 def structural_errors(df: DataFrame, raw: str, expected: dict[str, Sequence[str]]) -> DataFrame:
@@ -200,7 +201,7 @@ def strict_rows(df: DataFrame) -> DataFrame:
     f = F.col("features")
     empty = F.array().cast("array<string>")
     hero, board = F.coalesce(f["hero_cards"], empty), F.coalesce(f["board_cards"], empty)
-    bad_hero, bad_board, duplicate = _card_checks(hero, board)
+    df, bad_hero, bad_board, duplicate = _card_checks(df, hero, board)
     street = F.upper(F.coalesce(F.col("metadata.street"), F.lit("")))
     need = F.lit(None).cast("int")
     for name, count in C.STREET_CARDS.items():
@@ -223,7 +224,7 @@ def strict_rows(df: DataFrame) -> DataFrame:
             (raw == "WAIT", "wait_action_rejected"),
         ]
     )
-    out = df.withColumn("reasons", reasons)
+    out = df.withColumn("reasons", reasons).drop("_cards")
     return out.withColumn("label", F.when(F.size("reasons") == 0, label))
 
 
