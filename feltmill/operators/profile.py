@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import half_even, is_null_like, to_double
 from ..schemas import is_leakage
+from ..session import stored
 from .normalize import col
 
 # When a feature is constant or suspiciously tied to the label.
@@ -244,8 +245,9 @@ def json_schema(df: DataFrame, raw: str, categories: int) -> DataFrame:
         opened = spark.sql("SELECT parent, e.key AS key, e.value AS value FROM {level}, LATERAL variant_explode(value) AS e", level=level)
         path = F.when(F.col("parent") == "", F.col("key")).otherwise(F.concat_ws(".", "parent", "key"))
         rows = opened.select("parent", path.alias("path"), "value", variant_kind(F.col("value")).alias("kind"))
-        text = F.when(F.col("kind").isin("string", "bool", "int", "float"), F.try_variant_get("value", "$", "string"))
-        parts.append(rows.select("parent", "path", "kind", text.alias("text")))
+        # Stored, or every later level and count parses the whole input again. Texts of numbers are never looked at.
+        rows = stored(rows.select("parent", "path", "kind", F.when(F.col("kind") == "object", F.col("value")).alias("value"), F.when(F.col("kind").isin("string", "bool"), F.try_variant_get("value", "$", "string")).alias("text")), "level")
+        parts.append(rows.select("parent", "path", "kind", "text"))
         level = rows.filter("kind = 'object'").select("value", F.col("path").alias("parent"))
         totals.append(level.groupBy("parent").agg(F.count(F.lit(1)).alias("parents")))
     rows, counts = parts[0], totals[0]

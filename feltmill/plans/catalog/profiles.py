@@ -150,7 +150,7 @@ def json_schema_inference(spark, sf):
     i = F.col("event_id")
     deep = F.when(i % 3 == 0, F.concat(F.lit(', "deep": {"odd": '), (i % 2 == 1).cast("string"), F.when(i % 6 == 0, F.lit(', "v": 1.5')).otherwise(""), F.lit("}"))).otherwise("")
     raw = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "kind": "'), F.col("event_type"), F.lit('", "gap": "None"'), deep, F.lit("}"))
-    out = Q.json_schema(table(spark, sf, "events").select(raw.alias("raw")), "raw", categories=30)
+    out = Q.json_schema(table(spark, sf, "events", wide=True).select(raw.alias("raw")), "raw", categories=30)
     return out.withColumns({"types": F.array_join("types", ","), "categorical_values": F.array_join("categorical_values", ",")})
 
 
