@@ -8,22 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys, where a missing key equals a missing key; the keys appear once."""
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", few: bool = False) -> DataFrame:
+    """Join on equal keys, where a missing key equals a missing key; the keys appear once.
+
+    `few`: the right side has few rows by construction and is broadcast.
+    """
     renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    renamed = F.broadcast(renamed) if few else renamed
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(f"`{k}`").eqNullSafe(F.col(f"`_on_{k}`"))
     return left.join(renamed, condition, how).drop(*[f"_on_{k}" for k in keys])
 
 
-def exact_rank(df: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str] = (), width: int = 3) -> DataFrame:
+def exact_rank(df: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str] = (), width: int = 3, few: bool = False) -> DataFrame:
     """Add `rank` (1-based) and `group_size` for the order of a hex digest inside each `by` group.
 
     A group is cut into 16**width ranges by the head of the digest. Ranges of a digest are equally
     full, so a group holding a third of the rows still spreads over the cluster. The rank is the
     position in the range plus the number of rows in the ranges before it; only the range sizes
-    (at most 16**width rows per group) pass through the second window.
+    (at most 16**width rows per group) pass through the second window. `few`: there are few groups, so the
+    range sizes are broadcast and the rows are shuffled once.
     """
     keys = [*by, "_range"]
     cut = df.withColumn("_range", F.substring(digest, 1, width))
@@ -40,7 +45,7 @@ def exact_rank(df: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str
     )
     inside = Window.partitionBy(*keys).orderBy(digest, *ties)
     return (
-        join_on(cut.withColumn("_row", F.row_number().over(inside)), offsets, keys)
+        join_on(cut.withColumn("_row", F.row_number().over(inside)), offsets, keys, few=few)
         .withColumn("rank", F.col("_row") + F.col("_before"))
         .drop("_range", "_row", "_before")
     )

@@ -92,8 +92,8 @@ def stratified_two_way(df: DataFrame, label: str, key: str, seed: int = 17, test
         F.when(plain, F.col("_all") - F.ceil(F.col("_all") * test)).otherwise(F.col("_train")).alias("_train"),
         F.when(plain, F.lit("stratified_split_unavailable_used_random_split")).alias("split_warning"),
     )
-    joined = join_on(df, cuts, [label]).withColumn("_digest", seeded_digest(seed, F.col(key)))
-    ranked = exact_rank(joined, ["_group"], "_digest", [key])
+    joined = join_on(df, cuts, [label], few=True).withColumn("_digest", seeded_digest(seed, F.col(key)))
+    ranked = exact_rank(joined, ["_group"], "_digest", [key], few=True)
     return ranked.withColumn("split", F.when(F.col("rank") <= F.col("_train"), F.lit("train")).otherwise(F.lit("test"))).drop(
         "_digest", "_group", "_train", "rank", "group_size"
     )
@@ -117,7 +117,7 @@ def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float, se
     """The same share of every class, at least one row each."""
     if fraction >= 1.0:
         return df
-    ranked = exact_rank(df.withColumn("_digest", seeded_digest(seed, F.col(key))), [label], "_digest", [key])
+    ranked = exact_rank(df.withColumn("_digest", seeded_digest(seed, F.col(key))), [label], "_digest", [key], few=True)
     keep = F.col("rank") <= _share(F.col("group_size"), fraction)
     return ranked.filter(keep).drop("_digest", "rank", "group_size")
 

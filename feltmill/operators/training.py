@@ -59,8 +59,8 @@ def _plain(name: str) -> str:
 def prepared(df: DataFrame, matrix: Matrix) -> DataFrame:
     """Columns under names MLlib accepts, with the class weight n / (classes * n_class).
 
-    The weights come from one row per label; every row meets its label in a join the optimizer
-    broadcasts by size.
+    The weights come from one row per label and are broadcast: the optimizer takes them for as large as the rows
+    they were counted from, and would shuffle every row by its label.
     """
     check_matrix([*matrix.numeric, *matrix.categorical])
     rows = df.select(
@@ -72,7 +72,7 @@ def prepared(df: DataFrame, matrix: Matrix) -> DataFrame:
     counts = rows.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     weights = counts.join(totals).select("_label", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_weight"))
-    return rows.join(weights, "_label")
+    return rows.join(F.broadcast(weights), "_label")
 
 
 def kept(rows: DataFrame, label: str) -> DataFrame:

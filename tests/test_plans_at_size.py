@@ -1,6 +1,9 @@
 """Plans that decide whether a query still runs on large tables."""
 
 import feltmill.plans.catalog  # noqa: F401  (fills the registry)
+from feltmill.operators import training as M
+from feltmill.operators.splits import stratified_two_way
+from feltmill.plans.catalog import training as P
 from feltmill.registry import REGISTRY
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +72,8 @@ def test_few_bytes_of_heavy_rows_are_spread(spark):
 def test_decks_are_dealt_once_for_records_and_ledgers(spark):
     for name in ("portable_record_round_trip", "stage_ledger_counts"):
         assert "17:" not in optimized(REGISTRY[name].run(spark, SF)), name
+
+
+def test_rows_are_not_shuffled_by_their_label(spark):
+    rows = M.prepared(P.training_rows(spark, SF), P.MATRIX)
+    assert optimized(stratified_two_way(rows, "_label", "_key")).count("strategy=broadcast") == 3
