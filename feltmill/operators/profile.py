@@ -238,7 +238,7 @@ def json_schema(df: DataFrame, raw: str, categories: int) -> DataFrame:
     """
     spark = df.sparkSession
     level = df.select(F.try_parse_json(raw).alias("value"), F.lit("").alias("parent")).filter("value IS NOT NULL")
-    level = level.filter(variant_kind(F.col("value")) == "object")
+    level = stored(level.filter(variant_kind(F.col("value")) == "object"), "objects")
     parents = level.groupBy("parent").agg(F.count(F.lit(1)).alias("parents"))
     parts, totals = [], [parents]
     while not parts or not level.isEmpty():
