@@ -11,6 +11,7 @@ from ...operators import library as L
 from ...operators import normalize as N
 from ...operators.ranges import compatible
 from ...registry import query, table
+from ...session import stored
 from ...functions.keys import content_id, short_id
 from .cards import deals
 from .sqlcards import DECK_CTE, PAIRS_CTE, deal_cte
@@ -115,7 +116,8 @@ def portable_record_round_trip(spark, sf):
     known = L.spot_identity(described_spots(spark, sf), ["pot"])
     strategy = F.create_map(F.lit("root"), F.array(F.lit(0.25), F.lit(0.75)))
     claimed = known.withColumn("average_strategy", strategy).withColumn("spot_id", F.when(F.col("c_custkey") % 10 == 0, F.lit("stale")).otherwise(F.col("spot_id")))
-    records = L.portable(claimed, ["board", "bet_sizes", "pot"], ["average_strategy"], ["label", "board_signature"])
+    # Stored, or the test of what comes back moves below the dealing step's exchange and deals every deck there, in one task.
+    records = stored(L.portable(claimed, ["board", "bet_sizes", "pot"], ["average_strategy"], ["label", "board_signature"]), "records")
     back = L.import_portable(records, "board array<string>, bet_sizes array<double>, pot bigint", "average_strategy map<string,array<double>>", ["pot"])
     whole = back.filter(F.get(F.col("average_strategy")["root"], F.lit(1)) == 0.75)
     return whole.groupBy("mismatch").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("spot_id").alias("ids"))
