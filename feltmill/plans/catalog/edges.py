@@ -26,7 +26,7 @@ FROM t WHERE token IN {tuple(BAD_TOKENS)!r}
 """)
 def range_token_errors(spark, sf):
     token = F.element_at(F.array(*map(F.lit, TOKENS)), (F.col("p_partkey") % len(TOKENS) + 1).cast("int"))
-    texts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("QQ, "), token, F.lit(" ,AJo")).alias("text"))
+    texts = table(spark, sf, "part", wide=True).select("p_partkey", F.concat(F.lit("QQ, "), token, F.lit(" ,AJo")).alias("text"))
     return R.range_errors(texts, "p_partkey", "text").select("p_partkey", "token", "error")
 
 
