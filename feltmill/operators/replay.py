@@ -204,13 +204,14 @@ def history_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     )
     lines = lines.select(*keys, "has_side_pot", "at", strip(F.col("_line")).alias("raw"))
     raw = F.col("raw")
+    # Every pattern but the action's needs a character that few lines have; a plain search for it comes first.
+    listed = raw.contains("[")
     lines = lines.withColumns(
         {
-            "_header": raw.rlike(HEADER),
-            "_whole": F.when(raw.rlike(WHOLE_BOARD_LINE), _cards(F.regexp_extract(raw, WHOLE_BOARD_LINE, 1))),
-            "_board": raw.rlike(BOARD_LINE),
-            "_show": raw.rlike(SHOW_LINE),
-            "_action": raw.rlike(ACTION_LINE),
+            "_header": raw.contains("##") & raw.rlike(HEADER),
+            "_whole": F.when(listed & raw.rlike(WHOLE_BOARD_LINE), _cards(F.regexp_extract(raw, WHOLE_BOARD_LINE, 1))),
+            "_board": listed & raw.rlike(BOARD_LINE),
+            "_show": listed & raw.rlike(SHOW_LINE),
         }
     )
     whole = F.coalesce(F.size("_whole") >= 3, F.lit(False))
@@ -221,10 +222,11 @@ def history_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         .when(whole, "whole_board")
         .when(F.col("_board"), "board")
         .when(F.col("_show"), "show")
-        .when(F.col("_action"), "action")
+        .when(raw.rlike(ACTION_LINE), "action")
         .otherwise("other"),
     )
     kind = F.col("kind")
+    won = (kind == "action") & (F.lower(raw).contains("wins") | F.lower(raw).contains("collected")) & raw.rlike(WIN_LINE)
     whole_street = F.when(F.size("_whole") >= 5, "RIVER").when(F.size("_whole") == 4, "TURN").otherwise("FLOP")
     lines = lines.withColumns(
         {
@@ -236,12 +238,12 @@ def history_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
             ),
             "action": F.when(kind == "show", F.lit("shows")).when(kind == "action", F.lower(F.regexp_extract(raw, ACTION_LINE, 2))),
             "amount": F.when(kind == "action", _amount(F.regexp_extract(raw, ACTION_LINE, 3))),
-            "won": F.when((kind == "action") & raw.rlike(WIN_LINE), _amount(F.regexp_extract(raw, WIN_LINE, 2))),
+            "won": F.when(won, _amount(F.regexp_extract(raw, WIN_LINE, 2))),
             "cards": F.when(kind == "whole_board", F.col("_whole"))
             .when(kind == "board", _cards(F.regexp_extract(raw, BOARD_LINE, 2)))
             .when(kind == "show", _cards(F.regexp_extract(raw, SHOW_LINE, 2))),
         }
-    ).drop("_header", "_whole", "_board", "_show", "_action")
+    ).drop("_header", "_whole", "_board", "_show")
     before = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("street", F.coalesce(F.last("opens", ignorenulls=True).over(before), F.lit("PREFLOP")))
 

@@ -9,6 +9,7 @@ from ...functions.values import half_even
 from ...operators import equity as E
 from ...operators import replay as R
 from ...registry import query, table
+from ...session import stored
 from .sqlcards import DECK_CTE, deal_cte
 
 #: The player whose decisions the text histories follow.
@@ -248,6 +249,7 @@ SELECT stage, count(*) AS rows, count(*) FILTER (status = 'ok') AS ok_rows, coun
 FROM led GROUP BY stage
 """)
 def stage_ledger_counts(spark, sf):
-    hands = R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"], HERO)
+    # Stored, or both parts of the ledger deal and parse every hand.
+    hands = stored(R.parse_text_hands(history_texts(spark, sf), ["o_orderkey"], HERO).drop("actions", "players"), "hands")
     shots = R.hand_snapshots(hands.filter("status = 'ok'"), "RIVER", F.lit(0.0))
     return R.ledger_summary(R.stage_ledger(hands, shots))
