@@ -7,16 +7,18 @@ Two texts are linked when the Jaccard likeness of their sets of word shingles is
 2. A pair that is alike enough shares one of its first n - ceil(0.8 n) + 1 digests, in any order of digests that holds
    for all texts. The rarest by the sketch come first, so that a passage that many texts share seldom brings them
    together. The counts decide on the order only, not on the result.
-3. First candidates: links of the SimHash tiles (op4, five words), and the pairs of texts under a first digest that
-   sizes, places and bitmaps leave possible; where these are more than twice as many as the texts, every text's
-   smallest partner. Both are linear, and most copies come together by them once verified.
-4. In groups that have more possible pairs, texts that are not yet in one component are compared pair by pair. In both
-   steps a task compares tiles with exclusive-or and bit counts, by size, so that texts of sizes too far apart never
-   meet; only pairs that the bitmaps leave possible leave the task.
-5. The digest sets themselves settle every candidate before any component is formed.
-
-SimHash alone cannot serve a likeness of 0.8: fingerprints of such pairs differ in about 10 of 64 bits (up to 19 in one of
-a thousand pairs), where equal bit bands no longer keep unlike texts apart.
+3. Fingerprints share the pairs out. Those at most `radius` bits apart are found by the SimHash tiles (op4, five words)
+   and by nothing else; those farther apart, by their first digests. SimHash alone cannot serve a likeness of 0.8:
+   fingerprints of such pairs differ in about 10 of 64 bits (up to 19 in one of a thousand pairs), where equal bit bands
+   no longer keep unlike texts apart.
+4. First candidates: the forest of the SimHash tiles, and the pairs of texts under a first digest that sizes, places and
+   bitmaps leave possible; where these are more than twice as many as the texts, every text's smallest partner. Both
+   are linear, and most copies come together by them once verified.
+5. Pairs left out so far are compared one by one where their texts are not yet in one component: those within the radius
+   where a link of the forest was not verified, the others in groups that have more possible pairs. In all steps a
+   task compares tiles with exclusive-or and bit counts, by size, so that texts of sizes too far apart never meet; only
+   pairs that the bitmaps leave possible leave the task.
+6. The digest sets themselves settle every candidate before any component is formed.
 
 Defined cases: null and wordless texts have the empty set and are copies of each other; texts shorter than a shingle
 are one shingle; rows without a doc_id come after all others; of rows equal in id and text the first by its other
@@ -35,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feltmill.llm.common import identity, shared, small_side, wrapped
-from feltmill.llm.simhash_tiles import SEED, components, fingerprint_links
+from feltmill.llm.simhash_tiles import SEED, band_values, components, fingerprint_links
 from feltmill.session import settled, stored
 
 WORDS = 5
 #: The least likeness, as a fraction.
 PART, WHOLE = 4, 5
 TILE = 1024
+#: Pairs of fingerprints at most so many bits apart are left to the SimHash tiles.
+RADIUS = 4
 #: Counters of the sketch, and in how many slices they travel.
 SLOTS = 1 << 21
 SLICES = 64
@@ -168,7 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int = WO
 
 
 class _Tile:
-    """Members of a tile by size: sets, sizes, places, classes and bitmaps."""
+    """Members of a tile by size: sets, sizes, places, classes, fingerprints and bitmaps."""
 
     def __init__(self, members: pa.StructScalar) -> None:
         rows = members.values
@@ -176,6 +180,7 @@ class _Tile:
         order = np.argsort(size, kind="stable")
         self.size = size[order]
         self.set, self.at, self.kind = (rows.field(c).to_numpy()[order] for c in ("__set", "__at", "__class"))
+        self.print = rows.field("__fp").to_numpy()[order].view(np.uint64)
         self.bits = np.frombuffer(b"".join(rows.field("__bits").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)[order]
         self.places = self.size, self.at, np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
 
@@ -189,8 +194,9 @@ def _ruled(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np
     return alike(left, one[0], two[0]) & (np.abs(one[2] - two[2]) <= apart), apart
 
 
-def possible(one: _Tile, two: _Tile) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of pairs that sizes, places in the order and bitmaps do not rule out, some rows at a time.
+def possible(one: _Tile, two: _Tile, radius: int, near: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs that sizes, places in the order and bitmaps do not rule out, some rows at a time: of those whose
+    fingerprints are at most `radius` bits apart if `near`, else of the others.
 
     Sets alike enough differ in at most a ninth of their sizes' sum, and no fewer digests differ than bits of the bitmaps.
     """
@@ -201,19 +207,20 @@ def possible(one: _Tile, two: _Tile) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if a == b:
             continue
         fit, apart = _ruled(tuple(c[low:high, None] for c in one.places), tuple(c[None, a:b] for c in two.places))
+        fit &= (np.bitwise_count(one.print[low:high, None] ^ two.print[None, a:b]) <= radius) == near
         i, j = np.nonzero(fit)
         if len(i):
-            near = np.concatenate([np.bitwise_count(one.bits[low + i[k : k + 8192]] ^ two.bits[a + j[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 8192)])
-            fit = near <= apart[i, j]
+            odd = np.concatenate([np.bitwise_count(one.bits[low + i[k : k + 8192]] ^ two.bits[a + j[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 8192)])
+            fit = odd <= apart[i, j]
             yield low + i[fit], a + j[fit]
 
 
-def _linear(one: _Tile, two: _Tile) -> tuple[np.ndarray, np.ndarray, bool]:
+def _linear(one: _Tile, two: _Tile, radius: int, near: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """All possible pairs if they are at most twice as many as the members; else, for every member of either tile, its
     smallest possible partner in the other if that is smaller than itself, and True: there are more."""
     least = [np.full(len(t.set), np.iinfo(np.int64).max) for t in (one, two)]
     held, count, most = [], 0, 2 * (len(one.set) + len(two.set))
-    for i, j in possible(one, two):
+    for i, j in possible(one, two, radius, near):
         np.minimum.at(least[0], i, two.set[j])
         np.minimum.at(least[1], j, one.set[i])
         count += len(i)
@@ -224,17 +231,17 @@ def _linear(one: _Tile, two: _Tile) -> tuple[np.ndarray, np.ndarray, bool]:
     return *(np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*held, strict=True) if held else ((), ()))), count > most
 
 
-def _between(one: _Tile, two: _Tile) -> tuple[np.ndarray, np.ndarray, bool]:
+def _between(one: _Tile, two: _Tile, radius: int, near: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """All possible pairs of different classes."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i, j in possible(one, two):
+    for i, j in possible(one, two, radius, near):
         fit = one.kind[i] != two.kind[j]
         left.append(one.set[i[fit]])
         right.append(two.set[j[fit]])
     return np.concatenate(left), np.concatenate(right), False
 
 
-def _pairs_of_two(tiles: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of_two(tiles: pa.ListArray, radius: int, near: bool) -> tuple[np.ndarray, np.ndarray]:
     """The possible pairs of tiles that have two members, all at once."""
     rows = tiles.flatten()
     fields = [rows.field(c).to_numpy() for c in ("__set", "__size", "__at")]
@@ -242,6 +249,8 @@ def _pairs_of_two(tiles: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     (one, two) = ((fields[1][k::2], fields[2][k::2], ones[k::2]) for k in (0, 1))
     fit, apart = _ruled(one, two)
+    prints = rows.field("__fp").to_numpy().view(np.uint64)
+    fit &= (np.bitwise_count(prints[::2] ^ prints[1::2]) <= radius) == near
     fit &= np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1, dtype=np.int64) <= apart
     return fields[0][::2][fit], fields[0][1::2][fit]
 
@@ -249,16 +258,16 @@ def _pairs_of_two(tiles: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 COMPARED = "__a long, __b long, __more long"
 
 
-def _compared(choose: Callable) -> Callable:
+def _compared(choose: Callable, radius: int, near: bool) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b, null), a < b, and (null, null, shingle) for a group in which there are more."""
         for batch in batches:
             shingle, own, other = batch.columns
             two = pc.and_(pc.equal(pc.list_value_length(own), 2), pc.is_null(other))
-            found, more = [_pairs_of_two(own.filter(two))], []
+            found, more = [_pairs_of_two(own.filter(two), radius, near)], []
             for at in np.flatnonzero(~two.to_numpy(zero_copy_only=False)).tolist():
                 one = _Tile(own[at])
-                a, b, rest = choose(one, _Tile(other[at]) if other[at].is_valid else one)
+                a, b, rest = choose(one, _Tile(other[at]) if other[at].is_valid else one, radius, near)
                 found.append((a, b))
                 if rest:
                     more.append(shingle[at].as_py())
@@ -272,57 +281,78 @@ def _compared(choose: Callable) -> Callable:
     return rows
 
 
-def candidates(members: DataFrame, sets: DataFrame, choose: Callable, tile: int = TILE) -> DataFrame:
+def candidates(members: DataFrame, sets: DataFrame, choose: Callable, tile: int = TILE, radius: int = RADIUS, near: bool = False) -> DataFrame:
     """(__a, __b, __more): pairs, a < b, that `choose` takes from the groups of members (__shingle, __n, __set, __at,
-    __class), and the shingles of groups from which it left some out."""
+    __class), and the shingles of groups from which it left some out. Pairs within the radius only if `near`, else the others only."""
     cut = F.pmod(F.xxhash64("__set"), F.ceil(F.col("__n") / tile))
-    full = members.join(sets.select("__set", "__size", "__bits"), "__set")
+    full = members.join(sets.select("__set", "__size", "__fp", "__bits"), "__set")
     tiles = full.groupBy("__shingle", (F.col("__n") > tile).alias("__split"), cut.alias("__cut"))
-    tiles = stored(tiles.agg(F.collect_list(F.struct("__set", "__size", "__at", "__class", "__bits")).alias("__own")), "shingle-tiles")
+    tiles = stored(tiles.agg(F.collect_list(F.struct("__set", "__size", "__at", "__class", "__fp", "__bits")).alias("__own")), "shingle-tiles")
     alone = tiles.select("__shingle", "__own", F.lit(None).cast(tiles.schema["__own"].dataType).alias("__other"))
     split = tiles.filter("__split").select("__shingle", "__cut", "__own")
     other = split.select("__shingle", F.col("__cut").alias("__cut2"), F.col("__own").alias("__other"))
     dealt = split.join(other, "__shingle").filter("__cut < __cut2").repartition("__shingle", "__cut", "__cut2").select("__shingle", "__own", "__other")
-    return alone.unionByName(dealt).mapInArrow(_compared(choose), COMPARED).distinct()
+    return alone.unionByName(dealt).mapInArrow(_compared(choose, radius, near), COMPARED).distinct()
 
 
-def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+def fingerprint_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(__a, __b), a < b: sets linked by SimHash tiles. Equal fingerprints are held against the smallest set that has them."""
     lead = stored(sets.groupBy("__fp").agg(F.min("__set").alias("__lead")), "leads")
-    links = fingerprint_links(lead.select("__fp"))
+    links = fingerprint_links(lead.select("__fp"), radius)
     ends = lead.select(F.col("__fp").alias("__b"), F.col("__lead").alias("__two"))
     linked = links.join(lead, F.col("__a") == F.col("__fp")).select("__b", F.col("__lead").alias("__one")).join(ends, "__b").select("__one", "__two")
     equal = sets.select("__set", "__fp").join(lead, "__fp").select(F.col("__set").alias("__one"), F.col("__lead").alias("__two"))
     return linked.unionByName(equal).select(F.least("__one", "__two").alias("__a"), F.greatest("__one", "__two").alias("__b")).filter("__a < __b").distinct()
 
 
-def set_components(docs: DataFrame, words: int = WORDS, tile: int = TILE) -> DataFrame:
+def near_members(linked: DataFrame, classes: DataFrame, sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Members of the bit bands in which pairs within the radius may be alike and are of different classes.
+
+    The forest `linked` joins all that the radius joins. Between two classes it then has a link that was not verified at
+    either of them, so classes without such a link are whole.
+    """
+    ends = [classes.select(F.col("__set").alias(c), F.col("__class").alias(k)) for c, k in (("__a", "__one"), ("__b", "__two"))]
+    named = linked.join(ends[0], "__a", "left").join(ends[1], "__b", "left")
+    named = named.select("__a", "__b", F.coalesce("__one", "__a").alias("__one"), F.coalesce("__two", "__b").alias("__two"))
+    named = stored(named, "near-links")
+    open_ = named.filter("__one <> __two").select(F.explode(F.array("__one", "__two")).alias("__class")).distinct()
+    members = named.select(F.explode(F.array(F.struct(F.col("__a").alias("s"), F.col("__one").alias("c")), F.struct(F.col("__b").alias("s"), F.col("__two").alias("c")))).alias("e"))
+    members = members.select(F.col("e.s").alias("__set"), F.col("e.c").alias("__class")).distinct().join(open_, "__class", "left_semi")
+    banded = members.join(sets.select("__set", "__fp"), "__set").select("__set", "__class", F.explode(band_values("__fp", radius)).alias("__g"))
+    banded = stored(banded.select(F.xxhash64("__g").alias("__shingle"), "__set", "__class"), "near-bands")
+    groups = banded.groupBy("__shingle").agg(F.count("*").alias("__n"), F.min("__class").alias("lo"), F.max("__class").alias("hi")).filter("lo <> hi")
+    return banded.join(groups, "__shingle").select("__shingle", "__n", "__set", F.lit(0).cast("long").alias("__at"), "__class")
+
+
+def set_components(docs: DataFrame, words: int = WORDS, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
     """(__least, __root) of every different shingle set: its smallest row and its component."""
     sets = stored(shingle_sets(docs, shared(docs.sparkSession, shingle_counts(docs, words)), words), "shingle-sets")
+    linked = stored(fingerprint_pairs(sets, radius), "fingerprint-pairs")
     entries = sets.select(F.posexplode("__first").alias("__at", "__shingle"), "__set")
     groups = entries.groupBy("__shingle").agg(F.count("*").alias("__n")).filter("__n > 1")
     members = stored(entries.join(groups, "__shingle").select("__shingle", "__n", "__set", F.col("__at").cast("long").alias("__at")), "shingle-members")
-    first = stored(candidates(members.withColumn("__class", F.col("__set")), sets, _linear, tile), "first-candidates")
-    pairs = first.filter("__more IS NULL").select("__a", "__b")
-    links = stored(verified(pairs.unionByName(fingerprint_pairs(sets)).distinct(), sets, docs, words), "first-links")
+    first = stored(candidates(members.withColumn("__class", F.col("__set")), sets, _linear, tile, radius), "first-candidates")
+    pairs = first.filter("__more IS NULL").select("__a", "__b").unionByName(linked).distinct()
+    links = stored(verified(pairs, sets, docs, words), "first-links")
     left = first.filter("__more IS NOT NULL").select(F.col("__more").alias("__shingle")).distinct()
     classes = components(links).select(F.col("__node").alias("__set"), F.col("__root").alias("__class"))
     placed = members.join(left, "__shingle", "left_semi").join(classes, "__set", "left").withColumn("__class", F.coalesce("__class", "__set"))
     mixed = placed.groupBy("__shingle").agg(F.min("__class").alias("lo"), F.max("__class").alias("hi")).filter("lo <> hi").select("__shingle")
-    more = candidates(placed.join(mixed, "__shingle", "left_semi"), sets, _between, tile).select("__a", "__b")
-    more = verified(more.join(pairs, ["__a", "__b"], "left_anti"), sets, docs, words)
+    more = candidates(placed.join(mixed, "__shingle", "left_semi"), sets, _between, tile, radius).select("__a", "__b")
+    near = candidates(near_members(linked, classes, sets, radius), sets, _between, tile, radius, near=True).select("__a", "__b")
+    more = verified(more.unionByName(near).join(pairs, ["__a", "__b"], "left_anti"), sets, docs, words)
     roots = components(links.unionByName(more)).select(F.col("__node").alias("__set"), "__root")
     return sets.join(roots, "__set", "left").select("__least", F.coalesce("__root", "__set").alias("__root"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, tile: int = TILE) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
     """One row of each component: the smallest doc_id (missing: after all others), then the smallest text digest.
 
     Of rows that repeat both the id and the text of the one that stays, the first by all other columns. Intermediate
     tables are gone once the kept ids are written.
     """
     spark = docs.sparkSession
-    kept = settled(spark, "kept", lambda: set_components(docs, words, tile).groupBy("__root").agg(F.min("__least").alias("k")).select("k.*"))
+    kept = settled(spark, "kept", lambda: set_components(docs, words, tile, radius).groupBy("__root").agg(F.min("__least").alias("k")).select("k.*"))
     rows = wrapped(docs).join(kept, ["__doc", "__text_key"], "left_semi")
     others = [F.col("__row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
     order = F.to_json(F.struct(*others)) if others else F.lit("")

@@ -74,6 +74,11 @@ def _band_value(fp: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def band_values(fp: str, radius: int) -> Column:
+    """An array of (band, value) structs of a fingerprint; two at most `radius` bits apart agree in at least one."""
+    return F.array(*[F.struct(F.lit(i).alias("band"), _band_value(F.col(fp), *b).alias("value")) for i, b in enumerate(_bands(radius))])
+
+
 def _forest(one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
     """Of the links (one[i], two[i]), as many as join the same values."""
     values, ends = np.unique(np.concatenate([one, two]), return_inverse=True)
@@ -122,9 +127,7 @@ def _compare(radius: int):
 def fingerprint_links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """(__a, __b) over a table of distinct __fp: links that join exactly what the radius joins."""
     fp = F.col("__fp")
-    banded = distinct.select(
-        "__fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), _band_value(fp, *b).alias("value")) for i, b in enumerate(_bands(radius))])).alias("g")
-    ).select("__fp", F.col("g.band").alias("__band"), F.col("g.value").alias("__value"))
+    banded = distinct.select("__fp", F.explode(band_values("__fp", radius)).alias("g")).select("__fp", F.col("g.band").alias("__band"), F.col("g.value").alias("__value"))
     group = ["__band", "__value"]
     large = banded.groupBy(*group).agg(F.count("*").alias("__size")).filter(F.col("__size") > tile)
     # a group within one tile has the tile (-1, 0); a larger one is cut by population count and digest

@@ -117,3 +117,20 @@ def test_a_stage_leaves_only_its_kept_ids(spark, texts):
     before = len(session._OWN)
     shingle_copies.keep_one(docs).count()
     assert len(session._OWN) == before + 1
+
+
+@pytest.mark.parametrize("radius", [1, 28])
+def test_fingerprints_share_the_pairs_out(spark, texts, radius):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in shingle_copies.keep_one(docs, tile=16, radius=radius).collect()} == brute_kept(texts)
+
+
+def test_near_pairs_come_by_the_fingerprints_alone(spark, monkeypatch):
+    base = [f"word{i}" for i in range(400)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:-1], "other"])}
+    one, two = (simhash_tiles.fingerprint_of(t, 5) for t in texts.values())
+    assert 0 < (one ^ two).bit_count() <= shingle_copies.RADIUS
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r.doc_id for r in shingle_copies.keep_one(docs).collect()] == [1]
+    monkeypatch.setattr(shingle_copies, "fingerprint_links", lambda prints, radius=4: spark.createDataFrame([], "__a long, __b long"))
+    assert {r.doc_id for r in shingle_copies.keep_one(docs).collect()} == {1, 2}
