@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cards as C
 from ..functions.rules import first_reason
 from ..functions.text import hand_record_amount, intent_of
-from ..functions.values import short_number, strip
+from ..functions.values import let, short_number, strip
 from ..session import stored
 from .ranks import running
 
@@ -52,33 +52,52 @@ def record_actions(hands: DataFrame, keys: Sequence[str] = ("hand_id",)) -> Data
         }
     )
     extra = [c for c in sized.columns if c not in ("actions", "players", "antes", *keys)]
-    rows = sized.select(*keys, *extra, F.posexplode("actions").alias("action_index", "action"))
-    action = F.col("action")
-    code = F.try_element_at(F.split(F.regexp_extract(action, PLAYER_ACTION, 2), r"\s+"), F.lit(1))
-    player_text = F.coalesce(
-        F.nullif(F.regexp_extract(action, HOLE_DEAL, 1), F.lit("")), F.nullif(F.regexp_extract(action, PLAYER_ACTION, 1), F.lit(""))
-    )
-    rows = rows.withColumns(
-        {
-            "kind": F.when(action.rlike(HOLE_DEAL), "hole")
-            .when(action.rlike(BOARD_DEAL), "board")
-            .when(action.rlike(PLAYER_ACTION) & code.isin("f", "cc", "cbr"), "bet")
-            .otherwise("other"),
-            "code": F.when(code.isin("f", "cc", "cbr"), code),
-            "player": player_text.cast("int"),
-            "raw_action": strip(F.regexp_extract(action, PLAYER_ACTION, 2)),
-        }
-    )
+    # Actions are read inside the row of their hand: what the explode gives out is not computed again by later steps.
+    rows = sized.select(*keys, *extra, F.posexplode(F.transform("actions", _read_action)).alias("action_index", "_read"))
+    rows = rows.select(*keys, *extra, "action_index", "_read.*")
     at = F.col("player")
     return rows.withColumns(
         {
-            "amount": F.when(F.col("code") == "cbr", hand_record_amount(F.col("raw_action"))),
+            "amount": F.when(F.col("code") == "cbr", F.col("bet_size")),
             "blind": F.greatest(F.lit(0.0), F.coalesce(F.try_element_at(F.col("blinds"), at).cast("double"), F.lit(0.0))),
             "stack": F.coalesce(F.try_element_at(F.col("stacks"), at).cast("double"), F.lit(0.0)),
         }
     ).drop("blinds", "stacks")
 
 
+def _read_action(action: Column) -> Column:
+    """An action's kind, code, player, words after the player and number among them; every pattern is tried once.
+
+    A pattern needs its first letter; a look at that comes before it.
+    """
+    deals, plays = action.startswith("d"), action.startswith("p")
+
+    def read(x: Column) -> Column:
+        known = x["code"].isin("f", "cc", "cbr")
+        return F.struct(
+            action.alias("action"),
+            F.when(x["hole"] != "", "hole").when(x["board"], "board").when((x["number"] != "") & known, "bet").otherwise("other").alias("kind"),
+            F.when(known, x["code"]).alias("code"),
+            F.coalesce(F.nullif(x["hole"], F.lit("")), F.nullif(x["number"], F.lit(""))).cast("int").alias("player"),
+            x["raw"].alias("raw_action"),
+            F.when(known, hand_record_amount(x["raw"])).alias("bet_size"),
+        )
+
+    def parts(words: Column) -> Column:
+        return let(
+            F.struct(
+                F.when(deals, F.regexp_extract(action, HOLE_DEAL, 1)).when(action.isNotNull(), "").alias("hole"),
+                (deals & action.rlike(BOARD_DEAL)).alias("board"),
+                F.when(plays, F.regexp_extract(action, PLAYER_ACTION, 1)).when(action.isNotNull(), "").alias("number"),
+                F.regexp_extract(words, r"^(\S*)", 1).alias("code"),
+                strip(words).alias("raw"),
+            ),
+            read,
+        )
+
+    return let(F.when(plays, F.regexp_extract(action, PLAYER_ACTION, 2)).when(action.isNotNull(), ""), parts)
+
+
 def replay_bets(actions: DataFrame, keys: Sequence[str], order: Sequence[str], slice_of: Column | None = None) -> DataFrame:
     """Add `segment`, `current_bet`, `contribution`, `to_call` and `pot`, all as they stand before the action.
 
@@ -159,7 +178,7 @@ def record_decisions(hands: DataFrame, keys: Sequence[str] = ("hand_id",)) -> Da
         "raw_action",
         label.alias("normalized_action_4class"),
         intent_of(label).alias("label_3intent"),
-        hand_record_amount(F.col("raw_action")).alias("bet_size"),
+        "bet_size",
     )
 
 

@@ -1,6 +1,7 @@
 """Plans that decide whether a query still runs on large tables."""
 
 import feltmill.plans.catalog  # noqa: F401  (fills the registry)
+from feltmill.operators import replay as R
 from feltmill.operators import training as M
 from feltmill.operators.splits import stratified_two_way
 from feltmill.plans.catalog import training as P
@@ -74,6 +75,22 @@ def test_decks_are_dealt_once_for_records_and_ledgers(spark):
         assert "17:" not in optimized(REGISTRY[name].run(spark, SF)), name
 
 
+def test_record_actions_are_read_once(spark):
+    plan = optimized(REGISTRY["record_replay_decisions"].run(spark, SF))
+    assert plan.count(R.PLAYER_ACTION) <= 2, plan.count(R.PLAYER_ACTION)
+
+
+def test_record_actions_of_odd_texts(spark):
+    texts = ["p1 cc", "p2  cbr  7.5 x", "p1 f", "p3 cbr", "p1 sm", "p1", "p1  ", " p1 cc", "x p1 cc", "d dh p2 AhKd", "d db 2c7dTh", "d dh p2", "d", "", None, "p1\tcc\n", "p2 cbr 1e3", "p2 cbr nan", "p2 cc 4"]
+    hands = spark.createDataFrame([("h", texts, [1.0], [0.0], [9.0, 8.0, 7.0], ["a", "b", "c"])], "hand_id string, actions array<string>, blinds array<double>, antes array<double>, stacks array<double>, players array<string>")
+    rows = {r["action_index"]: (r["kind"], r["code"], r["player"], r["amount"]) for r in R.record_actions(hands).collect()}
+    assert [rows[i] for i in range(len(texts))] == [
+        ("bet", "cc", 1, None), ("bet", "cbr", 2, 7.5), ("bet", "f", 1, None), ("bet", "cbr", 3, None), ("other", None, 1, None), ("other", None, None, None), ("other", None, 1, None),
+        ("other", None, None, None), ("other", None, None, None), ("hole", None, 2, None), ("board", None, None, None), ("other", None, None, None), ("other", None, None, None),
+        ("other", None, None, None), ("other", None, None, None), ("bet", "cc", 1, None), ("bet", "cbr", 2, 1000.0), ("bet", "cbr", 2, None), ("bet", "cc", 2, None),
+    ]
+
+
 def test_rows_are_not_shuffled_by_their_label(spark):
     rows = M.prepared(P.training_rows(spark, SF), P.MATRIX)
     assert optimized(stratified_two_way(rows, "_label", "_key")).count("strategy=broadcast") >= 3
