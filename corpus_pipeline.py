@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feltmill.llm import language_filters, line_dedup, piece_transducer, shingle_copies, spaced_seeds
-from feltmill.llm.common import table
+from feltmill.llm.common import small_batches, table
 from feltmill.session import stored
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,11 +18,13 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without texts that have no letter or no n-gram of any language learned from the rows with a lang."""
+    small_batches(spark)
     return language_filters.keep_known(docs, language_filters.learn(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document holds; every document stays, be it empty."""
+    small_batches(spark)
     kept = line_dedup.drop_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -33,6 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     op4's SimHash tiles over five-word shingles give the first candidates; the likeness itself is exact, and texts that
     the fingerprints keep apart (most pairs near 0.8 differ in more than 4 bits) are found by their rarest shingles.
     """
+    small_batches(spark)
     return shingle_copies.keep_one(docs).select(*docs.columns)
 
 

@@ -18,6 +18,9 @@ LAST_ID = 2**63 - 1
 #: A side of at most so many rows may be broadcast; the rows are counted before the plan is made.
 BROADCAST_ROWS = 2_000_000
 
+#: Texts go to Python workers in Arrow batches of at most about so many bytes.
+BATCH_BYTES = "4m"
+
 #: White space of ASCII, as a set of characters to strip and as the inside of a pattern.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -26,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless the session names a bound itself.
+
+    The default bounds are 10,000 rows or 64 MB; a batch of texts is held by the JVM and by the worker at the same
+    time, several times over while buffers grow, for every core. Rows and results are the same under any bound.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def identity(row: str | None = None) -> list[Column]:
     """Columns that name a row: its id (missing: after all others) and a digest of its whole text.
 

@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feltmill.llm.common import shared
+from feltmill.llm.common import shared, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
 UNIGRAM, BPE = 1, 2  # model types of the format
 UNKNOWN_PENALTY = 10.0
-SHORT, HELD = 48, 300_000
+SHORT, HELD, PAIRS, MARKS = 48, 150_000, 300_000, 1 << 22
+#: Rows encoded at a time.
+SLICE = 200
 
 
 class PieceTransducer:
@@ -81,16 +83,22 @@ class PieceTransducer:
         alone = "".join(c for c in "\n\t\r" if c not in inner)
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.stretch = None if crossing else re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        #: Ids of short stretches met so far: the newest, and those before them.
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Ids of short stretches met more than once: the newest, and those before them.
         self.solved: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        #: Marks, by hash, of stretches met: most are met once only and would fill the tables for nothing.
+        self.met = bytearray(MARKS)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("solved", "older", "pairs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("solved", "older", "met", "pairs")}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, solved={}, older={}, pairs={})
+        self.__dict__.update(state)
+        self._forget()
 
     def _merged(self, symbols: list[str]) -> tuple[str, str] | None:
         """The last two symbols when merging by rank (the leftmost of equals first) ends in one; else None."""
@@ -119,7 +127,7 @@ class PieceTransducer:
                 else:
                     found = True
                     break
-            if len(self.pairs) > HELD:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[one, two] = found
         return found
@@ -202,10 +210,13 @@ class PieceTransducer:
         found = self.older.get(line)
         if found is None:
             found = array("i", self.path(line)).tobytes()
-        if len(line) <= SHORT:
-            if len(self.solved) >= HELD:
-                self.older, self.solved = self.solved, {}
-            self.solved[line] = found
+            mark = hash(line) % MARKS
+            if len(line) > SHORT or not self.met[mark]:
+                self.met[mark] = 1
+                return found
+        if len(self.solved) >= HELD:
+            self.older, self.solved, self.met = self.solved, {}, bytearray(MARKS)
+        self.solved[line] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -227,7 +238,11 @@ def compile_model(path: str) -> PieceTransducer:
 
 def encode_texts(docs: DataFrame, model: PieceTransducer, *keep: str) -> DataFrame:
     """(keep..., ids, n_bytes, round_trip): ids of the text, how many of them are byte pieces, and whether decoding
-    them gives the text again. The compiled model is broadcast; it is as large as its vocabulary."""
+    them gives the text again. The compiled model is broadcast; it is as large as its vocabulary.
+
+    A worker holds the model, its tables of bounded size and one small batch: what a slice took is given back after it.
+    """
+    small_batches(docs.sparkSession)
     held = shared(docs.sparkSession, model)
     source = docs.select(*keep, "text")
     added = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_bytes", T.LongType()).add("round_trip", T.BooleanType())
@@ -237,16 +252,20 @@ def encode_texts(docs: DataFrame, model: PieceTransducer, *keep: str) -> DataFra
         own = held()
         raw = np.zeros(len(own.surfaces), np.int64)
         raw[list(own.bytes.values())] = 1
+
+        def encoded(part: pa.RecordBatch) -> pa.RecordBatch:
+            texts = part.column(len(keep)).to_pylist()
+            found = [own.encode(t) for t in texts]
+            same = [own.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            last = [ids, pa.array([int(raw[x].sum()) for x in found], pa.int64()), pa.array(same, pa.bool_())]
+            return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *last], names=[*keep, "ids", "n_bytes", "round_trip"])
+
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                texts = part.column(len(keep)).to_pylist()
-                found = [own.encode(t) for t in texts]
-                same = [own.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                last = [ids, pa.array([int(raw[x].sum()) for x in found], pa.int64()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *last], names=[*keep, "ids", "n_bytes", "round_trip"])
+            for low in range(0, batch.num_rows, SLICE):
+                yield encoded(batch.slice(low, SLICE))
+                pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(rows, schema)
 
