@@ -158,6 +158,12 @@ def class_means(df: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
     return means
 
 
+def column_means(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """As `class_means` for a vector of the columns `values`: rows are added up as they are, only the means are multiplied."""
+    means = df.groupBy(*keys).agg(*[F.avg(v).alias(f"_mean{i}") for i, v in enumerate(values)])
+    return means.select(*keys, F.posexplode(F.array(*[f"_mean{i}" for i in range(len(values))])).alias("position", "mean"))
+
+
 def chart_lookup(requests: DataFrame, chart: DataFrame, cells: Sequence[str], klass: str) -> DataFrame:
     """Frequency of every requested (cell, class): absent class 0.0, absent cell an error text.
 

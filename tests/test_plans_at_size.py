@@ -1,6 +1,7 @@
 """Plans that decide whether a query still runs on large tables."""
 
 import feltmill.plans.catalog  # noqa: F401  (fills the registry)
+from feltmill.operators import ranges as G
 from feltmill.operators import replay as R
 from feltmill.operators import training as M
 from feltmill.operators.splits import stratified_two_way
@@ -94,3 +95,14 @@ def test_record_actions_of_odd_texts(spark):
 def test_rows_are_not_shuffled_by_their_label(spark):
     rows = M.prepared(P.training_rows(spark, SF), P.MATRIX)
     assert optimized(stratified_two_way(rows, "_label", "_key")).count("strategy=broadcast") >= 3
+
+
+def test_rows_are_not_multiplied_for_class_means(spark):
+    plan = optimized(REGISTRY["class_mean_vectors"].run(spark, SF))
+    assert 0 <= plan.index("posexplode") < plan.index("Aggregate"), plan
+
+
+def test_means_of_columns_are_those_of_vectors(spark):
+    rows = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, None), ("b", None, 4.0), (None, 5.0, 6.0)], "k string, x double, y double")
+    found, want = G.column_means(rows, ["k"], ["x", "y"]), G.class_means(rows.selectExpr("k", "array(x, y) AS v"), ["k"], "v")
+    assert found.dtypes == want.dtypes and set(map(tuple, found.collect())) == set(map(tuple, want.collect()))
