@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +22,11 @@ from ..session import stored
 from .reports import best_model, confusion_counts, majority_baseline, overall_metrics
 from .splits import stratified_fraction, stratified_two_way
 
+#: Forests of more rows than this are grown on cells (`_forest_on_cells`).
+CELLS_FROM = 1_000_000
+#: Ranges a number is cut into for a forest, as many as MLlib's own.
+BINS = 32
+
 MODELS = ("dummy", "logistic_regression", "random_forest", "extra_trees")
 
 
@@ -104,6 +113,8 @@ def vector_stages(matrix: Matrix) -> list:
 
 def fit(name: str, train: DataFrame, matrix: Matrix, settings: Settings = Settings()) -> PipelineModel:
     """Fit one classifier on prepared rows."""
+    if name == "random_forest" and matrix.size and train.count() > CELLS_FROM:
+        return _forest_on_cells(train, matrix, settings)
     label = StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc")
     common = {"featuresCol": "features", "labelCol": "_y", "weightCol": "_weight"}
     if name == "logistic_regression":
@@ -117,6 +128,84 @@ def fit(name: str, train: DataFrame, matrix: Matrix, settings: Settings = Settin
     return Pipeline(stages=[label, *vector_stages(matrix), model]).fit(train)
 
 
+def bin_edges(rows: DataFrame, columns: Sequence[str]) -> list[list[float]]:
+    """Edges of at most `BINS` ranges a column: between all of its values if they are that few, else at its quantiles."""
+    sizes = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    few = [c for c in columns if sizes[c] <= 2 * BINS]
+    listed = rows.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in few]).first().asDict() if few else {}
+    listed = {c: values for c, values in listed.items() if len(values) <= BINS}
+    many = [c for c in columns if c not in listed]
+    quantiles = dict(zip(many, rows.approxQuantile(many, [i / BINS for i in range(1, BINS)], 0.001))) if many else {}
+    inner = [[(a + b) / 2 for a, b in zip(listed[c], listed[c][1:])] if c in listed else sorted(set(quantiles[c])) for c in columns]
+    # A bucketizer wants one inner edge at least.
+    return [[float("-inf"), *(cuts or [0.0]), float("inf")] for cuts in inner]
+
+
+def _drawn(cells: DataFrame, trees: int, seed: int) -> DataFrame:
+    """Add `_t0`, `_t1`, ...: how often the rows of a cell are drawn for each tree. The cell and the seed alone decide.
+
+    A bootstrap draws every row a Poisson(1) number of times, so the n rows of a cell are drawn Poisson(n) times in all.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            times = np.empty((len(b), trees), np.int64)
+            for i, (cell, n) in enumerate(zip(b["_cell"], b["_n"])):
+                times[i] = np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFF, int(cell) & 0xFFFFFFFFFFFFFFFF])).poisson(n, trees)
+            yield pd.concat([b.drop(columns=["_cell", "_n"]).reset_index(drop=True), pd.DataFrame(times, columns=[f"_t{i}" for i in range(trees)])], axis=1)
+
+    kept_columns = [f for f in cells.schema if f.name not in ("_cell", "_n")]
+    schema = ", ".join([*[f"`{f.name}` double" for f in kept_columns], *[f"_t{i} bigint" for i in range(trees)]])
+    return cells.mapInPandas(draw, schema)
+
+
+def _forest_on_cells(train: DataFrame, matrix: Matrix, settings: Settings) -> PipelineModel:
+    """A random forest of many rows, grown on counts of equal cells.
+
+    A forest sees a number only as one of `BINS` ranges. Rows that agree in all ranges, categories and the label are one cell,
+    so the cells are bounded by the matrix, however many rows there are, and counts of rows say all a tree asks for. Every row takes part:
+    each tree draws it Poisson(1) times, chooses among the root of the features at a node and weighs as the others do.
+    Trees are fitted a few at a time, as each leaves most cores idle.
+    """
+    spark = train.sparkSession
+    *early, assembler = vector_stages(matrix)
+    label = StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc")
+    prep = Pipeline(stages=[label, *early]).fit(train)
+    ready = prep.transform(train)
+    numbers, categories = [f"{_plain(c)}__f" for c in matrix.numeric], [_plain(c) for c in matrix.categorical]
+    ranges = [f"{c}__r" for c in numbers]
+    binned = [Bucketizer(splitsArray=bin_edges(ready, numbers), inputCols=numbers, outputCols=ranges, handleInvalid="keep")] if numbers else []
+    assembler = assembler.copy({assembler.inputCols: [*ranges, *[f"{c}__v" for c in categories]]})
+    for stage in binned:
+        ready = stage.transform(ready)
+    keys = ["_y", "_weight", *ranges, *[f"{c}__i" for c in categories]]
+    counted = ready.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.xxhash64(*keys))
+    cells = stored(_drawn(counted, settings.trees, settings.seed), "cells")
+    for c, encoder in zip(categories, [s for s in prep.stages if s.hasParam("dropLast")]):
+        cells = encoder.transform(cells.withColumn(f"{c}__i", F.col(f"{c}__i").alias(f"{c}__i", metadata=ready.schema[f"{c}__i"].metadata)))
+    cells = assembler.transform(cells.withColumn("_y", F.col("_y").alias("_y", metadata=ready.schema["_y"].metadata)))
+
+    seeds = np.random.SeedSequence(settings.seed).generate_state(settings.trees).tolist()
+
+    def grow(i: int) -> RandomForestClassificationModel:
+        rows = cells.filter(F.col(f"_t{i}") > 0).select("features", "_y", (F.col("_weight") * F.col(f"_t{i}")).alias("_w"))
+        one = RandomForestClassifier(
+            numTrees=1, maxDepth=settings.depth, maxBins=BINS, seed=seeds[i], bootstrap=False, featureSubsetStrategy="sqrt", maxMemoryInMB=512, featuresCol="features", labelCol="_y", weightCol="_w"
+        )
+        return one.fit(rows)
+
+    with ThreadPool(8) as pool:
+        grown = pool.map(inheritable_thread_target(spark)(grow), range(settings.trees))
+    jvm = spark._jvm.org.apache.spark.ml.classification
+    trees = spark.sparkContext._gateway.new_array(jvm.DecisionTreeClassificationModel, len(grown))
+    for i, model in enumerate(grown):
+        trees[i] = model._java_obj.trees()[0]
+    whole = jvm.RandomForestClassificationModel(grown[0].uid, trees, grown[0].numFeatures, grown[0].numClasses)
+    forest = RandomForestClassificationModel(whole)
+    forest._set(numTrees=settings.trees, maxDepth=settings.depth, maxBins=BINS, seed=settings.seed)
+    return PipelineModel([*prep.stages, *binned, assembler, forest])
+
+
 def labels_of(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
