@@ -51,6 +51,27 @@ def exact_rank(df: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str
     )
 
 
+def leading(df: DataFrame, by: Sequence[str], digest: str, ties: Sequence[str], share: Column, name: str, width: int = 3) -> DataFrame:
+    """Add `name`: whether a row is among the first `share` rows of its group, for the order of `exact_rank`.
+
+    `share` is a column of `group_size` and of what is the same in a whole group (listed in `by`). Ranges wholly before or
+    behind the cut are settled by their sizes where the rows lie; only the one range a group is cut in is ranked, so
+    next to nothing is shuffled. For few groups; rows come in no particular order.
+    """
+    keys = [*by, "_range"]
+    ranged = df.withColumn("_range", F.substring(digest, 1, width))
+    sizes = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "group_size": F.sum("_n").over(Window.partitionBy(*by))})
+    left = sizes.select(*keys, (share - F.col("_before")).alias("_left"), "_n")
+    known = join_on(ranged, left, keys, few=True)
+    cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties))
+    whole = known.filter(~cut).withColumn(name, F.col("_left") > 0)
+    settled = known.filter(cut).withColumn(name, place <= F.col("_left"))
+    return whole.unionByName(settled).drop("_range", "_left", "_n")
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],

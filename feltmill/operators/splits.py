@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import normal_draw, pick, seeded_digest
 from ..functions.values import clamp, half_even
-from .ranks import exact_rank, join_on, slots
+from .ranks import exact_rank, join_on, leading, slots
 
 STAGES = ("PREFLOP", "POSTFLOP")
 SPLITS = ("train", "validation", "test")
@@ -79,8 +79,11 @@ def stratified_three_way(
     return join_on(ranked, cuts, [label]).withColumn("split", split).drop("_digest", "rank", "group_size", "_kept", "_train")
 
 
-def stratified_two_way(df: DataFrame, label: str, key: str, seed: int = 17, test: float = 0.25) -> DataFrame:
-    """Add `split` (train/test) and `split_warning`. A label with one row switches to a plain random split."""
+def stratified_two_way(df: DataFrame, label: str, key: str, seed: int = 17, test: float = 0.25, in_place: bool = False) -> DataFrame:
+    """Add `split` (train/test) and `split_warning`. A label with one row switches to a plain random split.
+
+    `in_place` gives the same split where the rows lie, without moving them.
+    """
     everything = Window.partitionBy(F.lit(0))
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_all", F.sum("_n").over(everything)).withColumn("_least", F.min("_n").over(everything))
@@ -93,6 +96,9 @@ def stratified_two_way(df: DataFrame, label: str, key: str, seed: int = 17, test
         F.when(plain, F.lit("stratified_split_unavailable_used_random_split")).alias("split_warning"),
     )
     joined = join_on(df, cuts, [label], few=True).withColumn("_digest", seeded_digest(seed, F.col(key)))
+    if in_place:
+        taken = leading(joined, ["_group", "_train"], "_digest", [key], F.col("_train"), "_in_train")
+        return taken.withColumn("split", F.when(F.col("_in_train"), F.lit("train")).otherwise(F.lit("test"))).drop("_digest", "_group", "_train", "_in_train")
     ranked = exact_rank(joined, ["_group"], "_digest", [key], few=True)
     return ranked.withColumn("split", F.when(F.col("rank") <= F.col("_train"), F.lit("train")).otherwise(F.lit("test"))).drop(
         "_digest", "_group", "_train", "rank", "group_size"
@@ -117,9 +123,8 @@ def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float, se
     """The same share of every class, at least one row each."""
     if fraction >= 1.0:
         return df
-    ranked = exact_rank(df.withColumn("_digest", seeded_digest(seed, F.col(key))), [label], "_digest", [key], few=True)
-    keep = F.col("rank") <= _share(F.col("group_size"), fraction)
-    return ranked.filter(keep).drop("_digest", "rank", "group_size")
+    marked = leading(df.withColumn("_digest", seeded_digest(seed, F.col(key))), [label], "_digest", [key], _share(F.col("group_size"), fraction), "_taken")
+    return marked.filter("_taken").drop("_digest", "_taken")
 
 
 def price_ratios(pot: str, to_call: str, equity: str, ratio: str, required: str, gap: str) -> dict[str, Column]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +78,14 @@ def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end; for steps whose results have been collected by then."""
+    before = len(_OWN)
+    yield
+    _delete(spark, before)
+
+
 def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The rows of `make()` as a table; whatever it stored on its way to them is deleted.
 

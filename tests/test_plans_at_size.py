@@ -1,6 +1,7 @@
 """Plans that decide whether a query still runs on large tables."""
 
 import feltmill.plans.catalog  # noqa: F401  (fills the registry)
+from feltmill import session
 from feltmill.operators import ranges as G
 from feltmill.operators import replay as R
 from feltmill.operators import training as M
@@ -106,3 +107,32 @@ def test_means_of_columns_are_those_of_vectors(spark):
     rows = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, None), ("b", None, 4.0), (None, 5.0, 6.0)], "k string, x double, y double")
     found, want = G.column_means(rows, ["k"], ["x", "y"]), G.class_means(rows.selectExpr("k", "array(x, y) AS v"), ["k"], "v")
     assert found.dtypes == want.dtypes and set(map(tuple, found.collect())) == set(map(tuple, want.collect()))
+
+
+def test_split_in_place_is_the_split(spark):
+    for texts in (["a", "a", "b", None, "b", "a", "", "a"] * 40, ["a"] * 9 + ["b"]):
+        rows = spark.createDataFrame([(t, f"k{i // 2}" if i % 7 else None, i) for i, t in enumerate(texts)], "label string, key string, n int")
+        found, want = (stratified_two_way(rows, "label", "key", 3, in_place=x) for x in (True, False))
+        assert sorted(found.columns) == sorted(want.columns)
+
+        def counted(df):
+            return sorted(map(tuple, df.groupBy("label", "key", "split", "split_warning").count().na.fill("?").collect()))
+
+        assert counted(found) == counted(want)
+
+
+def test_rows_split_in_place_are_not_shuffled(spark):
+    rows = M.prepared(P.training_rows(spark, SF), P.MATRIX)
+    plan = stratified_two_way(rows, "_label", "_key", in_place=True)
+    lines = optimized(plan).split("\n")
+    ranked = [i for i, line in enumerate(lines) if "Window [row_number" in line and "_range" in line]
+    assert len(ranked) == 1 and any("Filter" in line and "_left" in line for line in lines[ranked[0] :])
+
+
+def test_variants_share_a_split_and_leave_nothing_behind(spark, monkeypatch):
+    calls, split = [], M._by_split
+    monkeypatch.setattr(M, "_by_split", lambda rows: calls.append(rows.columns) or split(rows))
+    before = len(session._OWN)
+    rows = REGISTRY["feature_ablation"].run(spark, SF).collect()
+    assert [r["name"] for r in rows] == ["full_current", "without_price", "solver_candidate_only", "nobody_only", "no_columns"]
+    assert len(calls) == 2 and all("_key" not in c for c in calls) and len(session._OWN) == before
