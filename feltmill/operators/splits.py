@@ -119,10 +119,13 @@ def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
     return df.withColumn("_digest", seeded_digest(seed, F.col(key))).orderBy("_digest", key).limit(n).drop("_digest")
 
 
-def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float, seed: int = 17) -> DataFrame:
-    """The same share of every class, at least one row each."""
+def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float, seed: int = 17, in_place: bool = False) -> DataFrame:
+    """The same share of every class, at least one row each; `in_place` takes it where the rows lie, without moving them."""
     if fraction >= 1.0:
         return df
+    if not in_place:
+        ranked = exact_rank(df.withColumn("_digest", seeded_digest(seed, F.col(key))), [label], "_digest", [key], few=True)
+        return ranked.filter(F.col("rank") <= _share(F.col("group_size"), fraction)).drop("_digest", "rank", "group_size")
     marked = leading(df.withColumn("_digest", seeded_digest(seed, F.col(key))), [label], "_digest", [key], _share(F.col("group_size"), fraction), "_taken")
     return marked.filter("_taken").drop("_digest", "_taken")
 

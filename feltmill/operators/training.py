@@ -251,19 +251,18 @@ def _small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def two_way(df: DataFrame, matrix: Matrix, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Stratified train and test rows, split once and stored by split."""
-    return _by_split(stratified_two_way(prepared(df, matrix), "_label", "_key", seed).drop("split_warning"))
+def lies_spread(df: DataFrame) -> bool:
+    """Whether rows lie in pieces enough to be trained on where they are; a table of few pieces is moved, or few cores train."""
+    return 2 * df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism
 
 
-def two_way_in_place(df: DataFrame, matrix: Matrix, seed: int, keyed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The rows of `two_way`, split where they lie. A table of fewer pieces than cores is spread first, or one core trains.
+def two_way(df: DataFrame, matrix: Matrix, seed: int, in_place: bool = False, keyed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Stratified train and test rows, split once and stored by split.
 
     The key takes most of the space; what needs it no more leaves it out (`keyed`).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    spread = df.repartition(cores, f"`{matrix.key}`") if df.rdd.getNumPartitions() < cores else df
-    return _by_split(stratified_two_way(prepared(spread, matrix), "_label", "_key", seed, in_place=True).drop("split_warning", *([] if keyed else ["_key"])))
+    rows = stratified_two_way(prepared(df, matrix), "_label", "_key", seed, in_place=in_place)
+    return _by_split(rows.drop("split_warning", *([] if keyed else ["_key"])))
 
 
 def _by_split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -275,10 +274,11 @@ def learning_curve(df: DataFrame, matrix: Matrix, model: str = "random_forest",
     """Train and validation scores over growing, class-balanced shares of the training rows."""
     rows = None
     with passing(df.sparkSession):
-        train, held = two_way_in_place(df, matrix, settings.seed)
+        in_place = lies_spread(df)
+        train, held = two_way(df, matrix, settings.seed, in_place)
         for fraction in fractions:
             with passing(df.sparkSession):
-                part = stratified_fraction(train, "_label", "_key", fraction, settings.seed + int(fraction * 1000))
+                part = stratified_fraction(train, "_label", "_key", fraction, settings.seed + int(fraction * 1000), in_place)
                 part = part if fraction >= 1.0 else stored(part.drop("_key"), "part")
                 fitted = fit(model, part, matrix, settings)
                 inside, outside = (overall_metrics(_small(confusion_counts(predict(fitted, d), "_label", "prediction_label"))) for d in (part, held))
@@ -311,7 +311,7 @@ def ablation(df: DataFrame, variants: dict[str, tuple[Matrix, str | None]], sett
         with passing(df.sparkSession):
             parts = [variants[name][0] for name in trained]
             every = Matrix(list(dict.fromkeys(c for m in parts for c in m.numeric)), list(dict.fromkeys(c for m in parts for c in m.categorical)), label, key)
-            train, test = two_way_in_place(part, every, settings.seed, keyed=False)
+            train, test = two_way(part, every, settings.seed, lies_spread(part), keyed=False)
             for name, matrix in zip(trained, parts):
                 done[name] = score(model, train, test, matrix, None, settings).select(F.lit(name).alias("name"), F.lit("ok").alias("status"), F.lit(matrix.size).alias("feature_count"), "accuracy", "macro_f1", "weighted_f1")
     rows = None

@@ -5,7 +5,7 @@ from feltmill import session
 from feltmill.operators import ranges as G
 from feltmill.operators import replay as R
 from feltmill.operators import training as M
-from feltmill.operators.splits import stratified_two_way
+from feltmill.operators.splits import stratified_fraction, stratified_two_way
 from feltmill.plans.catalog import training as P
 from feltmill.registry import REGISTRY
 
@@ -129,6 +129,12 @@ def test_rows_split_in_place_are_not_shuffled(spark):
     assert len(ranked) == 1 and any("Filter" in line and "_left" in line for line in lines[ranked[0] :])
 
 
+def test_share_in_place_is_the_share(spark):
+    rows = spark.createDataFrame([("abc"[i % 3] if i % 11 else None, f"k{i // 2}") for i in range(500)], "label string, key string")
+    found, want = (sorted(map(tuple, stratified_fraction(rows, "label", "key", 0.3, 5, x).na.fill("?").collect())) for x in (True, False))
+    assert found == want and len(found) > 100
+
+
 def test_variants_share_a_split_and_leave_nothing_behind(spark, monkeypatch):
     calls, split = [], M._by_split
     monkeypatch.setattr(M, "_by_split", lambda rows: calls.append(rows.columns) or split(rows))
